@@ -38,3 +38,33 @@ def op9_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_grammar_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import learn, scan
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = scan(docs, learn(docs)).drop("text")
+    told = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.array_join(F.transform(F.filter("spans", lambda s: s["kind"] != "format"), told), ",")
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")), F.sha2(base.cast("binary"), 256).alias("base_sha256"), F.array_join(F.transform("spans", told), ",").alias("spans"))
+
+
+@query
+def op1_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    body = F.coalesce(F.col("text"), F.lit(""))
+    found = media_columns(documents(spark, sf_dir).select("doc_id", body.alias("text")), "text")
+    return found.select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws("/", F.size("codes"), F.sha2(F.array_join("times", ",").cast("binary"), 256), F.sha2(F.array_join("codes", ",").cast("binary"), 256)).alias("feature"),
+    )
