@@ -15,16 +15,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and forget its lineage.
+    """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a temporary one is made. The files go when the frame is garbage collected, where
+    The files go when the frame is garbage collected, where
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

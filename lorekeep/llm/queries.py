@@ -68,3 +68,55 @@ def op1_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws("/", F.size("codes"), F.sha2(F.array_join("times", ",").cast("binary"), 256), F.sha2(F.array_join("codes", ",").cast("binary"), 256)).alias("feature"),
     )
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op5_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_decode
+
+    ids = encode_decode(documents(spark, sf_dir).select("doc_id", "text"), "text", tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: Tokens of a packed sequence.
+SEQUENCE = 2048
+
+
+@query
+def op6_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    out = pack_documents(documents(spark, sf_dir), "doc_id", "text", tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), SEQUENCE)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+#: Tokens of a training record, and records of a shard.
+RECORD, SHARD = 512, 8192
+
+
+@query
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .order import training_shards
+
+    shards = training_shards(documents(spark, sf_dir), "doc_id", "text", tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), RECORD, SHARD)
+    rows = shards.select("shard", "payload", F.posexplode("rows").alias("at", "row"))
+    record = F.substring("payload", F.col("at") * (2 * RECORD) + 1, F.lit(2 * RECORD))
+    return rows.select(
+        F.col("row.key").alias("doc_id"),
+        F.col("row.part").alias("part"),
+        (F.col("shard") * SHARD + F.col("at")).alias("slot"),
+        "shard",
+        (F.col("at").cast("long") * (2 * RECORD)).alias("byte_offset"),
+        F.col("row.n_tokens").alias("n_tokens"),
+        F.crc32(record).alias("record_crc32"),
+    )
