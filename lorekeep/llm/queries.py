@@ -120,3 +120,15 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.n_tokens").alias("n_tokens"),
         F.crc32(record).alias("record_crc32"),
     )
+
+
+#: Cosine from which two vectors of a label link.
+LEAST_COSINE = 0.98
+
+
+@query
+def op7_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .metric import range_join
+
+    out = range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label", LEAST_COSINE)
+    return out.select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
