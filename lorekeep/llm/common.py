@@ -34,8 +34,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that carry whole texts: rows and, where Spark knows it, bytes."""
+    """Bound the rows and the bytes of the Arrow batches that carry whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def shuffle_width(spark: SparkSession) -> int:

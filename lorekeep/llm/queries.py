@@ -109,16 +109,17 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .order import training_shards
 
     shards = training_shards(documents(spark, sf_dir), "doc_id", "text", tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), RECORD, SHARD)
-    rows = shards.select("shard", "payload", F.posexplode("rows").alias("at", "row"))
-    record = F.substring("payload", F.col("at") * (2 * RECORD) + 1, F.lit(2 * RECORD))
+    stride = 2 * RECORD
+    read = lambda row, at: F.struct(row["key"].alias("key"), row["part"].alias("part"), row["n_tokens"].alias("n"), F.crc32(F.substring("payload", at * stride + 1, F.lit(stride))).alias("crc"))
+    rows = shards.select("shard", F.transform("rows", read).alias("rows")).select("shard", F.posexplode("rows").alias("at", "row"))
     return rows.select(
         F.col("row.key").alias("doc_id"),
         F.col("row.part").alias("part"),
         (F.col("shard") * SHARD + F.col("at")).alias("slot"),
         "shard",
-        (F.col("at").cast("long") * (2 * RECORD)).alias("byte_offset"),
-        F.col("row.n_tokens").alias("n_tokens"),
-        F.crc32(record).alias("record_crc32"),
+        (F.col("at").cast("long") * stride).alias("byte_offset"),
+        F.col("row.n").alias("n_tokens"),
+        F.col("row.crc").alias("record_crc32"),
     )
 
 
@@ -132,3 +133,10 @@ def op7_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = range_join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label", LEAST_COSINE)
     return out.select("vec_id", "n_links", F.col("component_id").cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+@query
+def op4_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir), "doc_id", "text")
