@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import zlib
 from collections.abc import Callable, Iterator
+from contextlib import suppress
+from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +64,49 @@ def text_id(column: str = "text") -> list:
     """Two 64-bit hashes of a text (null: as empty), which together name its class of equal texts."""
     text = F.coalesce(F.col(column), F.lit(""))
     return [F.xxhash64(text).alias("id1"), F.xxhash64(F.lit("lorekeep"), text, F.length(text)).alias("id2")]
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder; the files go when this process ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove(jvm=spark.sparkContext._jvm, conf=spark.sparkContext._jsc.hadoopConfiguration()) -> None:
+        with suppress(Exception):  # the gateway may be closed by then; the folder is a temporary one
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+    atexit.register(remove)
+    return spark.read.parquet(path)
+
+
+#: Bits of a filter of 64-bit names: 8 MB, whatever the input. It only saves shuffling; a join decides.
+FILTER_BITS = 1 << 26
+
+
+def bit_filter(names: DataFrame, column: str) -> np.ndarray:
+    """Bytes with a bit set for the low bits of every name; see :func:`hits`."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            at = np.unique(b.column(0).to_numpy().astype(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at].astype(np.int32))], ["at", "byte"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            np.bitwise_or.at(seen, b.column("at").to_numpy(), b.column("byte").to_numpy().astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["bits"])
+
+    got = names.select(column).mapInArrow(bits, "at long, byte int").repartition(1).mapInArrow(fold, "bits binary").collect()
+    return np.frombuffer(zlib.decompress(got[0].bits), np.uint8) if got else np.zeros(FILTER_BITS // 8, np.uint8)
+
+
+def hits(filter_: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which of the names (int64 or uint64) may be in the filter."""
+    at = (names.astype(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return (filter_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

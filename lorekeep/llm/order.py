@@ -124,6 +124,31 @@ def training_shards(docs: DataFrame, key: str, text: str, vocabulary: str, ranks
     return placed.groupBy("shard").applyInArrow(write, named)
 
 
+def records(shards: DataFrame, length: int = 512) -> DataFrame:
+    """``shard, at, key, part, n_tokens, record`` read back from shards by their fixed stride."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    stride, key = 2 * length, shards.schema["rows"].dataType.elementType["key"]
+    small_batches(shards.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                payload, rows = batch.column("payload")[i], batch.column("rows")[i].values
+                n = len(rows)
+                if len(payload.as_buffer()) != n * stride:
+                    raise ValueError("a shard is torn")
+                places = pa.array(np.arange(n + 1, dtype=np.int32) * stride)
+                record = pa.Array.from_buffers(pa.binary(), n, [None, places.buffers()[1], payload.as_buffer()])
+                shard = pa.array(np.full(n, batch.column("shard")[i].as_py()), pa.int64())
+                at = pa.array(np.arange(n), pa.int64())
+                for a in range(0, n, 1024):
+                    yield pa.RecordBatch.from_arrays([x.slice(a, 1024) for x in (shard, at, *(rows.field(f) for f in ("key", "part", "n_tokens")), record)], ["shard", "at", "key", "part", "n_tokens", "record"])
+
+    shape = _parse_datatype_string("shard long, at long, part int, n_tokens long, record binary").fields
+    return shards.mapInArrow(run, StructType([*shape[:2], key, *shape[2:]]))
+
+
 def write_shards(shards: DataFrame, path: str) -> None:
     """Write the shards as a table that is partitioned by nothing but sorted ranges of shard numbers."""
     shards.write.mode("errorifexists").parquet(path)
@@ -131,8 +156,6 @@ def write_shards(shards: DataFrame, path: str) -> None:
 
 def read_slots(spark, path: str, start: int, stop: int, length: int = 512, per_shard: int = 8192) -> DataFrame:
     """``slot, record`` for slots from ``start`` to before ``stop``; only the shards that hold them are read."""
-    stride = 2 * length
     shards = spark.read.parquet(path).where(F.col("shard").between(start // per_shard, max(start, stop - 1) // per_shard))
-    rows = shards.select("shard", "payload", F.posexplode("rows"))
-    out = rows.select((F.col("shard") * per_shard + F.col("pos")).alias("slot"), F.substring("payload", F.col("pos") * stride + 1, F.lit(stride)).alias("record"))
+    out = records(shards, length).select((F.col("shard") * per_shard + F.col("at")).alias("slot"), "record")
     return out.where((F.col("slot") >= start) & (F.col("slot") < stop))

@@ -106,20 +106,17 @@ RECORD, SHARD = 512, 8192
 
 @query
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .order import training_shards
+    from .order import records, training_shards
 
     shards = training_shards(documents(spark, sf_dir), "doc_id", "text", tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), RECORD, SHARD)
-    stride = 2 * RECORD
-    read = lambda row, at: F.struct(row["key"].alias("key"), row["part"].alias("part"), row["n_tokens"].alias("n"), F.crc32(F.substring("payload", at * stride + 1, F.lit(stride))).alias("crc"))
-    rows = shards.select("shard", F.transform("rows", read).alias("rows")).select("shard", F.posexplode("rows").alias("at", "row"))
-    return rows.select(
-        F.col("row.key").alias("doc_id"),
-        F.col("row.part").alias("part"),
+    return records(shards, RECORD).select(
+        F.col("key").alias("doc_id"),
+        "part",
         (F.col("shard") * SHARD + F.col("at")).alias("slot"),
         "shard",
-        (F.col("at").cast("long") * stride).alias("byte_offset"),
-        F.col("row.n").alias("n_tokens"),
-        F.col("row.crc").alias("record_crc32"),
+        (F.col("at") * (2 * RECORD)).alias("byte_offset"),
+        "n_tokens",
+        F.crc32("record").alias("record_crc32"),
     )
 
 
@@ -140,3 +137,17 @@ def op4_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(documents(spark, sf_dir), "doc_id", "text")
+
+
+@query
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.octet_length("text") - F.octet_length("kept"), F.lit(0)).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
