@@ -1,11 +1,11 @@
 """Operator 8: removal of long repeats by suffix arrays of a linear grouping construction.
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else in the corpus.
-Every such string holds an anchor: the least hash of its ``GRAM``-byte substrings, so equal strings
-hold equal anchors at equal places. Each document gives its anchors with hashes of their contexts
-(all strings of that length around the anchor). Equal contexts at two places are repeats as they
-stand. Where one anchor has several contexts, one copy of each is brought together, and a suffix
-array over them shows which strings start at two places.
+Every such string has an anchor: the least hash of its ``GRAM``-byte substrings, so equal strings
+have equal anchors at equal places. Each document gives its anchors with hashes of their contexts
+(all strings that have the anchor). Equal contexts at two places are repeats as they stand. Where
+one anchor has several contexts, one copy of each is brought together, and a suffix array over the
+pieces that they have in common shows which strings start at two places.
 
 The suffix array is built by grouping: suffixes are grouped by the Lyndon word that they begin
 with; groups are taken in descending order, and every group's word is appended to the words of the
@@ -135,84 +135,99 @@ def _anchors(first: int, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray,
         if end - begin < LENGTH:
             continue
         own = picked[begin : end - LENGTH + 1]
-        p = own[np.append(True, own[1:] != own[:-1])]
-        lo, hi = np.maximum(begin, p - (LENGTH - GRAM)), np.minimum(end, p + LENGTH)
+        turns = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        # the strings that hold p as their anchor start from lo on, and the last of them ends at hi
+        p, lo, hi = own[turns], begin + turns, begin + np.append(turns[1:], len(own)) - 1 + LENGTH
         context = mix(((sums[hi] - sums[lo]) * down[lo]) ^ mix(((hi - lo) << 20 | (p - lo)).astype(np.uint64)))
         yield first + i, p - begin, grams[p].astype(np.int64), context.astype(np.int64), p - lo, hi - p
 
 
-def _shared(parts: list[bytes]) -> list[int]:
-    """Of each string the longest prefix that it shares with another one of the list."""
+def _shared(parts: list[bytes]) -> tuple[list[int], list[int]]:
+    """Of each string the longest prefix that it shares with another one of the list; all such lengths of two strings, ascending."""
     order = sorted(range(len(parts)), key=parts.__getitem__)
-    out = [0] * len(parts)
+    out, cuts = [0] * len(parts), set()
     for a, b in zip(order, order[1:], strict=False):
         x, y = parts[a], parts[b]
         m = min(len(x), len(y))
         if x[:m] != y[:m]:
             m = int((np.frombuffer(x, np.uint8, m) != np.frombuffer(y, np.uint8, m)).argmax())
+        cuts.add(m)
         out[a], out[b] = max(out[a], m), max(out[b], m)
+    return out, sorted(cuts)
+
+
+def longest_common(s: list[int], array: list[int]) -> list[int]:
+    """Of each place in the suffix array, the symbols shared with the one before it."""
+    n, rank = len(s), [0] * len(s)
+    for r, i in enumerate(array):
+        rank[i] = r
+    out, k = [0] * n, 0
+    for i in range(n):
+        if rank[i]:
+            j = array[rank[i] - 1]
+            m = n - max(i, j)
+            while k < m and s[i + k] == s[j + k]:
+                k += 1
+            out[rank[i]] = k
+            k = max(0, k - 1)
+        else:
+            k = 0
     return out
 
 
-def repeated_starts(parts: list[bytes], places: list[tuple[int, int]], twice: list[bool]) -> list[list[int]]:
-    """Of each part the starts of its strings of LENGTH bytes that also start at another place.
+def repeated_spans(before: list[int], texts: list[bytes], decided: list[bool]) -> list[list[tuple[int, int]]]:
+    """Of contexts of one anchor (``before``: bytes in front of it) the spans covered by strings of LENGTH bytes that two of them share.
 
-    ``places``: document and offset of each part; ``twice``: parts that stand at two places anyhow.
+    Equal strings have their anchors at equal places, so contexts are compared as they lie. Any two
+    contexts part ways, on either side, at one of a few distances from the anchor; cut there, a
+    context is a short sequence of pieces, and what two sequences share in pieces they share in
+    bytes. The suffix array of these sequences then gives, for every left distance, how far to the
+    right a context agrees with another one that agrees so far to the left.
     """
+    left, left_cuts = _shared([t[:b][::-1] for t, b in zip(texts, before, strict=True)])
+    right, right_cuts = _shared([t[b:] for t, b in zip(texts, before, strict=True)])
+    names: dict[tuple[int, int, bytes], int] = {}
     symbols: list[int] = []
-    owner: list[tuple[int, int]] = []
-    for i, part in enumerate(parts):
-        symbols += part
-        symbols.append(-1 - i)
-        owner += [(i, a) for a in range(len(part) + 1)]
-    out: list[list[int]] = [[] for _ in parts]
-    run: list[tuple[int, int]] = []
-
-    def close() -> None:
-        if len(run) > 1 and (any(twice[i] for i, _ in run) or len({(places[i][0], places[i][1] + a) for i, a in run}) > 1):
-            for i, a in run:
-                out[i].append(a)
-
-    last = b""
-    for at in suffix_array(symbols):
-        i, a = owner[at]
-        if len(parts[i]) - a < LENGTH:
+    widths: list[int] = []
+    at: list[tuple[int, int, int]] = []  # place in symbols, context, left distance
+    for i, (text, b) in enumerate(zip(texts, before, strict=True)):
+        if left[i] + right[i] < LENGTH:
             continue
-        string = parts[i][a : a + LENGTH]
-        if string != last:
-            close()
-            run, last = [], string
-        run.append((i, a))
-    close()
-    return out
-
-
-def _group(before: list[int], texts: list[bytes], ids: list[int], offsets: list[int], twice: list[bool]) -> list[list[tuple[int, int]]]:
-    """Of one anchor's contexts, the spans (relative to the context) of their repeated strings."""
-    left = _shared([t[:b][::-1] for t, b in zip(texts, before, strict=True)])
-    right = _shared([t[b:] for t, b in zip(texts, before, strict=True)])
-    by: dict[tuple[int, bytes], list[int]] = {}
-    for i in range(len(texts)):  # what no other context shares can't be part of a repeat
-        if left[i] + right[i] >= LENGTH:
-            by.setdefault((left[i], texts[i][before[i] - left[i] : before[i] + right[i]]), []).append(i)
-    parts = list(by)
+        marks = [c for c in left_cuts if 0 < c <= left[i]]
+        for far, near in zip(reversed(marks), [*reversed(marks[:-1]), 0], strict=False):
+            at.append((len(symbols), i, far))
+            symbols.append(names.setdefault((0, near, text[b - far : b - near]), len(names)))
+            widths.append(far - near)
+        at.append((len(symbols), i, 0))
+        near = 0
+        for far in (c for c in right_cuts if 0 < c <= right[i]):
+            symbols.append(names.setdefault((1, near, text[b + near : b + far]), len(names)))
+            widths.append(far - near)
+            near = far
+        symbols.append(-1 - i)
+        widths.append(0)
+    array = suffix_array(symbols)
+    common, rank, sums = longest_common(symbols, array), [0] * len(symbols), [0]
+    for r, i in enumerate(array):
+        rank[i] = r
+    for w in widths:
+        sums.append(sums[-1] + w)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    many = [len(by[p]) > 1 or twice[by[p][0]] for p in parts]
-    if all(many):
-        starts = [[] for _ in parts]  # every part stands at two places as a whole
-    else:
-        places = [(ids[by[p][0]], offsets[by[p][0]] + before[by[p][0]] - p[0]) for p in parts]
-        starts = repeated_starts([p[1] for p in parts], places, many)
-    for p, m, found in zip(parts, many, starts, strict=True):
-        runs = [(0, len(p[1]))] if m else []
-        for a in [] if m else sorted(found):
-            if runs and a <= runs[-1][1]:
-                runs[-1] = (runs[-1][0], a + LENGTH)
+    inner = 0  # the next left distance nearer to the anchor, plus one
+    for k in range(len(at) - 1, -1, -1):
+        place, i, far = at[k]
+        r = rank[place]
+        most = max(common[r], common[r + 1] if r + 1 < len(common) else 0)
+        reach = sums[place + most] - sums[place] - far
+        least = max(inner if far else 0, LENGTH - reach)
+        if not decided[i] and reach > 0 and least <= far:
+            start, stop = before[i] - far, before[i] - least + LENGTH
+            own = spans[i]
+            if own and start <= own[-1][1] and stop >= own[-1][0]:
+                own[-1] = (min(start, own[-1][0]), max(stop, own[-1][1]))
             else:
-                runs.append((a, a + LENGTH))
-        for i in by[p]:
-            shift = before[i] - p[0]
-            spans[i] = [(a + shift, z + shift) for a, z in runs]
+                own.append((start, stop))
+        inner = far + 1
     return spans
 
 
@@ -298,10 +313,8 @@ def _sorted_spans(rows: DataFrame) -> DataFrame:
         out: list[tuple[int, int, int]] = []
         for a, z in zip(ends, ends[1:], strict=False):
             before, bodies, ids, places, twice = (table.column(c).slice(a, z - a).to_pylist() for c in ("before", "body", "id", "place", "twice"))
-            offsets = [p - b for p, b in zip(places, before, strict=True)]
-            for i, o, t, found in zip(ids, offsets, twice, _group(before, bodies, ids, offsets, twice), strict=True):
-                if not t:
-                    out += [(i, o + s, o + e) for s, e in found]
+            for i, p, b, found in zip(ids, places, before, repeated_spans(before, bodies, twice), strict=True):
+                out += [(i, p - b + s, p - b + e) for s, e in found]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["id", "start", "stop"])
 
     ordered = rows.repartition(shuffle_width(rows.sparkSession), "anchor", "pair").sortWithinPartitions("anchor", "pair", "context")
@@ -318,7 +331,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     several = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     live = cut(contexts.join(several, "anchor", "left").where("twice or n is not null"))
     # Equal contexts at two places: all of their strings are repeats, wherever they stand.
-    equal = found.join(live.where(f"twice and before + after >= {LENGTH}").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    equal = found.join(live.where("twice").select("anchor", "context"), ["anchor", "context"], "left_semi")
     equal = equal.select("id", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop"))
     wanted = _contexts(docs, cut(_names(live.where("n is not null").select("anchor", "context", "id", "place", "before", "twice", "n"))))
     # An anchor with very many contexts is sorted pair of pieces by pair of pieces.
