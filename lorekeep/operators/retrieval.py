@@ -23,13 +23,18 @@ def query_tokens(spark, query: str) -> list[str]:
     return list(row.t)
 
 
+def _times(array: str, term: str) -> Column:
+    """How often the term stands in the array."""
+    return F.size(F.filter(array, lambda x: x == term))
+
+
 def bm25(docs: DataFrame, key: str, document: Column, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """``key, score`` of the documents that hold a token of the query."""
     terms = query_tokens(docs.sparkSession, query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).where("false")
     counted = docs.select(key, tokens(document).alias("_t")).select(
-        key, F.size("_t").alias("_len"), *(F.size(F.filter("_t", lambda x, t=t: x == t)).alias(f"_tf{i}") for i, t in enumerate(terms))
+        key, F.size("_t").alias("_len"), *(_times("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms))
     )
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
     total = F.lit(0.0)

@@ -1,10 +1,9 @@
-"""Named queries over the driver's tables, each with its SQL twin."""
+"""Every query outside the training-data subpackage by name, and its SQL twin where there is one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import knowledge, relational, streams
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**knowledge.QUERIES, **relational.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**knowledge.ORACLE_SQL, **relational.ORACLE_SQL, **streams.ORACLE_SQL}
+ORACLE_SQL["stream_idle_sessions"] = knowledge.ORACLE_SQL["idle_sessions"]

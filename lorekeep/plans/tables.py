@@ -66,7 +66,7 @@ TODOS_SQL = """
 SELECT o_orderkey AS id,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' WHEN '5' THEN 'low' ELSE 'medium' END AS priority,
   CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'in_progress' ELSE 'done' END AS status,
-  CAST(epoch_ms(o_orderdate) AS BIGINT) AS created_ms,
+  CAST(epoch_us(o_orderdate) // 1000 AS BIGINT) AS created_ms,
   'order ' || CAST(o_orderkey AS VARCHAR) || ' for ' || CAST(o_custkey AS VARCHAR) AS title
 FROM orders
 """
@@ -85,7 +85,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TIMELINE_SQL = """
-SELECT event_id AS id, CAST(epoch_ms(ts) AS BIGINT) AS occurred_ms, user_id,
+SELECT event_id AS id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS occurred_ms, user_id,
   CASE event_type WHEN 'signup' THEN 'init' WHEN 'purchase' THEN 'session_summary' WHEN 'error' THEN 'todo' WHEN 'view' THEN 'memory' ELSE 'rescan' END AS event_type,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value
 FROM events
