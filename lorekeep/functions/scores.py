@@ -35,7 +35,7 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision; 0 for unequal lengths, non-finite parts or a zero norm."""
     a, b = a.cast("array<double>"), b.cast("array<double>")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    value = dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    value = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
     return F.when((F.size(a) == F.size(b)) & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), value).otherwise(0.0)
 
 

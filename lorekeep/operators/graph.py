@@ -89,6 +89,8 @@ def longest_chains(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFr
 def first_parents(commits: DataFrame, head: str, limit: int = 500) -> DataFrame:
     """Commits (``hash, parent``) from ``head`` along first parents, with their distance, by a bounded recursive query."""
     return commits.sparkSession.sql(
-        "WITH RECURSIVE walk AS (SELECT hash, parent, 0 AS distance FROM {c} WHERE hash = {h} UNION ALL SELECT n.hash, n.parent, walk.distance + 1 FROM walk JOIN {c} n ON n.hash = walk.parent WHERE walk.distance + 1 < {n}) SELECT * FROM walk",
-        c=commits, h=F.lit(head), n=F.lit(min(limit, 99)),
+        "WITH RECURSIVE walk AS (SELECT hash, parent, 0 AS distance FROM {commits} WHERE hash = :head "
+        "UNION ALL SELECT n.hash, n.parent, walk.distance + 1 FROM walk JOIN {commits} n ON n.hash = walk.parent WHERE walk.distance + 1 < :most) SELECT * FROM walk",
+        args={"head": head, "most": min(limit, 99)},
+        commits=commits,
     )

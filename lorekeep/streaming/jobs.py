@@ -50,27 +50,26 @@ def first_seen(events: DataFrame, keys: list[str], within: str = "1 hour") -> Da
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
-def throttled(events: DataFrame, key: str, throttle_ms: int = 300_000) -> DataFrame:
-    """Accepted touches of a key: state is the last accepted time, and is dropped after a silence of the throttle's length."""
+def throttled(events: DataFrame, key: str, throttle_ms: int = 300_000, late: str = "10 minutes") -> DataFrame:
+    """Accepted touches of a key: state is the last accepted time, and goes when the watermark has passed its throttle."""
 
     def step(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        times = pd.concat([f["ms"] for f in frames]).sort_values() if not state.hasTimedOut else pd.Series([], dtype="int64")
         kept = []
-        for t in times:
+        for t in [] if state.hasTimedOut else pd.concat([f["ms"] for f in frames]).sort_values():
             if last is None or t - last >= throttle_ms:
                 last = int(t)
                 kept.append(last)
-        if state.hasTimedOut:
+        if state.hasTimedOut or last is None or last + throttle_ms <= state.getCurrentWatermarkMs():
             state.remove()
-        elif last is not None:
+        else:
             state.update((last,))
-            state.setTimeoutDuration(throttle_ms)
+            state.setTimeoutTimestamp(last + throttle_ms)
         yield pd.DataFrame({key: [k[0]] * len(kept), "ms": pd.Series(kept, dtype="int64")})
 
-    rows = events.select(key, F.unix_millis("ts").alias("ms"))
+    rows = events.withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("ms"))
     shape = f"{key} {dict(events.dtypes)[key]}, ms long"
-    return rows.groupBy(key).applyInPandasWithState(step, shape, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(step, shape, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limited(events: DataFrame, key: str, most: int = 5, window_ms: int = 1_800_000) -> DataFrame:
