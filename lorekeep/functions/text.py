@@ -138,3 +138,22 @@ def grounded(evidence: Column, transcript: Column, window: int = 30, stride: int
 def base36(c: Column) -> Column:
     """A non-negative number in base 36, lower case."""
     return F.lower(F.conv(c.cast("string"), 10, 36))
+
+
+def safe_id(c: Column | str, limit: int = 40) -> Column:
+    """Lower-case letters and digits joined by single dashes; ``item`` if nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text_of(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(plain == "", "item").otherwise(F.substring(plain, 1, limit))
+
+
+def age_label(age_ms: Column) -> Column:
+    """today, yesterday, N days, N months."""
+    days = F.floor(F.greatest(age_ms, F.lit(0)) / 86_400_000).cast("long")
+    return F.when(days == 0, "today").when(days == 1, "yesterday").when(days < 60, F.concat(days.cast("string"), F.lit(" days"))).otherwise(F.concat(F.floor(days / 30).cast("string"), F.lit(" months")))
+
+
+def lenient_json(c: Column | str) -> Column:
+    """The first object of a text as JSON: fences and what stands around it off, commas before a closing brace dropped; null if it can't be read."""
+    body = F.regexp_extract(F.regexp_replace(text_of(c), "```(?:json)?", ""), r"(?s)(\{.*\})", 1)
+    fixed = F.regexp_replace(body, r",\s*([}\]])", "$1")
+    return F.when(F.try_parse_json(fixed).isNotNull() & (fixed != ""), fixed)

@@ -222,3 +222,54 @@ def lookup(df: DataFrame, key: str, prefix: str) -> DataFrame:
     chosen = found if exact.isEmpty() else exact
     n = chosen.limit(2).count()
     return chosen.withColumn("outcome", F.lit("ok" if n == 1 else "E_AMBIGUOUS_ID"))
+
+
+def evaluate_admission(incoming: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """Add ``outcome``: rejected (by the gate, with its reason and route), duplicate (of ``existing``, by fingerprint), or inserted."""
+    known = with_fingerprint(store.where(is_retrievable())).groupBy("fingerprint").agg(F.min(key).alias("existing"))
+    rows = with_fingerprint(rule_gate(incoming)).join(known, "fingerprint", "left")
+    outcome = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("existing").isNotNull(), "duplicate").otherwise("inserted")
+    return rows.withColumn("outcome", outcome)
+
+
+def best_prior(incoming: DataFrame, store: DataFrame, key: str, least: float = 0.72) -> DataFrame:
+    """``key, prior, similarity``: for each incoming record the stored one of its type with the most similar title, from ``least`` on.
+
+    Titles meet on the rarest bigrams that a similar pair must share, never all with all.
+    """
+    both = incoming.select(key, "type", "title", F.lit(True).alias("new")).unionByName(store.where(is_core()).select(key, "type", "title", F.lit(False).alias("new")))
+    grams = both.select(key, "type", "new", F.array_sort(char_bigrams("title")).alias("g"))
+    terms = grams.select(key, "type", "new", F.size("g").alias("n"), F.explode("g").alias("t"))
+    counts = terms.groupBy("type", "t").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy(key, "new").orderBy("df", "t"))
+    prefix = terms.join(counts, ["type", "t"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    a = prefix.where("new").select("type", "t", F.col(key).alias("a"), "n")
+    b = prefix.where("not new").select("type", "t", F.col(key).alias("b"), F.col("n").alias("m"))
+    pairs = a.join(b, ["type", "t"]).where(F.least("n", "m") >= least * F.greatest("n", "m")).select("a", "b").distinct()
+    ga = grams.where("new").select(F.col(key).alias("a"), F.col("g").alias("ga"))
+    gb = grams.where("not new").select(F.col(key).alias("b"), F.col("g").alias("gb"))
+    scored = pairs.join(ga, "a").join(gb, "b").withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least)
+    best = scored.groupBy("a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("b"))).alias("best"))
+    return best.select(F.col("a").alias(key), F.col("best.b").alias("prior"), F.col("best.similarity").alias("similarity"))
+
+
+def within_budget(df: DataFrame, size: str, budget: int, order: list, most: int = 100_000) -> DataFrame:
+    """The first rows in ``order`` whose sizes sum to at most ``budget``; at most ``most`` rows are looked at, by a distributed top-k."""
+    near = df.orderBy(*order).limit(most)
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return near.withColumn("_used", F.sum(size).over(w)).where(F.col("_used") <= budget).drop("_used")
+
+
+def housekeep(memories: DataFrame, key: str, max_items: int, max_tokens: int, now_ms: int) -> DataFrame:
+    """Statuses filled in, core records over the cap put to sleep; no row is dropped."""
+    filled = memories.withColumn("status", F.coalesce("status", F.lit("active")))
+    return core_cap(filled, key, max_items, max_tokens, now_ms).withColumn("status", F.when(F.col("evicted"), "dormant").otherwise(F.col("status"))).drop("evicted")
+
+
+def edited(memories: DataFrame, key: str, target: str, patch: dict[str, str], now_ms: int) -> DataFrame:
+    """One record with fields of ``patch`` replaced; unknown fields are refused, the time of change is set."""
+    if unknown := set(patch) - {"title", "content", "type", "importance", "status", "pinned"}:
+        raise ValueError(f"fields that can't be edited: {sorted(unknown)}")
+    here, kinds = F.col(key) == target, dict(memories.dtypes)
+    columns = {c: F.when(here, F.lit(v).cast(kinds[c])).otherwise(F.col(c)) for c, v in patch.items()}
+    return memories.withColumns(columns | {"updated_ms": F.when(here, F.lit(now_ms)).otherwise(F.col("updated_ms") if "updated_ms" in memories.columns else F.lit(None))})
