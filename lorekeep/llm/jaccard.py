@@ -1,11 +1,11 @@
 """Operator 4: exact n-gram Jaccard join by R-trees over count vectors.
 
-Texts become sets of hashed shingles; equal sets are one class. A pair of sets that reach the
-threshold shares one of the first ``n - ceil(0.75 n) + 1`` members of either set in any common
-order, so sets that share such a member form a block; members that are frequent in the corpus come
-last in the order. In a block, each set is the point of its members' counts by hash group; an R-tree
-of these points gives for a set the others whose summed coordinate minima reach the overlap that
-the threshold asks for, and the pairs that survive are verified on the sets themselves.
+Texts become sets of hashed shingles; equal sets are one class. Two sets that reach the threshold
+share three of the first ``n - ceil(0.75 n) + 3`` members of either in any common order; sets that
+share such members form blocks, and members that are frequent in the corpus come last in the order.
+In a block, each set is the point of its members' counts by hash group; an R-tree of these points
+gives for a set the others whose summed coordinate minima reach the overlap that the threshold asks
+for, finer groups bound it again, and the pairs that survive are verified on the sets themselves.
 
 Pairs are verified in two rounds. In the first a block gives at most one pair a set (to the first
 set that it may match); in the second it gives all pairs whose sets are not in one component yet.
@@ -19,25 +19,27 @@ key takes part but names a component only if all are null. Other columns are not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_width, small_batches
+from .common import bit_filter, cut, hits, shuffle_width, small_batches
 from .graph import components
 from .shingles import mix, shingle_sets
 
 #: Percent of similarity from which two sets link.
 PERCENT = 75
-#: Hash groups of a count vector; points of a tree's leaf; members of a block that are compared in one piece.
-GROUPS, LEAF, PIECE = 128, 32, 2048
+#: Hash groups of a tree's points, and the finer groups that a point is stored by.
+GROUPS, FINE = 64, 1 << 16
+#: Points of a leaf; members of a block that are compared in one piece.
+LEAF, PIECE = 32, 2048
 #: Shingles that come last in the order, at most (the most frequent of the corpus).
-FREQUENT = 1 << 16
-#: Bits of the filter of ids whose sets are needed; it only saves shuffling, a join decides.
-FILTER_BITS = 1 << 26
-_FULL = np.iinfo(np.uint16).max
+FREQUENT = 1 << 18
+#: Shared members that a pair of sets needs, and sets of a member up to which it counts pairs.
+LEAST, FEW = 3, 8
 
 
 def set_id(members: np.ndarray) -> int:
@@ -46,15 +48,14 @@ def set_id(members: np.ndarray) -> int:
     return int(total.astype(np.int64)[0])
 
 
-def count_vector(members: np.ndarray) -> np.ndarray:
-    """Counts by hash group; a count that overflows stands for any."""
-    return np.minimum(np.bincount((members >> np.uint64(57)).astype(np.int64), minlength=GROUPS), _FULL).astype(np.uint16)
+def count_point(members: np.ndarray) -> bytes:
+    """The fine group of every member, ascending: the count vector of FINE groups without its zeros."""
+    return (members >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
 def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Summed coordinate minima: no two such sets share more."""
-    low = np.minimum(a, b)
-    return np.where(low == _FULL, 1 << 40, low.astype(np.int64)).sum(axis=-1)
+    return np.minimum(a, b).sum(axis=-1)
 
 
 def reaches(overlap: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -91,39 +92,65 @@ class CountTree:
         return at[reaches(bound(self.points[at], point), size, self.sizes[at])]
 
 
-def block_pairs(sizes: np.ndarray, points: np.ndarray, sides: np.ndarray, roots: np.ndarray | None) -> tuple[list[tuple[int, int]], bool]:
-    """Candidate pairs of one block's members, and whether there are more.
+class Block:
+    """Members of a block with their points."""
 
-    ``sides``: 0 for members of one piece only, else 1 and 2, and pairs cross the sides. Without
+    def __init__(self, sizes: np.ndarray, points: list[bytes], sides: np.ndarray) -> None:
+        self.sizes, self.sides, self.cross = sizes, sides, bool(sides.any())
+        self.fine = [np.frombuffer(p, np.uint16) for p in points]
+        self.counts = np.stack([np.bincount(p // (FINE // GROUPS), minlength=GROUPS) for p in self.fine])
+        self.tree = CountTree(sizes, self.counts) if len(sizes) > LEAF else None
+        self.here = np.zeros(FINE, bool)
+
+    def search(self, i: int) -> np.ndarray:
+        """The members that i may match: those of the tree that the fine groups allow too.
+
+        The members of another set whose fine group isn't empty in i are at least the summed minima.
+        """
+        if self.tree:
+            found = self.tree.search(int(self.sizes[i]), self.counts[i])
+        else:
+            found = np.flatnonzero(reaches(np.minimum(bound(self.counts, self.counts[i]), np.minimum(self.sizes, self.sizes[i])), self.sizes[i], self.sizes))
+        found = found[(found != i) & ((self.sides[found] != self.sides[i]) if self.cross else True)]
+        if not len(found):
+            return found
+        self.here[self.fine[i]] = True
+        starts = np.cumsum([0, *(len(self.fine[j]) for j in found[:-1].tolist())])
+        most = np.add.reduceat(self.here[np.concatenate([self.fine[j] for j in found.tolist()])].astype(np.int64), starts)
+        self.here[self.fine[i]] = False
+        return found[reaches(np.minimum(most, self.sizes[i]), self.sizes[i], self.sizes[found])]
+
+
+def block_pairs(block: Block, roots: np.ndarray | None) -> tuple[list[tuple[int, int]], bool]:
+    """Candidate pairs of one block's members, and whether there may be more.
+
+    Sides are 0 for members of one piece only, else 1 and 2, and pairs cross the sides. Without
     ``roots`` every member goes to the first leader that it may match; with them all pairs of
     different roots are given.
     """
-    n = len(sizes)
-    tree = CountTree(sizes, points)
-    cross = sides.any()
+    n = len(block.sizes)
     pairs: list[tuple[int, int]] = []
     if roots is not None:
         for i in range(n):
-            found = tree.search(int(sizes[i]), points[i])
-            found = found[(found > i) & (roots[found] != roots[i])]
-            if cross:
-                found = found[sides[found] != sides[i]]
-            pairs += [(i, j) for j in found.tolist()]
+            found = block.search(i)
+            pairs += [(i, j) for j in found[(found > i) & (roots[found] != roots[i])].tolist()]
         return pairs, False
-    free, total = np.ones(n, bool), 0
+    free, passed = np.ones(n, bool), 0
     for i in range(n):
+        if n > LEAF and not free[i]:
+            passed = n * n  # not all are searched, so there may be more
+            continue
+        found = block.search(i)
+        passed += int((found > i).sum())
         if not free[i]:
             continue
-        found = tree.search(int(sizes[i]), points[i])
-        found = found[found != i]
-        if cross:
-            found = found[sides[found] != sides[i]]
-        total += len(found)
         taken = found[free[found]]
+        if not len(taken):  # all that it may match have a leader: one of them keeps it in play
+            taken = found[:1]
         free[i] = False
         free[taken] = False
         pairs += [(i, j) for j in taken.tolist()]
-    return pairs, n > 2
+    return pairs, passed > len(pairs)
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -136,120 +163,138 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """Per row: key, ``n`` and ``id`` of its set (null if empty); and the corpus' most frequent shingles, ascending."""
+    """Per row: key, ``n``, ``id`` and ``point`` of its set (null if empty); and the corpus' most frequent shingles, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        rows = 0
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist())
             ids = [set_id(s) if len(s) else None for s in sets]
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(n, bool)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64())], [key, "row", "n", "id"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(n, bool)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([count_point(s) if len(s) else None for s in sets], pa.binary())], [key, "row", "n", "id", "point"])
             held += [s for s in dict(zip(ids, sets, strict=True)).values() if len(s)]
-            rows += n
             if sum(map(len, held)) > 4_000_000:
-                yield count(held, rows)
-                held, rows = [], 0
-        yield count(held, rows)
+                yield count(held)
+                held = []
+        yield count(held)
 
-    def count(held: list[np.ndarray], rows: int) -> pa.RecordBatch:
-        """Shingles of a thousandth of a task's texts, three at least."""
+    def count(held: list[np.ndarray]) -> pa.RecordBatch:
+        """Shingles of three of a task's texts and more."""
         seen, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-        often = times >= max(3, rows // 1000)
+        often = times >= 3
         n = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(np.zeros(n, bool)), pa.array(times[often].astype(np.int64)), pa.array(seen[often].astype(np.int64))], [key, "row", "n", "id"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(np.zeros(n, bool)), pa.array(times[often].astype(np.int64)), pa.array(seen[often].astype(np.int64)), pa.nulls(n, pa.binary())], [key, "row", "n", "id", "point"])
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     kind = to_arrow_type(docs.schema[key].dataType)
-    both = cut(docs.select(key, text).mapInArrow(run, StructType([docs.schema[key], *_parse_datatype_string("row boolean, n long, id long").fields])))
+    both = cut(docs.select(key, text).mapInArrow(run, StructType([docs.schema[key], *_parse_datatype_string("row boolean, n long, id long, point binary").fields])))
     top = both.where("not row").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).select("id").collect()
     frequent = np.sort(np.array([r.id for r in top], np.int64).astype(np.uint64))
     return both.where("row").drop("row"), frequent
 
 
+def prefix_length(n: int) -> int:
+    """Members of a set of n, first in the order, of which two similar sets share LEAST (of fewer than 4: one)."""
+    return n - -(-PERCENT * n // 100) + (LEAST if n >= 4 else 1)
+
+
+def together(k: np.ndarray, n: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of member, size and set: pairs (a, b, times) of few sets that share members, and (a, b, 0) of many, under their least."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(k, kind="stable")
+    k, n, i = k[order], n[order], i[order]
+    ends = _runs(k)
+    many = np.repeat(np.diff(ends) > 1, np.diff(ends))
+    k, n, i = k[many], n[many], i[many]
+    order = np.lexsort((i, n, k))
+    k, n, i = k[order], n[order], i[order]
+    first = _runs(k, i)[:-1]
+    k, n, i = k[first], n[first], i[first]
+    if not len(k):
+        return none
+    # sets of a run are close enough in size to be chained
+    apart = np.append(True, (k[1:] != k[:-1]) | (100 * n[:-1] < PERCENT * n[1:]))
+    starts = np.flatnonzero(apart)
+    sizes = np.diff(np.append(starts, len(k)))
+    a, b, w = [none[0]], [none[0]], [none[0]]
+    for m in range(2, FEW + 1):
+        at = starts[sizes == m]
+        for x, y in combinations(range(m), 2):
+            p, q = at + x, at + y
+            near = 100 * n[p] >= PERCENT * n[q]
+            p, q = p[near], q[near]
+            a.append(np.minimum(i[p], i[q]))
+            b.append(np.maximum(i[p], i[q]))
+            w.append(np.where(n[p] < 4, LEAST, 1))
+    large = sizes > FEW
+    least = np.minimum.reduceat(i, starts)
+    rows = np.repeat(large, sizes)
+    a.append(np.repeat(least[large], sizes[large]))
+    b.append(i[rows])
+    w.append(np.zeros(int(rows.sum()), np.int64))
+    a, b, w = (np.concatenate(x) for x in (a, b, w))
+    if not len(a):
+        return none
+    order = np.lexsort((w == 0, b, a))
+    a, b, w = a[order], b[order], w[order]
+    first = _runs(a, b, w == 0)[:-1]
+    return a[first], b[first], np.add.reduceat(w, first)
+
+
 def blocks(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
-    """``block, piece, ids``: the sets that share a member of their prefixes, equal blocks once, in pieces of PIECE."""
+    """``block, id``: sets that may be similar, by the members that they share at the head of the order.
+
+    A member that few sets share gives pairs, which count: a pair that shares no member of many
+    sets needs LEAST of them. The sets under a member of many sets form a block with the least of
+    them, so the many members that a group of near copies shares fall into a few blocks.
+    """
     width = max(8, shuffle_width(docs.sparkSession))
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            ks, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            ks, ns, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for s in shingle_sets(b.column(0).to_pylist()):
                 if not len(s) or (name := set_id(s)) in done:
                     continue
                 done.add(name)
-                first = len(s) - -(-PERCENT * len(s) // 100) + 1
                 at = np.minimum(np.searchsorted(shared.value, s), max(0, len(shared.value) - 1))
                 late = shared.value[at] == s if len(shared.value) else np.zeros(len(s), bool)
-                ks.append(np.concatenate([s[~late], s[late]])[:first])
+                ks.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s))])
+                ns.append(np.full(len(ks[-1]), len(s), np.int32))
                 ids.append(np.full(len(ks[-1]), name, np.int64))
-            k, i = np.concatenate(ks), np.concatenate(ids)
+            k, n, i = np.concatenate(ks), np.concatenate(ns), np.concatenate(ids)
             part = (mix(k) % np.uint64(width)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            k, i, part = k[order], i[order], part[order]
+            k, n, i, part = k[order], n[order], i[order], part[order]
             ends = _runs(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[ends[:-1]] if len(part) else part, pa.int64()), *(pa.array([x[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)] if len(part) else [], pa.binary()) for x in (k, i))],
-                ["part", "ks", "ids"],
+                [pa.array(part[ends[:-1]] if len(part) else part, pa.int64()), *(pa.array([x[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)] if len(part) else [], pa.binary()) for x in (k, n, i))],
+                ["part", "ks", "ns", "ids"],
             )
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        ks, ns, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for b in batches:
-            ks += [np.frombuffer(x, np.uint64) for x in b.column("ks").to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in b.column("ids").to_pylist()]
-        k, i = np.concatenate(ks), np.concatenate(ids)
-        if not len(k):
-            return
-        order = np.argsort(k)
-        k, i = k[order], i[order]
-        ends = _runs(k)
-        many = np.repeat(np.diff(ends) > 1, np.diff(ends))
-        k, i = k[many], i[many]
-        order = np.lexsort((i, k))
-        k, i = k[order], i[order]
-        ends = _runs(k, i)[:-1]
-        k, i = k[ends], i[ends]
-        if not len(k):
-            return
-        ends = _runs(k)
-        name = mix(np.add.reduceat(mix(i.astype(np.uint64)), ends[:-1])) ^ np.diff(ends).astype(np.uint64)
-        kept = np.unique(name, return_index=True)[1]
-        kept = kept[np.diff(ends)[kept] > 1]
-        out = [(int(name[r].astype(np.int64)), p, i[a : min(a + PIECE, ends[r + 1])]) for r in kept.tolist() for p, a in enumerate(range(ends[r], ends[r + 1], PIECE))]
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["block", "piece", "ids"])
-
-    keyed = docs.select(text).mapInArrow(keys, "part long, ks binary, ids binary")
-    return keyed.repartition(width, "part").mapInArrow(group, "block long, piece int, ids array<long>").dropDuplicates(["block", "piece"])
-
-
-def live_sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
-    """``id, n, point, members`` of the sets named in ``ids``: one text pass and a join on the survivors of a bit filter."""
+            for held, c, t in ((ks, "ks", np.uint64), (ns, "ns", np.int32), (ids, "ids", np.int64)):
+                held += [np.frombuffer(x, t) for x in b.column(c).to_pylist()]
+        found = together(np.concatenate(ks), np.concatenate(ns).astype(np.int64), np.concatenate(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "w"])
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FILTER_BITS // 8, np.uint8)
-        for b in batches:
-            at = np.unique(b.column("id").to_numpy().astype(np.uint64) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-            np.bitwise_or.at(seen, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at].astype(np.int32))], ["at", "byte"])
+    keyed = docs.select(text).mapInArrow(keys, "part long, ks binary, ns binary, ids binary")
+    met = cut(keyed.repartition(width, "part").mapInArrow(group, "a long, b long, w long"))
+    few = met.where("w > 0").groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= LEAST)
+    few = few.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("id"))
+    return few.unionByName(met.where("w = 0").select(F.col("a").alias("block"), F.col("b").alias("id"))).distinct()
 
-    import zlib
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FILTER_BITS // 8, np.uint8)
-        for b in batches:
-            np.bitwise_or.at(seen, b.column("at").to_numpy(), b.column("byte").to_numpy().astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["bits"])
+def live_sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+    """``id, members`` of the sets named in ``ids``: one text pass and a join on the survivors of a bit filter."""
 
-    # A map of fixed size (8 MB), whatever the input.
-    got = ids.mapInArrow(bits, "at long, byte int").repartition(1).mapInArrow(fold, "bits binary").collect()
-    shared = docs.sparkSession.sparkContext.broadcast(np.frombuffer(zlib.decompress(got[0].bits), np.uint8) if got else np.zeros(FILTER_BITS // 8, np.uint8))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -258,13 +303,12 @@ def live_sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
             for s in shingle_sets(b.column(0).to_pylist()):
                 if not len(s) or (name := set_id(s)) in done:
                     continue
-                at = name & (FILTER_BITS - 1)
-                if shared.value[at >> 3] >> (at & 7) & 1:
-                    done.add(name)
-                    rows.append((name, len(s), count_vector(s).tobytes(), s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["id", "n", "point", "members"])
+                done.add(name)
+                if hits(shared.value, np.array([name]))[0]:
+                    rows.append((name, s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary()))], ["id", "members"])
 
-    found = docs.select(text).mapInArrow(run, "id long, n long, point binary, members binary")
+    found = docs.select(text).mapInArrow(run, "id long, members binary")
     return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -284,18 +328,19 @@ def candidate_pairs(members: DataFrame, rooted: bool) -> DataFrame:
     def pairs(table: pa.Table) -> pa.RecordBatch:
         out: list[tuple[int, int, int, bool]] = []
         if table.num_rows:
-            block, left, right, ids, sizes, sides = (table.column(c).to_numpy() for c in ("block", "left", "right", "id", "n", "side"))
-            points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
+            name, left, right, ids, sizes, sides = (table.column(c).to_numpy() for c in ("block", "left", "right", "id", "n", "side"))
+            points = table.column("point").to_pylist()
             roots = table.column("root").to_numpy() if rooted else None
-            ends = _runs(block, left, right)
+            ends, seen = _runs(name, left, right), set()
             for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 order = a + np.lexsort((ids[a:z], sizes[a:z]))
-                if z - a == 2 and not rooted:
-                    i, j = order
-                    found, more = ([(0, 1)] if reaches(bound(points[i], points[j]), sizes[i], sizes[j]) and sides[i] | sides[j] in (0, 3) else []), False
-                else:
-                    found, more = block_pairs(sizes[order], points[order], sides[order], roots[order] if rooted else None)
-                out += [(int(block[a]), int(ids[order[i]]), int(ids[order[j]]), more) for i, j in found]
+                block = Block(sizes[order], [points[i] for i in order], sides[order])
+                found, more = block_pairs(block, roots[order] if rooted else None)
+                for i, j in found:
+                    u, v = sorted((int(ids[order[i]]), int(ids[order[j]])))
+                    if more or (u, v) not in seen:
+                        seen.add((u, v))
+                        out.append((int(name[a]), u, v, more))
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["block", "a", "b", "more"])
 
     width = shuffle_width(members.sparkSession)
@@ -325,25 +370,25 @@ def jaccard_components(docs: DataFrame, key: str, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
     rows, frequent = describe(docs, key, text)
     parts = cut(blocks(docs, text, frequent))
-    pieces = parts.groupBy("block").agg(F.max("piece").alias("last"))
     # A large block is compared piece against piece; each row goes to the pairs that its piece is in.
-    spread = parts.join(pieces, "block").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    spread = spread.select("block", F.least("piece", "other").alias("left"), F.greatest("piece", "other").alias("right"), F.expr("case when piece = other then 0 when piece < other then 1 else 2 end").alias("side"), F.explode("ids").alias("id"))
-    sets = cut(live_sets(docs, text, parts.select(F.explode("ids").alias("id")).distinct()))
-    points = sets.select("id", "n", "point")
-    members = spread.join(points, "id")
-    first = cut(candidate_pairs(members, False))
-    pairs = lambda found: found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    tried = pairs(first)
+    pieces = parts.groupBy("block").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    spread = parts.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    spread = spread.select("block", F.least("piece", "other").alias("left"), F.greatest("piece", "other").alias("right"), F.expr("case when piece = other then 0 when piece < other then 1 else 2 end").alias("side"), "id")
+    points = rows.where("id is not null").select("id", "n", "point").dropDuplicates(["id"])
+    first = cut(candidate_pairs(spread.join(points, "id"), False))
+    pairs = lambda found: found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    tried = cut(pairs(first))
+    # Whatever may match anything in a block is in one of the first pairs, so these sets serve both rounds.
+    sets = cut(live_sets(docs, text, tried.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
     links = cut(verified(tried, sets))
     roots = cut(components(links))
     # Blocks with members of several components, and more pairs than were tried.
     open_ = first.where("more").select("block").distinct()
     rooted = spread.join(open_, "block", "left_semi").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("block")
-    second = pairs(candidate_pairs(rooted.join(mixed, "block", "left_semi").join(points, "id"), True)).join(tried, ["u", "v"], "left_anti")
-    links = links.unionByName(verified(second, sets))
-    roots = components(links)
+    second = cut(pairs(candidate_pairs(rooted.join(mixed, "block", "left_semi").join(points, "id"), True)).join(tried, ["u", "v"], "left_anti"))
+    if not second.isEmpty():
+        roots = components(links.unionByName(verified(second, sets)))
     classes = rows.where("id is not null").groupBy("id").agg(F.min(key).alias("first")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component")), "root").select("id", "component")
     return rows.join(named, "id", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component", key).alias("component_id"))
