@@ -32,6 +32,8 @@ MAX_TRAIN = 16_000
 #: Seen in fewer training documents than this, an n-gram counts for nothing.
 MIN_DOCS = 3
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
+#: What a token is written as that stands twice running.
+AGAIN = zlib.crc32(b"\x03")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -52,6 +54,7 @@ def indicators(text: str | None, codes: _Codes) -> np.ndarray:
     if not tokens:
         return np.zeros(0, np.int64)
     one = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
+    one[1:][one[1:] == one[:-1]] = AGAIN
     two = one[:-1] * np.uint64(0x9E3779B1) + one[1:] * np.uint64(0x85EBCA77)
     both = np.concatenate([one * np.uint64(0xC2B2AE3D27D4EB4F), two * np.uint64(0x9E3779B97F4A7C15)])
     return np.unique(both >> np.uint64(46)).astype(np.int64)
