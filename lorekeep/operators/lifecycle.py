@@ -94,21 +94,34 @@ def first_of_fingerprint(df: DataFrame, key: str) -> DataFrame:
     return rows.join(least, "fingerprint").withColumn("duplicate", F.col(key) != F.col("keeper"))
 
 
+def _segments(sets: DataFrame, least: float) -> DataFrame:
+    """Rows of ``id, type, g`` (a set of bigrams) with ``n`` and, exploded, ``part``: names of parts of the set.
+
+    Two sets of sizes n and m with similarity ``least`` differ in at most ``d = (1 - least) / (1 + least) (n + m)``
+    members, so if bigrams are dealt into d + 1 segments by hash, the sets agree in a whole segment.
+    Sizes are banded by the ratio ``least``; a set is named in its own band and in the next, where it
+    is the smaller one. A whole segment is far rarer than one bigram, so few sets meet by chance.
+    """
+    step = -F.ln(F.lit(least))
+    sized = sets.withColumn("n", F.size("g")).withColumn("_b", F.explode(F.array(*(F.floor(F.ln(F.col("n").cast("double")) / step + 1e-9) + k for k in (0, 1)))))
+    most = 2 * F.exp(step * (F.col("_b") + 1)) + 1
+    dealt = sized.withColumn("_p", F.floor(most * (1 - least) / (1 + least)).cast("int") + 1).withColumn("_h", F.transform("g", lambda t: F.pmod(F.xxhash64(t), F.col("_p"))))
+    pairs = F.arrays_zip("g", "_h")
+    part = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda i: F.xxhash64("type", "_b", i, F.transform(F.filter(pairs, lambda x: x["_h"] == i), lambda x: x["g"])))
+    return dealt.select("id", "type", "n", F.explode(part).alias("part"))
+
+
 def near_titles(df: DataFrame, key: str, least: float = 0.85) -> DataFrame:
     """Pairs ``a < b`` of distinct titles of one type with bigram similarity of at least ``least``.
 
-    Titles with equal bigram sets are one class, named by its least key. A pair shares one of the
-    rarest ``n - ceil(least n) + 1`` bigrams of either title, so classes meet on those only; size
-    bounds cut pairs before the sets are compared.
+    Titles with equal bigram sets are one class, named by its least key. Classes meet on whole
+    segments of their sets; size bounds cut pairs before the sets are compared.
     """
     grams = df.select(key, "type", F.array_sort(char_bigrams("title")).alias("g"))
     classes = grams.groupBy("type", "g").agg(F.min(key).alias("id"))
-    counts = classes.select("type", F.explode("g").alias("t")).groupBy("type", "t").agg(F.count("*").alias("df"))
-    ordered = classes.select("type", "id", F.size("g").alias("n"), F.explode("g").alias("t")).join(counts, ["type", "t"])
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))
-    prefix = ordered.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("type", "id", "n", "t")
-    other = prefix.select("type", F.col("id").alias("b"), F.col("n").alias("m"), "t")
-    pairs = prefix.withColumnRenamed("id", "a").join(other, ["type", "t"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("a", "b").distinct()
+    parts = _segments(classes, least)
+    other = parts.select(F.col("id").alias("b"), F.col("n").alias("m"), "part")
+    pairs = parts.select(F.col("id").alias("a"), "n", "part").join(other, "part").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("a", "b").distinct()
     sets = classes.select("id", "g")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     return both.withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
@@ -235,19 +248,16 @@ def evaluate_admission(incoming: DataFrame, store: DataFrame, key: str) -> DataF
 def best_prior(incoming: DataFrame, store: DataFrame, key: str, least: float = 0.72) -> DataFrame:
     """``key, prior, similarity``: for each incoming record the stored one of its type with the most similar title, from ``least`` on.
 
-    Titles meet on the rarest bigrams that a similar pair must share, never all with all.
+    Titles meet on whole segments of their bigram sets, never all with all.
     """
     both = incoming.select(key, "type", "title", F.lit(True).alias("new")).unionByName(store.where(is_core()).select(key, "type", "title", F.lit(False).alias("new")))
-    grams = both.select(key, "type", "new", F.array_sort(char_bigrams("title")).alias("g"))
-    terms = grams.select(key, "type", "new", F.size("g").alias("n"), F.explode("g").alias("t"))
-    counts = terms.groupBy("type", "t").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy(key, "new").orderBy("df", "t"))
-    prefix = terms.join(counts, ["type", "t"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    a = prefix.where("new").select("type", "t", F.col(key).alias("a"), "n")
-    b = prefix.where("not new").select("type", "t", F.col(key).alias("b"), F.col("n").alias("m"))
-    pairs = a.join(b, ["type", "t"]).where(F.least("n", "m") >= least * F.greatest("n", "m")).select("a", "b").distinct()
-    ga = grams.where("new").select(F.col(key).alias("a"), F.col("g").alias("ga"))
-    gb = grams.where("not new").select(F.col(key).alias("b"), F.col("g").alias("gb"))
+    grams = both.select(F.struct("new", key).alias("id"), "type", F.array_sort(char_bigrams("title")).alias("g"))
+    parts = _segments(grams, least)
+    a = parts.where("id.new").select("part", F.col(f"id.{key}").alias("a"), "n")
+    b = parts.where("not id.new").select("part", F.col(f"id.{key}").alias("b"), F.col("n").alias("m"))
+    pairs = a.join(b, "part").where(F.least("n", "m") >= least * F.greatest("n", "m")).select("a", "b").distinct()
+    ga = grams.where("id.new").select(F.col(f"id.{key}").alias("a"), F.col("g").alias("ga"))
+    gb = grams.where("not id.new").select(F.col(f"id.{key}").alias("b"), F.col("g").alias("gb"))
     scored = pairs.join(ga, "a").join(gb, "b").withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least)
     best = scored.groupBy("a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("b"))).alias("best"))
     return best.select(F.col("a").alias(key), F.col("best.b").alias("prior"), F.col("best.similarity").alias("similarity"))
