@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # The token pattern and its limit.
 TOKEN = r"[a-z0-9_./:@-]+|[一-鿿]+"
+LATIN = r"[a-z0-9_./:@-]{2,}"
 MAX_TOKENS = 2000
 
 
@@ -20,7 +21,8 @@ def text_of(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Lower-case tokens: Latin runs of two letters and more, CJK runs as bigrams; the first 2000."""
-    runs = F.regexp_extract_all(F.lower(text_of(c)), F.lit(TOKEN), F.lit(0))
+    low = F.lower(text_of(c))
+    runs = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
     cjk = lambda t: t.rlike("^[一-鿿]")
     pieces = F.transform(
         runs,
@@ -28,7 +30,9 @@ def tokens(c: Column | str) -> Column:
         .when(cjk(t) | (F.length(t) > 1), F.array(t))
         .otherwise(F.array().cast("array<string>")),
     )
-    return F.slice(F.flatten(pieces), 1, MAX_TOKENS)
+    # Without CJK letters the runs of two letters and more are the tokens as they stand.
+    latin = F.regexp_extract_all(low, F.lit(LATIN), F.lit(0))
+    return F.slice(F.when(low.rlike("[一-鿿]"), F.flatten(pieces)).otherwise(latin), 1, MAX_TOKENS)
 
 
 def char_bigrams(c: Column | str) -> Column:

@@ -33,9 +33,9 @@ def bm25(docs: DataFrame, key: str, document: Column, query: str, k1: float = K1
     terms = query_tokens(docs.sparkSession, query)
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).where("false")
-    counted = docs.select(key, tokens(document).alias("_t")).select(
-        key, F.size("_t").alias("_len"), *(_times("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms))
-    )
+    # The long array is walked once, for all terms; each term is counted among the few that are left.
+    split = docs.select(key, tokens(document).alias("_t")).select(key, F.size("_t").alias("_len"), F.filter("_t", lambda x: x.isin(*terms)).alias("_hits"))
+    counted = split.select(key, "_len", *(_times("_hits", t).alias(f"_tf{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
     total = F.lit(0.0)
     for i in range(len(terms)):
