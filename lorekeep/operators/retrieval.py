@@ -57,12 +57,6 @@ def vector_recall(vectors: DataFrame, key: str, vector: str, query: list[float])
     return vectors.select(key, scores.cosine(F.col(vector), q).alias("score")).where("score > 0")
 
 
-def max_normalised(c: str) -> Column:
-    """Divided by the greatest; 0 if that isn't positive."""
-    best = F.max(c).over(Window.partitionBy())
-    return F.when(best > 0, F.col(c) / best).otherwise(0.0)
-
-
 def with_normalised(df: DataFrame, c: str, name: str) -> DataFrame:
     """``c`` divided by its greatest value, joined from a one-row aggregate instead of a global window."""
     best = df.agg(F.max(c).alias("_best"))
