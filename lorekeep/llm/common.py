@@ -38,10 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows and the bytes of the Arrow batches that carry whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -102,7 +102,9 @@ def bit_filter(names: DataFrame, column: str) -> np.ndarray:
             np.bitwise_or.at(seen, b.column("at").to_numpy(), b.column("byte").to_numpy().astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["bits"])
 
-    got = names.select(column).mapInArrow(bits, "at long, byte int").repartition(1).mapInArrow(fold, "bits binary").collect()
+    # At most a row a byte of the map comes to the one task that folds it.
+    told = names.select(column).mapInArrow(bits, "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte"))
+    got = told.repartition(1).mapInArrow(fold, "bits binary").collect()
     return np.frombuffer(zlib.decompress(got[0].bits), np.uint8) if got else np.zeros(FILTER_BITS // 8, np.uint8)
 
 

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: Links of a task; fewer links use fewer tasks, whatever the session's shuffle width is.
+PER_TASK = 200_000
+
+
+def _stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """One step: neighbours of a node are hung on the least of them.
 
     Least neighbours are pre-aggregated where the edges are, so a node with a third of all edges
@@ -16,12 +20,12 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """
     if large:  # every neighbour greater than the node goes to the least one
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(parts)
+        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts).distinct().coalesce(parts)
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,8 +36,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     nodes = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
     now, seen = cut(edges.where("u <> v and u is not null and v is not null").select("u", "v").distinct()), None
+    parts = now.count() // PER_TASK + 1
+    now = now.coalesce(parts)
     while True:
-        now = cut(_stars(_stars(now, True), False))
+        now = cut(_stars(_stars(now, True, parts), False, parts))
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break

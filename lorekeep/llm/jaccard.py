@@ -186,10 +186,10 @@ def describe(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarra
         return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(np.zeros(n, bool)), pa.array(times[often].astype(np.int64)), pa.array(seen[often].astype(np.int64)), pa.nulls(n, pa.binary())], [key, "row", "n", "id", "point"])
 
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType, _parse_datatype_string
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     kind = to_arrow_type(docs.schema[key].dataType)
-    both = cut(docs.select(key, text).mapInArrow(run, StructType([docs.schema[key], *_parse_datatype_string("row boolean, n long, id long, point binary").fields])))
+    both = cut(docs.select(key, text).mapInArrow(run, StructType([StructField(key, docs.schema[key].dataType), *_parse_datatype_string("row boolean, n long, id long, point binary").fields])))
     top = both.where("not row").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).select("id").collect()
     frequent = np.sort(np.array([r.id for r in top], np.int64).astype(np.uint64))
     return both.where("row").drop("row"), frequent

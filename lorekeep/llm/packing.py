@@ -12,7 +12,6 @@ deterministic when read again; other columns are not looked at.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -19,7 +19,9 @@ Other columns are passed through.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .shingles import mix, powers, prefix_hash
 LENGTH, GRAM = 400, 32
 #: Contexts of one anchor that are sorted together; more are sorted pair of pieces by pair of pieces.
 PIECE = 4096
+#: Symbols of one suffix array (about 300 bytes each); contexts with more are compared pair of parts by pair of parts.
+MOST_SYMBOLS = 300_000
 
 
 def suffix_array(s: Sequence[int]) -> list[int]:
@@ -186,6 +190,11 @@ def repeated_spans(before: list[int], texts: list[bytes], decided: list[bool]) -
     """
     left, left_cuts = _shared([t[:b][::-1] for t, b in zip(texts, before, strict=True)])
     right, right_cuts = _shared([t[b:] for t, b in zip(texts, before, strict=True)])
+    # what parts two contexts nearer to the anchor than any string's other side allows can't matter
+    left_cuts = [c for c in left_cuts if c >= LENGTH - max(right)]
+    right_cuts = [c for c in right_cuts if c >= LENGTH - max(left)]
+    if len(texts) > 2 and sum(bisect_right(left_cuts, a) + bisect_right(right_cuts, b) + 1 for a, b in zip(left, right, strict=True) if a + b >= LENGTH) > MOST_SYMBOLS:
+        return _by_parts(before, texts, decided)
     names: dict[tuple[int, int, bytes], int] = {}
     symbols: list[int] = []
     widths: list[int] = []
@@ -231,6 +240,17 @@ def repeated_spans(before: list[int], texts: list[bytes], decided: list[bool]) -
     return spans
 
 
+def _by_parts(before: list[int], texts: list[bytes], decided: list[bool]) -> list[list[tuple[int, int]]]:
+    """The same for very many contexts: any two of them meet in some pair of three parts."""
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    parts = [list(range(k, len(texts), 3)) for k in range(3)]
+    for x, y in combinations(parts, 2):
+        own = x + y
+        for i, found in zip(own, repeated_spans(*([c[i] for i in own] for c in (before, texts, decided))), strict=True):
+            spans[i] += found
+    return spans
+
+
 def _bytes(batch: pa.RecordBatch, done: set[int]) -> tuple[list[int], list[bytes]]:
     """Ids and texts of a batch; texts that this task has seen are empty."""
     ids, texts = batch.column("id").to_pylist(), []
@@ -347,8 +367,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     return merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``kept`` (binary, the remaining bytes) and ``spans`` (array of start, stop: maximal removed runs)."""
+def remove_repeats(docs: DataFrame, text: str = "text", in_place: bool = False) -> DataFrame:
+    """``docs`` with ``kept`` (binary, the remaining bytes) and ``spans`` (array of start, stop: maximal removed runs).
+
+    With ``in_place`` the text itself becomes what remains, less letters that a cut has torn, and there is no ``kept``.
+    """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     small_batches(docs.sparkSession)
@@ -361,17 +384,23 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = copies.where(f"copies > 1 and n >= {LENGTH}").select("id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop"))).alias("all"))
     lost = repeats(texts).join(whole, "id", "full").select(F.col("id").alias("_id"), F.coalesce("all", "spans").alias("spans"))
 
+    def cut_spans(t: str | None, spans: list[dict[str, int]] | None) -> bytes:
+        raw, at, parts = (t or "").encode("utf-8", "surrogatepass"), 0, []
+        for s in spans or ():
+            parts.append(raw[at : s["start"]])
+            at = s["stop"]
+        return b"".join([*parts, raw[at:]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = []
-            for t, spans in zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True):
-                raw, at, parts = (t or "").encode("utf-8", "surrogatepass"), 0, []
-                for s in spans or ():
-                    parts.append(raw[at : s["start"]])
-                    at = s["stop"]
-                kept.append(b"".join([*parts, raw[at:]]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept, pa.binary()), b.column("spans")], [*names, "kept", "spans"])
-
-    extra = _parse_datatype_string("kept binary, spans array<struct<start:long,stop:long>>")
+            columns = {c: b.column(c) for c in names}
+            pairs = list(zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True))
+            if in_place:
+                columns[text] = pa.array([cut_spans(t, s).decode("utf-8", "ignore") if s else t for t, s in pairs], pa.string())
+            else:
+                columns["kept"] = pa.array([cut_spans(t, s) for t, s in pairs], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns.values(), b.column("spans")], [*columns, "spans"])
+
+    extra = _parse_datatype_string(("" if in_place else "kept binary, ") + "spans array<struct<start:long,stop:long>>")
     joined = named.join(cut(lost), "_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:long,stop:long>>")))
     return joined.select(*names, "spans").mapInArrow(run, StructType([*docs.schema.fields, *extra.fields]))

@@ -24,3 +24,11 @@ def test_hard_rows_go_through(spark, hard_docs, tables):
 def test_no_rows(spark, no_docs, tables):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert pipeline.run(spark, tables(documents=no_docs, labels=labels)).count() == 0
+
+
+def test_rows_without_an_id_join_their_groups(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(5, base), (None, base + " more"), (None, "alone " + base[::-1]), (None, "alone " + base[::-1]), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in pipeline.keep_one_of_each_group(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(5, base), (None, "alone " + base[::-1]), (9, None)], key=str)

@@ -68,8 +68,9 @@ def test_many_near_copies_by_brute_force(spark, monkeypatch):
         texts.append("".join(t) + ("q" * rng.randint(0, 900) if rng.random() < 0.2 else ""))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute(texts, 400)
-    for piece in (4096, 3):
+    for piece, symbols in ((4096, 300_000), (3, 300_000), (4096, 20)):
         monkeypatch.setattr(suffix, "PIECE", piece)
+        monkeypatch.setattr(suffix, "MOST_SYMBOLS", symbols)
         got = {r.doc_id: r for r in suffix.remove_repeats(df).collect()}
         assert [(len(texts[i]), len(texts[i]) - len(got[i].kept), len(got[i].spans), hashlib.sha256(bytes(got[i].kept)).hexdigest()) for i in range(len(texts))] == want
 
