@@ -6,9 +6,6 @@ again as the next one's ``docs``; all but the last give the columns of ``documen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +35,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near duplicates; of equal rows one."""
-    groups = jaccard_components(docs, "doc_id", "text")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    # Rows without an id get one above all others from their text, so that a row with an id goes first.
+    spare = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) + F.lit(1 << 62)
+    keyed = docs.withColumn("_key", F.coalesce("doc_id", spare))
+    kept = jaccard_components(keyed, "_key", "text").where("_key = component_id").select("_key").distinct()
+    # One shuffle of the texts, by key: the rows of a key are together for both steps.
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,17 +48,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Letters that a cut leaves torn are dropped.
     """
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = COLUMNS.index("text")
-        for b in batches:
-            texts = [None if t is None else k.decode("utf-8", "ignore") for t, k in zip(b.column("text").to_pylist(), b.column("kept").to_pylist(), strict=True)]
-            columns = [b.column(c) for c in COLUMNS]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, COLUMNS)
-
-    cut = remove_repeats(docs.select(*COLUMNS)).where("size(spans) = 0 or octet_length(kept) > 0")
-    return _counted(cut.select(*COLUMNS, "kept").mapInArrow(decode, docs.select(*COLUMNS).schema))
+    return _counted(remove_repeats(docs.select(*COLUMNS), in_place=True).where("size(spans) = 0 or text <> ''"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
