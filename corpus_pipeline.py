@@ -20,6 +20,8 @@ from lorekeep.llm.suffix import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document of a lower score is rejected.
 LEAST_SCORE = 0.3
+#: Words of a passage that goes if it stands elsewhere too: passages of over 50 words do.
+REPEATED_WORDS = 51
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -44,11 +46,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that stand elsewhere too; documents of which nothing is left go.
-
-    Letters that a cut leaves torn are dropped.
-    """
-    return _counted(remove_repeats(docs.select(*COLUMNS), in_place=True).where("size(spans) = 0 or text <> ''"))
+    """Texts without the passages of ``REPEATED_WORDS`` that stand elsewhere too; documents of which nothing is left go."""
+    return _counted(remove_repeats(docs.select(*COLUMNS), in_place=True, words=REPEATED_WORDS).where("size(spans) = 0 or text <> ''"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

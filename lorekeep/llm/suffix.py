@@ -15,12 +15,17 @@ from the order of what comes after the word, in one pass and without renaming.
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than LENGTH lose
 none; repeated rows repeat each other; texts are taken whole; an empty table gives an empty result.
 Other columns are passed through.
+
+With ``words`` the same is done over words: every word stands as the ``WIDTH`` bytes of its hash, and
+the strings are of that many words, however few bytes they have and whatever white space parts them.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +42,39 @@ LENGTH, GRAM = 400, 32
 PIECE = 4096
 #: Symbols of one suffix array (about 300 bytes each); contexts with more are compared pair of parts by pair of parts.
 MOST_SYMBOLS = 300_000
+#: Bytes of a word's hash. Runs without white space are words, but in scripts that do not part words every
+#: letter is one, and a run of more than LONG letters stands for a word every WIDTH letters.
+WIDTH, LONG = 8, 64
+_UNPARTED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(f"[{_UNPARTED}]|[^\\s{_UNPARTED}]+")
+
+
+class _Hashes(dict):
+    """Hashes of words; a long run has one for each of its pieces."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 1 << 18:
+            self.clear()
+        step = WIDTH if len(word) > LONG else len(word)
+        out = self[word] = b"".join(blake2b(word[k : k + step].encode("utf-8", "surrogatepass"), digest_size=WIDTH).digest() for k in range(0, len(word), step))
+        return out
+
+
+_hashes = _Hashes()
+
+
+def word_bytes(text: str) -> bytes:
+    """The hashes of a text's words."""
+    return b"".join(map(_hashes.__getitem__, WORD.findall(text)))
+
+
+def word_starts(text: str) -> list[int]:
+    """Where the words of :func:`word_bytes` start, in letters."""
+    out: list[int] = []
+    for m in WORD.finditer(text):
+        a, z = m.span()
+        out += range(a, z, WIDTH if z - a > LONG else z - a)
+    return out
 
 
 def suffix_array(s: Sequence[int]) -> list[int]:
@@ -107,41 +145,41 @@ def suffix_array(s: Sequence[int]) -> list[int]:
     return out
 
 
-def anchors(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of texts of LENGTH bytes and more: (index, places, anchor hashes, context hashes, bytes before, bytes from the place on)."""
+def anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts of ``length`` bytes and more: (index, places, anchor hashes, context hashes, bytes before, bytes from the place on)."""
     at, size, held = 0, 0, []
     for i, t in enumerate(texts):
         if held and size + len(t) > 2 << 20:
-            yield from _anchors(at, held)
+            yield from _anchors(at, held, length)
             at, size, held = i, 0, []
         held.append(t)
         size += len(t)
     if held:
-        yield from _anchors(at, held)
+        yield from _anchors(at, held, length)
 
 
-def _anchors(first: int, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _anchors(first: int, texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     n = len(raw)
-    if n < LENGTH:
+    if n < length:
         return
     sums, (_, down) = prefix_hash(raw), powers(n + 1)
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
     bits = np.uint64(max(24, n.bit_length()))
-    # least hash, then leftmost place, in every run of LENGTH - GRAM + 1 grams
-    low, width, full = (grams >> bits) << bits | np.arange(len(grams), dtype=np.uint64), 1, LENGTH - GRAM + 1
+    # least hash, then leftmost place, in every run of length - GRAM + 1 grams
+    low, width, full = (grams >> bits) << bits | np.arange(len(grams), dtype=np.uint64), 1, length - GRAM + 1
     while width < full:
         step = min(width, full - width)
         low, width = np.minimum(low[:-step], low[step:]), width + step
     picked = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     ends = np.cumsum([len(t) for t in texts])
     for i, (begin, end) in enumerate(zip((ends - [len(t) for t in texts]).tolist(), ends.tolist(), strict=True)):
-        if end - begin < LENGTH:
+        if end - begin < length:
             continue
-        own = picked[begin : end - LENGTH + 1]
+        own = picked[begin : end - length + 1]
         turns = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         # the strings that hold p as their anchor start from lo on, and the last of them ends at hi
-        p, lo, hi = own[turns], begin + turns, begin + np.append(turns[1:], len(own)) - 1 + LENGTH
+        p, lo, hi = own[turns], begin + turns, begin + np.append(turns[1:], len(own)) - 1 + length
         context = mix(((sums[hi] - sums[lo]) * down[lo]) ^ mix(((hi - lo) << 20 | (p - lo)).astype(np.uint64)))
         yield first + i, p - begin, grams[p].astype(np.int64), context.astype(np.int64), p - lo, hi - p
 
@@ -179,8 +217,8 @@ def longest_common(s: list[int], array: list[int]) -> list[int]:
     return out
 
 
-def repeated_spans(before: list[int], texts: list[bytes], decided: list[bool]) -> list[list[tuple[int, int]]]:
-    """Of contexts of one anchor (``before``: bytes in front of it) the spans covered by strings of LENGTH bytes that two of them share.
+def repeated_spans(before: list[int], texts: list[bytes], decided: list[bool], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """Of contexts of one anchor (``before``: bytes in front of it) the spans covered by strings of ``length`` bytes that two of them share.
 
     Equal strings have their anchors at equal places, so contexts are compared as they lie. Any two
     contexts part ways, on either side, at one of a few distances from the anchor; cut there, a
@@ -191,16 +229,16 @@ def repeated_spans(before: list[int], texts: list[bytes], decided: list[bool]) -
     left, left_cuts = _shared([t[:b][::-1] for t, b in zip(texts, before, strict=True)])
     right, right_cuts = _shared([t[b:] for t, b in zip(texts, before, strict=True)])
     # what parts two contexts nearer to the anchor than any string's other side allows can't matter
-    left_cuts = [c for c in left_cuts if c >= LENGTH - max(right)]
-    right_cuts = [c for c in right_cuts if c >= LENGTH - max(left)]
-    if len(texts) > 2 and sum(bisect_right(left_cuts, a) + bisect_right(right_cuts, b) + 1 for a, b in zip(left, right, strict=True) if a + b >= LENGTH) > MOST_SYMBOLS:
-        return _by_parts(before, texts, decided)
+    left_cuts = [c for c in left_cuts if c >= length - max(right)]
+    right_cuts = [c for c in right_cuts if c >= length - max(left)]
+    if len(texts) > 2 and sum(bisect_right(left_cuts, a) + bisect_right(right_cuts, b) + 1 for a, b in zip(left, right, strict=True) if a + b >= length) > MOST_SYMBOLS:
+        return _by_parts(before, texts, decided, length)
     names: dict[tuple[int, int, bytes], int] = {}
     symbols: list[int] = []
     widths: list[int] = []
     at: list[tuple[int, int, int]] = []  # place in symbols, context, left distance
     for i, (text, b) in enumerate(zip(texts, before, strict=True)):
-        if left[i] + right[i] < LENGTH:
+        if left[i] + right[i] < length:
             continue
         marks = [c for c in left_cuts if 0 < c <= left[i]]
         for far, near in zip(reversed(marks), [*reversed(marks[:-1]), 0], strict=False):
@@ -228,9 +266,9 @@ def repeated_spans(before: list[int], texts: list[bytes], decided: list[bool]) -
         r = rank[place]
         most = max(common[r], common[r + 1] if r + 1 < len(common) else 0)
         reach = sums[place + most] - sums[place] - far
-        least = max(inner if far else 0, LENGTH - reach)
+        least = max(inner if far else 0, length - reach)
         if not decided[i] and reach > 0 and least <= far:
-            start, stop = before[i] - far, before[i] - least + LENGTH
+            start, stop = before[i] - far, before[i] - least + length
             own = spans[i]
             if own and start <= own[-1][1] and stop >= own[-1][0]:
                 own[-1] = (min(start, own[-1][0]), max(stop, own[-1][1]))
@@ -240,35 +278,35 @@ def repeated_spans(before: list[int], texts: list[bytes], decided: list[bool]) -
     return spans
 
 
-def _by_parts(before: list[int], texts: list[bytes], decided: list[bool]) -> list[list[tuple[int, int]]]:
+def _by_parts(before: list[int], texts: list[bytes], decided: list[bool], length: int) -> list[list[tuple[int, int]]]:
     """The same for very many contexts: any two of them meet in some pair of three parts."""
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     parts = [list(range(k, len(texts), 3)) for k in range(3)]
     for x, y in combinations(parts, 2):
         own = x + y
-        for i, found in zip(own, repeated_spans(*([c[i] for i in own] for c in (before, texts, decided))), strict=True):
+        for i, found in zip(own, repeated_spans(*([c[i] for i in own] for c in (before, texts, decided)), length), strict=True):
             spans[i] += found
     return spans
 
 
-def _bytes(batch: pa.RecordBatch, done: set[int]) -> tuple[list[int], list[bytes]]:
-    """Ids and texts of a batch; texts that this task has seen are empty."""
+def _bytes(batch: pa.RecordBatch, done: set[int], words: bool) -> tuple[list[int], list[bytes]]:
+    """Ids and texts (or their words) of a batch; texts that this task has seen are empty."""
     ids, texts = batch.column("id").to_pylist(), []
     for i, t in zip(ids, batch.column("text").to_pylist(), strict=True):
-        texts.append(b"" if i in done or not t else t.encode("utf-8", "surrogatepass"))
+        texts.append(b"" if i in done or not t else word_bytes(t) if words else t.encode("utf-8", "surrogatepass"))
         done.add(i)
     return ids, texts
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
+def _anchor_rows(docs: DataFrame, length: int, words: bool) -> DataFrame:
     """``anchor, context, id, place, before, after`` of every distinct text of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            ids, texts = _bytes(b, done)
+            ids, texts = _bytes(b, done, words)
             columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
-            for i, place, anchor, context, before, after in anchors(texts):
+            for i, place, anchor, context, before, after in anchors(texts, length):
                 for c, v in zip(columns, (anchor, context, np.full(len(place), ids[i]), place, before, after), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["anchor", "context", "id", "place", "before", "after"])
@@ -294,16 +332,16 @@ def _names(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("name", LongType())]))
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, length: int, words: bool) -> DataFrame:
     """``wanted`` with ``body``, its contexts' bytes: one text pass, a bit filter and a join by name."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "name"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            ids, texts = _bytes(b, done)
+            ids, texts = _bytes(b, done, words)
             names, bodies = [np.zeros(0, np.int64)], []
-            for i, place, anchor, context, before, after in anchors(texts):
+            for i, place, anchor, context, before, after in anchors(texts, length):
                 name = _name(anchor, context, np.full(len(place), ids[i]), place)
                 at = np.flatnonzero(hits(shared.value, name))
                 names.append(name[at])
@@ -314,7 +352,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(bodies, "name")
 
 
-def _sorted_spans(rows: DataFrame) -> DataFrame:
+def _sorted_spans(rows: DataFrame, length: int) -> DataFrame:
     """``id, start, stop`` of the repeats that suffix arrays find among the contexts of each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +371,7 @@ def _sorted_spans(rows: DataFrame) -> DataFrame:
         out: list[tuple[int, int, int]] = []
         for a, z in zip(ends, ends[1:], strict=False):
             before, bodies, ids, places, twice = (table.column(c).slice(a, z - a).to_pylist() for c in ("before", "body", "id", "place", "twice"))
-            for i, p, b, found in zip(ids, places, before, repeated_spans(before, bodies, twice), strict=True):
+            for i, p, b, found in zip(ids, places, before, repeated_spans(before, bodies, twice, length), strict=True):
                 out += [(i, p - b + s, p - b + e) for s, e in found]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["id", "start", "stop"])
 
@@ -341,9 +379,9 @@ def _sorted_spans(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "id long, start long, stop long")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """``id, spans`` (array of start, stop; maximal and ascending) of every text that loses bytes; ``docs`` has ``id, text``."""
-    found = shared_table(_anchor_rows(docs))
+def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
+    """``id, spans`` (array of start, stop; maximal and ascending) of every text that loses bytes (of its words' hashes, with ``words``); ``docs`` has ``id, text``."""
+    found = shared_table(_anchor_rows(docs, length, words))
     places = F.struct("id", "place")
     # Pre-aggregated where they are found, so an anchor or a context of a third of all texts is a row a task.
     contexts = found.groupBy("anchor", "context").agg(F.min(places).alias("lo"), F.max(places).alias("hi"), F.first("before").alias("before"), F.first("after").alias("after"))
@@ -353,12 +391,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Equal contexts at two places: all of their strings are repeats, wherever they stand.
     equal = found.join(live.where("twice").select("anchor", "context"), ["anchor", "context"], "left_semi")
     equal = equal.select("id", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop"))
-    wanted = _contexts(docs, cut(_names(live.where("n is not null").select("anchor", "context", "id", "place", "before", "twice", "n"))))
+    wanted = _contexts(docs, cut(_names(live.where("n is not null").select("anchor", "context", "id", "place", "before", "twice", "n"))), length, words)
     # An anchor with very many contexts is sorted pair of pieces by pair of pieces.
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
     wanted = wanted.withColumn("own", F.pmod(F.xxhash64("context"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
     wanted = wanted.withColumn("pair", F.greatest("own", "other") * F.lit(1 << 15) + F.least("own", "other")).drop("own", "other", "n", "name")
-    spans = equal.unionByName(_sorted_spans(wanted))
+    spans = equal.unionByName(_sorted_spans(wanted, length))
     # Overlapping and touching spans become one.
     by = Window.partitionBy("id").orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -367,9 +405,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     return merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", in_place: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", in_place: bool = False, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """``docs`` with ``kept`` (binary, the remaining bytes) and ``spans`` (array of start, stop: maximal removed runs).
 
+    A repeat has ``length`` bytes at least or, where ``words`` is given, that many words; then words go with the white
+    space behind them, and runs are in bytes all the same.
+
     With ``in_place`` the text itself becomes what remains, less letters that a cut has torn, and there is no ``kept``.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -377,12 +418,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", in_place: bool = False)
     small_batches(docs.sparkSession)
     docs = docs.drop("kept", "spans")
     names = list(docs.columns)
+    if words is not None:
+        length = words * WIDTH
     body = F.coalesce(F.col(text), F.lit(""))
     named = docs.withColumn("_id", F.xxhash64(body, F.octet_length(body)))
     texts = named.select(F.col("_id").alias("id"), body.alias("text"))
     copies = texts.select("id", F.octet_length("text").alias("n")).groupBy("id").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
-    whole = copies.where(f"copies > 1 and n >= {LENGTH}").select("id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop"))).alias("all"))
-    lost = repeats(texts).join(whole, "id", "full").select(F.col("id").alias("_id"), F.coalesce("all", "spans").alias("spans"))
+    whole = copies.where("copies > 1" if words is not None else f"copies > 1 and n >= {length}").select("id", F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.lit(1 << 40) if words is not None else F.col("n")).cast("long").alias("stop"))).alias("all"))
+    lost = repeats(texts, length, words is not None).join(whole, "id", "full").select(F.col("id").alias("_id"), F.coalesce("all", "spans").alias("spans"))
+
+    def in_bytes(t: str | None, spans: list[dict[str, int]] | None) -> list[dict[str, int]] | None:
+        """Spans of a text's words as bytes; those of a whole text, which may be too short, are not cut to it yet."""
+        if not words or not spans or not t:
+            return [] if words and spans else spans
+        starts, out = word_starts(t), []
+        places = [0, *starts[1:], len(t)]
+        for s in spans:  # an end within a word is a chance likeness of two hashes
+            a, z = -(-s["start"] // WIDTH), min(s["stop"] // WIDTH, len(starts))
+            if z - a >= words:
+                out.append({"start": len(t[: places[a]].encode("utf-8", "surrogatepass")), "stop": len(t[: places[z]].encode("utf-8", "surrogatepass"))})
+        return out
 
     def cut_spans(t: str | None, spans: list[dict[str, int]] | None) -> bytes:
         raw, at, parts = (t or "").encode("utf-8", "surrogatepass"), 0, []
@@ -394,12 +449,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", in_place: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = {c: b.column(c) for c in names}
-            pairs = list(zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True))
+            pairs = [(t, in_bytes(t, s)) for t, s in zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True)]
             if in_place:
                 columns[text] = pa.array([cut_spans(t, s).decode("utf-8", "ignore") if s else t for t, s in pairs], pa.string())
             else:
                 columns["kept"] = pa.array([cut_spans(t, s) for t, s in pairs], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns.values(), b.column("spans")], [*columns, "spans"])
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array([s for _, s in pairs], b.column("spans").type) if words else b.column("spans")], [*columns, "spans"])
 
     extra = _parse_datatype_string(("" if in_place else "kept binary, ") + "spans array<struct<start:long,stop:long>>")
     joined = named.join(cut(lost), "_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:long,stop:long>>")))

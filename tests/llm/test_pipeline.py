@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as pipeline
 
 
@@ -32,3 +34,15 @@ def test_rows_without_an_id_join_their_groups(spark):
     docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted(((r.doc_id, r.text) for r in pipeline.keep_one_of_each_group(spark, docs, "").collect()), key=str)
     assert kept == sorted([(5, base), (None, "alone " + base[::-1]), (9, None)], key=str)
+
+
+def test_short_planted_passages_of_over_fifty_words_are_cut(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6)))
+    passage, shorter = " ".join(word() for _ in range(51)), " ".join(word() for _ in range(50))
+    assert len(passage) < 400
+    own = [" ".join(word() for _ in range(40)) for _ in range(8)]
+    texts = [f"{own[0]} {passage} {own[1]}", f"{own[2]} {passage} {own[3]}", f"{own[4]} {shorter} {own[5]}", f"{own[6]} {shorter} {own[7]}"]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got == {0: f"{own[0]} {own[1]}", 1: f"{own[2]} {own[3]}", 2: texts[2], 3: texts[3]}

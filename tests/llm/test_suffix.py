@@ -79,3 +79,45 @@ def test_empty_and_clashing_columns(spark, no_docs):
     assert suffix.remove_repeats(no_docs).count() == 0
     df = spark.createDataFrame([(1, "abc", "old", 3)], "doc_id long, text string, kept string, id int")
     assert suffix.remove_repeats(df).first().id == 3
+
+
+def brute_words(texts, n):
+    """Per text the words that are left, by every window of n words of two places."""
+    parts = [t.split() for t in texts]
+    seen = {}
+    for i, w in enumerate(parts):
+        for a in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[a : a + n]), []).append((i, a))
+    gone = {(i, k) for places in seen.values() if len(places) > 1 for i, a in places for k in range(a, a + n)}
+    return [[x for k, x in enumerate(w) if (i, k) not in gone] for i, w in enumerate(parts)]
+
+
+def test_words_by_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijкл") for _ in range(rng.randint(1, 9)))
+    passages = [[word() for _ in range(n)] for n in (50, 51, 52, 53, 60, 80, 140)]
+    texts = []
+    for _ in range(60):
+        out = [word() for _ in range(rng.randint(0, 90))]
+        for _ in range(rng.randint(0, 2)):
+            p = rng.choice(passages)
+            k = rng.randint(0, 3)
+            out += p[k:] + [word() for _ in range(rng.randint(0, 40))]
+        texts.append("".join(w + rng.choice([" ", "\n", "  "]) for w in out))
+    texts += [" ".join("x" * 51), " ".join("y" * 50), " ".join("y" * 50), " ".join(passages[4]), " ".join(passages[4])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r for r in suffix.remove_repeats(df, words=51).collect()}
+    for i, (t, want) in enumerate(zip(texts, brute_words(texts, 51), strict=True)):
+        assert bytes(got[i].kept).decode().split() == want, i
+        raw = t.encode()
+        assert len(bytes(got[i].kept)) == len(raw) - sum(s.stop - s.start for s in got[i].spans)
+    assert sum(map(len, brute_words(texts, 51))) < sum(len(t.split()) for t in texts)
+
+
+def test_words_of_unparted_scripts_and_long_runs(spark):
+    rng = random.Random(12)
+    letters = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    blob = "".join(rng.choice("0123456789abcdef") for _ in range(900))
+    texts = ["甲" + letters + "乙", "丙丁" + letters, f"one {blob} two", f"three {blob} four"]
+    got = {r.id: r.text for r in suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), in_place=True, words=51).collect()}
+    assert got == {0: "甲乙", 1: "丙丁", 2: "one two", 3: "three four"}
