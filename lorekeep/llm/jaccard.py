@@ -135,13 +135,14 @@ def block_pairs(block: Block, roots: np.ndarray | None) -> tuple[list[tuple[int,
             found = block.search(i)
             pairs += [(i, j) for j in found[(found > i) & (roots[found] != roots[i])].tolist()]
         return pairs, False
-    free, passed = np.ones(n, bool), 0
+    free, more, passed = np.ones(n, bool), False, set()
     for i in range(n):
         if n > LEAF and not free[i]:
-            passed = n * n  # not all are searched, so there may be more
+            more = True  # not all are searched
             continue
         found = block.search(i)
-        passed += int((found > i).sum())
+        if not more:  # a search may find what doesn't find it, but similar sets always find each other
+            passed.update((i, j) for j in found[found > i].tolist())
         if not free[i]:
             continue
         taken = found[free[found]]
@@ -150,7 +151,7 @@ def block_pairs(block: Block, roots: np.ndarray | None) -> tuple[list[tuple[int,
         free[i] = False
         free[taken] = False
         pairs += [(i, j) for j in taken.tolist()]
-    return pairs, passed > len(pairs)
+    return pairs, more or not passed <= {(min(p), max(p)) for p in pairs}
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from lorekeep.llm import jaccard, queries
 from lorekeep.llm.shingles import shingle_sets
 
@@ -92,3 +94,15 @@ def test_bounds_never_lose_a_pair():
 
 def test_empty(spark, no_docs):
     assert jaccard.jaccard_components(no_docs, "doc_id", "text").count() == 0
+
+
+def test_a_block_with_one_sided_candidates_is_opened():
+    class OneSided:
+        sizes = np.array([5, 5, 5])
+
+        def search(self, i):
+            return np.array([[1], [0, 2], [0, 1]][i])
+
+    pairs, more = jaccard.block_pairs(OneSided(), None)
+    assert more or {(0, 1), (1, 2)} <= {tuple(sorted(p)) for p in pairs}
+    assert (1, 2) in jaccard.block_pairs(OneSided(), np.array([0, 0, 2]))[0]
