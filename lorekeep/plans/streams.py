@@ -38,11 +38,13 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_throttled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.finished(jobs.throttled(_events(spark, sf_dir), "user_id", 6 * 3_600_000))
+    """No row is too late, so the result is that of the whole table in order of time."""
+    return jobs.latest(jobs.finished(jobs.throttled(_events(spark, sf_dir), "user_id", 6 * 3_600_000, late=None), "update"), "user_id")
 
 
 def stream_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.finished(jobs.rate_limited(_events(spark, sf_dir), "user_id", 2, 24 * 3_600_000))
+    """No row is too late, so the result is that of the whole table in order of time."""
+    return jobs.latest(jobs.finished(jobs.rate_limited(_events(spark, sf_dir), "user_id", 2, 24 * 3_600_000, late=None), "update"), "user_id")
 
 
 for _fn in (stream_tumbling, stream_sliding, stream_idle_sessions, stream_first_seen, stream_throttled, stream_rate_limited):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from time import time_ns
 from typing import Any
 from uuid import uuid4
 
@@ -50,45 +51,54 @@ def first_seen(events: DataFrame, keys: list[str], within: str = "1 hour") -> Da
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
-def throttled(events: DataFrame, key: str, throttle_ms: int = 300_000, late: str = "10 minutes") -> DataFrame:
-    """Accepted touches of a key: state is the last accepted time, and goes when the watermark has passed its throttle."""
+def throttled(events: DataFrame, key: str, throttle_ms: int = 300_000, late: str | None = "10 minutes") -> DataFrame:
+    """Accepted touches of a key, none within ``throttle_ms`` of the last accepted one; columns as of :func:`rate_limited`."""
+    return rate_limited(events, key, 1, throttle_ms, late)
 
-    def step(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        kept = []
-        for t in [] if state.hasTimedOut else pd.concat([f["ms"] for f in frames]).sort_values():
-            if last is None or t - last >= throttle_ms:
-                last = int(t)
-                kept.append(last)
-        if state.hasTimedOut or last is None or last + throttle_ms <= state.getCurrentWatermarkMs():
-            state.remove()
-        else:
-            state.update((last,))
-            state.setTimeoutTimestamp(last + throttle_ms)
-        yield pd.DataFrame({key: [k[0]] * len(kept), "ms": pd.Series(kept, dtype="int64")})
 
-    rows = events.withWatermark("ts", late).select(key, "ts", F.unix_millis("ts").alias("ms"))
-    shape = f"{key} {dict(events.dtypes)[key]}, ms long"
-    return rows.groupBy(key).applyInPandasWithState(step, shape, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+def rate_limited(events: DataFrame, key: str, most: int = 5, window_ms: int = 1_800_000, late: str | None = "10 minutes") -> DataFrame:
+    """At most ``most`` rows of a key in a window that starts at its first use, not on the clock: ``key, ms, revision, certain``.
 
-
-def rate_limited(events: DataFrame, key: str, most: int = 5, window_ms: int = 1_800_000) -> DataFrame:
-    """At most ``most`` rows of a key in a window that starts at its first use, not on the clock."""
+    Rows are judged in order of time, whatever batch brings them. What the watermark has passed is certain and told
+    once; later rows wait in the state, and each batch tells anew, under a later revision of the key, which of them would
+    be accepted (see :func:`latest`). Without ``late`` no row is ever too late, and none is certain before the end.
+    """
 
     def step(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (None, 0)
-        kept = []
-        for t in pd.concat([f["ms"] for f in frames]).sort_values():
+        start, used, revision, waiting = state.get if state.exists else (None, 0, 0, [])
+        timed_out, mark = late is not None and state.hasTimedOut, state.getCurrentWatermarkMs() if late is not None else None
+        times = sorted([*waiting, *(t for f in frames if not timed_out for t in f["ms"].tolist())])
+        passed = [t for t in times if mark is not None and t <= mark]
+        settled, kept = (start, used), []
+        for i, t in enumerate(times):
             if start is None or t - start >= window_ms:
-                start, used = int(t), 0
+                start, used = t, 0
             if used < most:
                 used += 1
-                kept.append(int(t))
-        state.update((start, used))
-        yield pd.DataFrame({key: [k[0]] * len(kept), "ms": pd.Series(kept, dtype="int64")})
+                kept.append((t, i < len(passed)))
+            if i < len(passed):
+                settled = start, used
+        waiting = times[len(passed) :]
+        revision = max(revision + 1, time_ns())  # grows on where a key's state was removed in between
+        if waiting or late is None or settled[0] + window_ms > mark:
+            state.update((*settled, revision, waiting))
+            if late is not None:
+                state.setTimeoutTimestamp(max(waiting[0] if waiting else settled[0] + window_ms, mark + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame({key: [k[0]] * len(kept), "ms": pd.Series([t for t, _ in kept], dtype="int64"), "revision": pd.Series([revision] * len(kept), dtype="int64"), "certain": pd.Series([c for _, c in kept], dtype="bool")})
+
+    rows = (events.withWatermark("ts", late) if late is not None else events).select(key, "ts", F.unix_millis("ts").alias("ms"))
+    shape = f"{key} {dict(events.dtypes)[key]}, ms long, revision long, certain boolean"
+    timeout = GroupStateTimeout.EventTimeTimeout if late is not None else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(step, shape, "start long, used int, revision long, waiting array<long>", "update", timeout)
+
 
-    rows = events.select(key, F.unix_millis("ts").alias("ms"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {dict(events.dtypes)[key]}, ms long", "start long, used int", "append", GroupStateTimeout.NoTimeout)
+def latest(told: DataFrame, key: str) -> DataFrame:
+    """``key, ms`` at the end of what is there: the certain rows, and each key's last word on the others."""
+    last = told.groupBy(F.col(key).alias("_key")).agg(F.max("revision").alias("_last"))
+    rows = told.join(last, F.col(key).eqNullSafe(F.col("_key"))).where("certain or revision = _last")
+    return rows.select(key, "ms")
 
 
 def summary_gate(messages: DataFrame, least: int = 4) -> DataFrame:

@@ -140,3 +140,63 @@ def test_stream_sinks_and_gates(spark, tmp_path):
     assert {r.conv_id for r in jobs.finished(jobs.summary_gate(stream())).collect()} == {1}
     jobs.to_store(stream(), lambda b: b.where("turn > 6"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def limited(rows, most, window_ms):
+    """By brute force: per user the accepted times, in order."""
+    kept, open_ = [], {}
+    for user, t in sorted(rows, key=lambda r: r[1]):
+        start, used = open_.get(user, (None, 0))
+        if start is None or t - start >= window_ms:
+            start, used = t, 0
+        if used < most:
+            used += 1
+            kept.append((user, t))
+        open_[user] = start, used
+    return sorted(kept)
+
+
+def written_backwards(spark, path, files, step_ms):
+    """Events in files that are read latest times first."""
+    import os
+    import random
+
+    import pandas as pd
+
+    rng, rows, base = random.Random(4), [], 1_700_000_000_000
+    os.makedirs(path)
+    for f in range(files):
+        own = [(rng.randint(0, 2), base - f * step_ms + rng.randrange(2 * step_ms)) for _ in range(6)]
+        rows += own
+        pd.DataFrame({"user_id": [u for u, _ in own], "ts": pd.to_datetime([t for _, t in own], unit="ms").astype("datetime64[us]")}).to_parquet(f"{path}/f{f:03}.parquet")
+        os.utime(f"{path}/f{f:03}.parquet", (1_700_000_000 + f, 1_700_000_000 + f))
+    return rows
+
+
+def test_limits_over_batches_out_of_order(spark, tmp_path):
+    from lorekeep.plans import streams
+
+    rows = written_backwards(spark, str(tmp_path / "events.parquet"), 66, 3 * 3_600_000)
+    for name, most, hours in (("stream_throttled", 1, 6), ("stream_rate_limited", 2, 24)):
+        got = sorted((r.user_id, r.ms) for r in streams.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == limited(rows, most, hours * 3_600_000), name
+
+
+def test_limits_tell_once_what_the_watermark_has_passed(spark, tmp_path):
+    rows = written_backwards(spark, str(tmp_path / "e"), 6, 60_000)
+    stream = jobs.rate_limited(jobs.events_stream(spark, str(tmp_path / "e"), 1), "user_id", 2, 240_000, "1 hour")
+    told = jobs.finished(stream, "update")
+    assert told.where("certain").count() == 0 and sorted((r.user_id, r.ms) for r in jobs.latest(told, "user_id").collect()) == limited(rows, 2, 240_000)
+    forward = [(1, 1_700_000_000_000 + 60_000 * i) for i in range(6)]
+    for i, (u, t) in enumerate(forward):
+        import os
+
+        import pandas as pd
+
+        os.makedirs(tmp_path / "f", exist_ok=True)
+        pd.DataFrame({"user_id": [u], "ts": pd.to_datetime([t], unit="ms").astype("datetime64[us]")}).to_parquet(str(tmp_path / "f" / f"{i}.parquet"))
+        os.utime(tmp_path / "f" / f"{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    told = jobs.finished(jobs.throttled(jobs.events_stream(spark, str(tmp_path / "f"), 1), "user_id", 120_000, "1 minute"), "update")
+    assert sorted((r.user_id, r.ms) for r in jobs.latest(told, "user_id").collect()) == limited(forward, 1, 120_000)
+    certain = [r.ms for r in told.where("certain").collect()]
+    assert certain and len(certain) == len(set(certain))
