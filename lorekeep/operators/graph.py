@@ -87,10 +87,20 @@ def longest_chains(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFr
 
 
 def first_parents(commits: DataFrame, head: str, limit: int = 500) -> DataFrame:
-    """Commits (``hash, parent``) from ``head`` along first parents, with their distance, by a bounded recursive query."""
-    return commits.sparkSession.sql(
-        "WITH RECURSIVE walk AS (SELECT hash, parent, 0 AS distance FROM {commits} WHERE hash = :head "
-        "UNION ALL SELECT n.hash, n.parent, walk.distance + 1 FROM walk JOIN {commits} n ON n.hash = walk.parent WHERE walk.distance + 1 < :most) SELECT * FROM walk",
-        args={"head": head, "most": min(limit, 99)},
-        commits=commits,
-    )
+    """Commits (``hash, parent``) from ``head`` along first parents, with their distance: ``limit`` of them at most."""
+    # Hops double each round, so a walk of n commits takes log n joins; ends stay where they are.
+    spark = commits.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    hops = commits.select(F.col("hash").alias("_from"), F.col("parent").alias("_to")).checkpoint()
+    walk = spark.createDataFrame([(head, 0)], "hash string, distance int")
+    length = 1
+    while length < limit:
+        more = walk.join(hops, F.col("hash") == F.col("_from")).where("_to is not null").select(F.col("_to").alias("hash"), (F.col("distance") + length).alias("distance"))
+        walk = walk.unionByName(more.where(F.col("distance") < limit)).checkpoint()
+        next_ = hops.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        hops = hops.join(next_, "_to").select("_from", F.col("_next").alias("_to")).where("_to is not null").checkpoint()
+        length *= 2
+        if hops.isEmpty():
+            break
+    return walk.join(commits, "hash").select("hash", "parent", "distance")

@@ -193,3 +193,11 @@ def test_grounding_paths_agree(spark, monkeypatch):
     here = {tuple(r) for r in transcript.grounding(items, docs).collect()}
     monkeypatch.setattr(transcript, "MOST_NEEDLES", 0)
     assert here == {tuple(r) for r in transcript.grounding(items, docs).collect()} == {(10, 1), (11, 4)}
+
+
+def test_first_parents_beyond_the_engines_recursion_bound(spark):
+    commits = spark.createDataFrame([(f"c{i}", f"c{i - 1}" if i else None) for i in range(150)], "hash string, parent string")
+    walk = lambda **limit: [(r.hash, r.distance) for r in graph.first_parents(commits, "c149", **limit).orderBy("distance").collect()]
+    assert walk() == [(f"c{149 - d}", d) for d in range(150)]
+    assert walk(limit=120) == [(f"c{149 - d}", d) for d in range(120)]
+    assert walk(limit=1) == [("c149", 0)]
