@@ -13,15 +13,13 @@ from lorekeep.llm.common import documents, shared_table
 from lorekeep.llm.jaccard import jaccard_components
 from lorekeep.llm.packing import pack_documents
 from lorekeep.llm.quality import score, train
-from lorekeep.llm.queries import SEQUENCE, tokenizer
+from lorekeep.llm.queries import PASSAGE_WORDS, SEQUENCE, tokenizer
 from lorekeep.llm.secret_scan import learn, scan
 from lorekeep.llm.suffix import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document of a lower score is rejected.
 LEAST_SCORE = 0.3
-#: Words of a passage that goes if it stands elsewhere too: passages of over 50 words do.
-REPEATED_WORDS = 51
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -46,8 +44,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of ``REPEATED_WORDS`` that stand elsewhere too; documents of which nothing is left go."""
-    return _counted(remove_repeats(docs.select(*COLUMNS), in_place=True, words=REPEATED_WORDS).where("size(spans) = 0 or text <> ''"))
+    """Texts without the passages of over 50 words that stand elsewhere too; documents of which nothing is left go."""
+    return _counted(remove_repeats(docs.select(*COLUMNS), in_place=True, words=PASSAGE_WORDS).where("size(spans) = 0 or text <> ''"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,10 +21,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; a temporary one only in local mode where that is unset (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lorekeep-"))
     return context.getCheckpointDir()
 
 
@@ -70,7 +73,13 @@ def shared_table(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder; the files go when this process ends."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/table-{uuid4().hex}"
+    remove_at_exit(spark, path)
     df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder when this process ends."""
 
     def remove(jvm=spark.sparkContext._jvm, conf=spark.sparkContext._jsc.hadoopConfiguration()) -> None:
         with suppress(Exception):  # the gateway may be closed by then; the folder is a temporary one
@@ -78,7 +87,6 @@ def shared_table(df: DataFrame) -> DataFrame:
             where.getFileSystem(conf).delete(where, True)
 
     atexit.register(remove)
-    return spark.read.parquet(path)
 
 
 #: Bits of a filter of 64-bit names: 8 MB, whatever the input. It only saves shuffling; a join decides.

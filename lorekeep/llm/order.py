@@ -1,29 +1,30 @@
 """Operator 2: training-order materialisation.
 
-Documents become sequences of a fixed number of token ids; all sequences are numbered from 0, and a
-keyed Feistel permutation with cycle-walking gives each number a global slot, without a sort and
-without shared state. A shard is a range of slots; its task writes them at a fixed stride, so slot
-``i`` stands at byte ``(i mod shard) * stride`` of shard ``i div shard`` and reading can start anywhere.
+Documents become sequences of a fixed number of token ids. All sequences are numbered from 0 in the
+order of a hash of their document, its key and their place in it, so that the numbers do not depend
+on how the input is split; a keyed Feistel permutation with cycle-walking gives each number a global
+slot, without shared state. Ranges of slots go to tasks, which write them as shards of a fixed
+stride: slot ``i`` stands at byte ``(i mod shard) * stride`` of shard ``i div shard``, so reading
+runs on in sequence and can start, or start again, anywhere.
 
 Defined cases: a null or empty text is one sequence of the end id alone; the last sequence of a
-document is filled up with the pad id; repeated rows are separate sequences; an empty table has no
-shards. Other columns are not looked at.
+document is filled up with the pad id; repeated rows are separate sequences; a null key comes before
+all others; an empty table has no shards. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-import atexit
 from collections.abc import Iterator
-from contextlib import suppress
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import checkpoint_folder, small_batches
-from .packing import cut_pieces
+from .common import checkpoint_folder, remove_at_exit, shuffle_width, small_batches
+from .tokens import encoder
 
 ROUNDS = 6
 
@@ -50,84 +51,108 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared checkpoint folder; the files go when this process ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid4().hex}"
-    df.write.parquet(path)
+def _sequences(docs: DataFrame, key: str, text: str, vocabulary: str, ranks: str, length: int, end: int) -> DataFrame:
+    """``_h, key, part, n_tokens, ids`` (16 bits each, not filled up) of all documents, in one narrow pass."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), body), 1).alias("_h"), F.col(key).alias("key"), body.alias("text"))
 
-    def remove(jvm=spark.sparkContext._jvm, conf=spark.sparkContext._jsc.hadoopConfiguration()) -> None:
-        with suppress(Exception):  # the gateway may be closed by then; the folder is a temporary one
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-
-    atexit.register(remove)
-    return spark.read.parquet(path)
-
-
-def training_shards(docs: DataFrame, key: str, text: str, vocabulary: str, ranks: str, length: int = 512, per_shard: int = 8192, seed: int = 1, end: int = 0, pad: int = 0) -> DataFrame:
-    """One row a shard: ``shard``, ``payload`` (records of ``2 * length`` bytes in slot order), ``rows`` (key, part, n_tokens by slot).
-
-    Ids are tokenised once and kept as a written table; its rows are then shuffled once, by shard.
-    A shard has at most ``per_shard`` records, whatever the input, and no key or source decides
-    where a row goes, so shards are even.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary, ranks)
+        for batch in batches:
+            at, part, size, ids = [], [], [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                all_ids = np.append(encode(t), np.uint32(end))
+                if int(all_ids.max()) >= 1 << 16:
+                    raise ValueError("ids must fit 16 bits")
+                raw = all_ids.astype("<u2").tobytes()
+                # as in packing, a long document is cut from its end, so that only its first sequence may be short
+                stops = range(len(all_ids) % length or min(length, len(all_ids)), len(all_ids) + 1, length)
+                for p, stop in enumerate(stops):
+                    begin = stop - length if p else 0
+                    at.append(i)
+                    part.append(p)
+                    size.append(stop - begin)
+                    ids.append(raw[2 * begin : 2 * stop])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_h").take(take), batch.column("key").take(take), pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(ids, pa.binary())],
+                ["_h", "key", "part", "n_tokens", "ids"],
+            )
+
+    return rows.mapInArrow(run, StructType([*_parse_datatype_string("_h long").fields, StructField("key", docs.schema[key].dataType), *_parse_datatype_string("part int, n_tokens int, ids binary").fields]))
+
+
+def training_shards(docs: DataFrame, key: str, text: str, vocabulary: str, ranks: str, path: str, length: int = 512, per_shard: int = 8192, seed: int = 1, end: int = 0, pad: int = 0) -> None:
+    """Write the shards as a table at ``path``: ``shard``, ``payload`` (records of ``2 * length`` bytes in slot order), ``rows`` (key, part, n_tokens by slot).
+
+    Texts are tokenised once. Sequences are shuffled twice: by ranges of the hash, where they are
+    counted and numbered (one row a range is summed up), then by ranges of shards, which one task
+    each sorts by slot and writes one after the other, holding one shard at a time. No key or source
+    decides where a sequence goes, so ranges are even; ranges are as many as the session's shuffles have.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    pieces = cut_pieces(docs, key, text, vocabulary, ranks, length, end)
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body = []
-            for raw in batch.column("ids").to_pylist():
-                ids = np.frombuffer(raw, "<u4")
-                if len(ids) and int(ids.max()) >= 1 << 16:
-                    raise ValueError("ids must fit 16 bits")
-                record = np.full(length, pad, "<u2")
-                record[: len(ids)] = ids
-                body.append(record.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "piece", "length")), pa.array(body, pa.binary())], [key, "piece", "length", "record"])
-
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    shape = StructType([docs.schema[key], *_parse_datatype_string("piece int, length long, record binary").fields])
-    rows = pieces.mapInArrow(narrow, shape).withColumn("_m", F.monotonically_increasing_id())
-    kept = shared_table(rows.select("*", F.shiftright("_m", 33).alias("_part"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")).drop("_m"))
-    counts = kept.groupBy("_part").agg((F.max("_at") + 1).alias("n"))
-    starts = counts.select("_part", "n", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("start")).collect()  # a row for each part of the input
-    total, first = sum(r.n for r in starts), {r._part: r.start for r in starts}
-    if not total:
-        return spark.createDataFrame([], f"shard long, payload binary, rows array<struct<key:{docs.schema[key].dataType.simpleString()},part:int,n_tokens:long>>")
-    shared = spark.sparkContext.broadcast(first)
+    width = shuffle_width(spark)
+    # the upper 31 bits of the hash, times the count of ranges
+    ranged = _sequences(docs, key, text, vocabulary, ranks, length, end).withColumn("_p", F.shiftright(F.shiftright("_h", 32) * F.lit(width), 31).cast("int")).repartitionById(width, F.col("_p"))
+    # Counted from the same exchange, which the plan runs once: for that both readers take all columns, hence the sum of all.
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_h", "key", "part", "n_tokens", "ids")).alias("_sum"))
+    before = Window.orderBy("_p")
+    starts = counts.select("_p", (F.sum("_n").over(before) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"), "_sum")  # a row a range
+    numbered = ranged.join(F.broadcast(starts), "_p", "left").sortWithinPartitions("_p", "_h", "key", "part", "ids")
+    shape = StructType([StructField("key", docs.schema[key].dataType), *_parse_datatype_string("part int, n_tokens int, ids binary, slot long, _to int").fields])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = -1, 0
         for batch in batches:
-            part, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_part", "_at"))
-            index = at + np.array([shared.value[p] for p in part.tolist()], np.int64)
-            slot = permute(index, total, seed)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "piece", "length", "record")), pa.array(slot, pa.int64()), pa.array(slot // per_shard, pa.int64())], [key, "piece", "length", "record", "slot", "shard"])
-
-    placed = kept.mapInArrow(place, StructType([*shape.fields, *_parse_datatype_string("slot long, shard long").fields]))
-    named = _parse_datatype_string("shard long, payload binary, rows array<struct<key:long,part:int,n_tokens:long>>")
-    named["rows"].dataType.elementType["key"].dataType = docs.schema[key].dataType
-
-    def write(table: pa.Table) -> pa.Table:
-        table = table.sort_by("slot").combine_chunks()
-        payload = b"".join(table.column("record").to_pylist())
-        keys, parts, sizes = (table.column(c).combine_chunks() for c in (key, "piece", "length"))
-        if isinstance(keys, pa.ChunkedArray):
-            keys, parts, sizes = (x.chunk(0) for x in (keys, parts, sizes))
-        told = pa.StructArray.from_arrays([keys, parts, sizes], ["key", "part", "n_tokens"])
-        rows = pa.ListArray.from_arrays(pa.array([0, len(told)], pa.int32()), told)
-        return pa.table({"shard": table.column("shard").slice(0, 1).combine_chunks(), "payload": pa.array([payload], pa.binary()), "rows": rows})
-
-    return placed.groupBy("shard").applyInArrow(write, named)
+            if not batch.num_rows:
+                continue
+            p, start, total = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_p", "_start", "_total"))
+            turns = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+            run = np.arange(len(p)) - np.repeat(turns, np.diff(np.append(turns, len(p))))
+            run[p == now] += seen
+            now, seen = int(p[-1]), int(run[-1]) + 1
+            n = int(total[0])
+            slot = permute(start + run, n, seed)
+            to = (slot // per_shard) * width // -(-n // per_shard)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "part", "n_tokens", "ids")), pa.array(slot, pa.int64()), pa.array(to.astype(np.int32), pa.int32())], ["key", "part", "n_tokens", "ids", "slot", "_to"])
+
+    placed = numbered.mapInArrow(place, shape).repartitionById(width, F.col("_to")).sortWithinPartitions("slot")
+    told = StructType([StructField("key", docs.schema[key].dataType), *_parse_datatype_string("part int, n_tokens int").fields])
+    named = _parse_datatype_string("shard long, payload binary, rows array<struct<key:long,part:int,n_tokens:int>>")
+    named["rows"].dataType.elementType = told
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            shard = batch.column("slot").to_numpy() // per_shard
+            ends = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for a, z in zip(ends, ends[1:], strict=False):
+                if held and held[-1].column("slot")[-1].as_py() // per_shard != shard[a]:
+                    yield whole(held)
+                    held = []
+                if z > a:
+                    held.append(batch.slice(a, z - a))
+        if held:
+            yield whole(held)
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        records = bytearray()
+        for b in held:
+            for raw in b.column("ids").to_pylist():
+                records += raw + filler[len(raw) :]
+        table = pa.Table.from_batches(held).combine_chunks()
+        fields = [table.column(c).chunk(0) for c in ("key", "part", "n_tokens")]
+        rows = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), pa.StructArray.from_arrays(fields, ["key", "part", "n_tokens"]))
+        return pa.RecordBatch.from_arrays([pa.array([table.column("slot")[0].as_py() // per_shard], pa.int64()), pa.array([bytes(records)], pa.binary()), rows], ["shard", "payload", "rows"])
+
+    filler = np.full(length, pad, "<u2").tobytes()
+    block = max(1 << 20, 4 * length * per_shard)  # few shards a row group, so that a reader that starts in the middle skips the others
+    placed.mapInArrow(write, named).write.mode("errorifexists").option("compression", "zstd").option("parquet.block.size", block).parquet(path)
 
 
 def records(shards: DataFrame, length: int = 512) -> DataFrame:
     """``shard, at, key, part, n_tokens, record`` read back from shards by their fixed stride."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
     stride, key = 2 * length, shards.schema["rows"].dataType.elementType["key"]
     small_batches(shards.sparkSession)
 
@@ -145,17 +170,21 @@ def records(shards: DataFrame, length: int = 512) -> DataFrame:
                 for a in range(0, n, 1024):
                     yield pa.RecordBatch.from_arrays([x.slice(a, 1024) for x in (shard, at, *(rows.field(f) for f in ("key", "part", "n_tokens")), record)], ["shard", "at", "key", "part", "n_tokens", "record"])
 
-    shape = _parse_datatype_string("shard long, at long, part int, n_tokens long, record binary").fields
-    return shards.mapInArrow(run, StructType([*shape[:2], key, *shape[2:]]))
-
+    shape = _parse_datatype_string("shard long, at long, part int, n_tokens int, record binary").fields
+    return shards.select("shard", "payload", "rows").mapInArrow(run, StructType([*shape[:2], key, *shape[2:]]))
 
-def write_shards(shards: DataFrame, path: str) -> None:
-    """Write the shards as a table that is partitioned by nothing but sorted ranges of shard numbers."""
-    shards.write.mode("errorifexists").parquet(path)
 
-
-def read_slots(spark, path: str, start: int, stop: int, length: int = 512, per_shard: int = 8192) -> DataFrame:
-    """``slot, record`` for slots from ``start`` to before ``stop``; only the shards that hold them are read."""
+def read_slots(spark: SparkSession, path: str, start: int, stop: int, length: int = 512, per_shard: int = 8192) -> DataFrame:
+    """``slot, key, part, n_tokens, record`` for slots from ``start`` to before ``stop``; only the shards that hold them are read."""
     shards = spark.read.parquet(path).where(F.col("shard").between(start // per_shard, max(start, stop - 1) // per_shard))
-    out = records(shards, length).select((F.col("shard") * per_shard + F.col("at")).alias("slot"), "record")
+    out = records(shards, length).select((F.col("shard") * per_shard + F.col("at")).alias("slot"), "key", "part", "n_tokens", "record")
     return out.where((F.col("slot") >= start) & (F.col("slot") < stop))
+
+
+def materialised(docs: DataFrame, key: str, text: str, vocabulary: str, ranks: str, length: int = 512, per_shard: int = 8192, seed: int = 1) -> DataFrame:
+    """The shards written in the shared folder (removed when this process ends), as a table."""
+    spark = docs.sparkSession
+    path = f"{checkpoint_folder(spark)}/shards-{uuid4().hex}"
+    remove_at_exit(spark, path)
+    training_shards(docs, key, text, vocabulary, ranks, path, length, per_shard, seed)
+    return spark.read.parquet(path)

@@ -3,7 +3,9 @@
 Partitions pack their pieces by best-fit decreasing. Dual-feasible functions bound from below the
 sequences that a partition needs; where the count exceeds the bound, and for what every partition
 leaves partly filled, the emptiest sequences are opened again, partitions exchange the pieces in
-them by larger and larger groups, and best-fit decreasing runs again.
+them by larger and larger groups, and best-fit decreasing runs again. A group opens only so many pieces
+that the groups that meet at the next level are no larger than a partition was; where an exchange has
+saved no sequence, only the emptiest few go on. :func:`certificate` gives the count and the whole table's bound.
 
 Defined cases: a null or empty text is one end token; only texts longer than a sequence are cut;
 repeated rows are separate documents; an empty table packs into nothing. The input must be
@@ -12,6 +14,7 @@ deterministic when read again; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,11 @@ def lower_bound(lengths: np.ndarray, size: int) -> float:
     """The largest bound on the count of sequences by three families of dual-feasible functions."""
     if not len(lengths):
         return 0.0
-    n = np.bincount(lengths, minlength=size + 1).astype(np.float64)
+    return _bound(np.bincount(lengths, minlength=size + 1).astype(np.float64), size)
+
+
+def _bound(n: np.ndarray, size: int) -> float:
+    """The same from the counts ``n`` of the lengths 0 to ``size``."""
     s = np.arange(size + 1)
     best = float(n @ s) / size
     # threshold e: more than size - e counts as a whole sequence, less than e as nothing
@@ -66,16 +73,22 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return np.array(out, np.int64), np.array(room, np.int64)
 
 
-def _packed(ids: np.ndarray, lengths: np.ndarray, size: int, group: int, level: int, last: bool) -> pa.RecordBatch:
-    """Pack one group's pieces; ``open`` marks pieces of sequences that the next level packs again."""
+def _packed(ids: np.ndarray, lengths: np.ndarray, size: int, group: int, level: int, last: bool, before: int | None = None) -> pa.RecordBatch:
+    """Pack one group's pieces; ``open`` marks pieces of sequences that the next level packs again.
+
+    ``before`` is the count of sequences that the pieces came from: if it did not fall, the gap is the bound's.
+    """
     order = np.lexsort((ids, -lengths))
     ids, lengths = ids[order], lengths[order]
     seq, room = best_fit_decreasing(lengths, size)
     gap = len(room) - lower_bound(lengths, size)
     reopened = np.zeros(len(room), bool)
     if not last and gap > 1e-9:
-        again = min(len(room), OPEN_LEAST + OPEN_EACH * int(np.ceil(gap)))
-        reopened[np.argsort(-room, kind="stable")[:again]] = True
+        saved = before is None or len(room) < before
+        again = min(len(room), OPEN_LEAST + (OPEN_EACH * int(np.ceil(gap)) if saved else 0))
+        emptiest = np.argsort(-room, kind="stable")[:again]
+        within = np.cumsum(np.bincount(seq, minlength=len(room))[emptiest]) <= max(1, PIECES // GROUPS)
+        reopened[emptiest[within]] = True
         reopened &= room > 0
     order = np.argsort(seq, kind="stable")
     ids, lengths, seq = ids[order], lengths[order], seq[order]
@@ -94,8 +107,8 @@ def _repack(size: int, level: int, last: bool):
     """Packs a group of partitions' opened pieces."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, lengths = (table.column(c).to_numpy() for c in ("_id", "length"))
-        return pa.Table.from_batches([_packed(ids, lengths, size, table.column("_next")[0].as_py(), level, last)])
+        ids, lengths, old = (table.column(c).to_numpy() for c in ("_id", "length", "sequence_id"))
+        return pa.Table.from_batches([_packed(ids, lengths, size, table.column("_next")[0].as_py(), level, last, len(np.unique(old)))])
 
     return run
 
@@ -119,7 +132,7 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
         groups = now.agg(F.max("_group")).first()[0]
         if groups is None or again.isEmpty():
             break
-        again = again.select("_id", "length", F.expr(f"_group div {GROUPS}").alias("_next"))
+        again = again.select("_id", "length", "sequence_id", F.expr(f"_group div {GROUPS}").alias("_next"))
         now = cut(again.groupBy("_next").applyInArrow(_repack(size, level, groups < GROUPS), _SCHEMA))
         level += 1
     packed = out[0]
@@ -128,6 +141,18 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     return packed
 
 
+def certificate(packed: DataFrame, size: int) -> tuple[int, int]:
+    """The count of sequences of ``length, sequence_id`` rows, and the fewest that there can be by the bound (a row a length comes to the driver)."""
+    used = packed.agg(F.count_distinct("sequence_id")).first()[0]
+    counts = packed.groupBy("length").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return 0, 0
+    n = np.zeros(size + 1, np.float64)
+    for r in counts:
+        n[r["length"]] = r.n
+    return used, math.ceil(_bound(n, size) - 1e-9)
+
+
 def cut_pieces(docs: DataFrame, key: str, text: str, vocabulary: str, ranks: str, size: int, end: int = 0) -> DataFrame:
     """Per piece: the key, ``piece``, ``start``, ``length``, ``ids`` (binary, little-endian unsigned 32-bit).
 

@@ -106,9 +106,9 @@ RECORD, SHARD = 512, 8192
 
 @query
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .order import records, training_shards
+    from .order import materialised, records
 
-    shards = training_shards(documents(spark, sf_dir), "doc_id", "text", tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), RECORD, SHARD)
+    shards = materialised(documents(spark, sf_dir), "doc_id", "text", tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), RECORD, SHARD)
     return records(shards, RECORD).select(
         F.col("key").alias("doc_id"),
         "part",
@@ -139,17 +139,23 @@ def op4_count_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), "doc_id", "text")
 
 
+#: Words of a passage that op8 tells of where it stands elsewhere too: passages of over 50 words, whatever their bytes.
+PASSAGE_WORDS = 51
+
+
 @query
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
-    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), report=PASSAGE_WORDS)
     return out.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.coalesce(F.octet_length("text") - F.octet_length("kept"), F.lit(0)).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]).alias("passage_bytes"),
     )
 
 

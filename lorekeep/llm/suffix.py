@@ -16,16 +16,17 @@ Defined cases: null and empty texts have no bytes and lose none; texts shorter t
 none; repeated rows repeat each other; texts are taken whole; an empty table gives an empty result.
 Other columns are passed through.
 
-With ``words`` the same is done over words: every word stands as the ``WIDTH`` bytes of its hash, and
-the strings are of that many words, however few bytes they have and whatever white space parts them.
+With ``words`` the same is done over words instead of bytes: a word's symbol is the hash of its letters,
+and the strings are of that many words, however few bytes they have and whatever white space parts them.
+
+Texts are named by 64 bits of hash; names that two different texts share (a second hash tells) are
+replaced. Contexts are equal if 128 bits of hashes are.
 """
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
-from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, cut, hits, shared_table, shuffle_width, small_batches
-from .shingles import mix, powers, prefix_hash
+from .shingles import mix, powers, prefix_hash, substring_hash
 
 #: Bytes of a repeat; bytes of an anchor.
 LENGTH, GRAM = 400, 32
@@ -42,38 +43,52 @@ LENGTH, GRAM = 400, 32
 PIECE = 4096
 #: Symbols of one suffix array (about 300 bytes each); contexts with more are compared pair of parts by pair of parts.
 MOST_SYMBOLS = 300_000
-#: Bytes of a word's hash. Runs without white space are words, but in scripts that do not part words every
-#: letter is one, and a run of more than LONG letters stands for a word every WIDTH letters.
-WIDTH, LONG = 8, 64
-_UNPARTED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-WORD = re.compile(f"[{_UNPARTED}]|[^\\s{_UNPARTED}]+")
-
-
-class _Hashes(dict):
-    """Hashes of words; a long run has one for each of its pieces."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 1 << 18:
-            self.clear()
-        step = WIDTH if len(word) > LONG else len(word)
-        out = self[word] = b"".join(blake2b(word[k : k + step].encode("utf-8", "surrogatepass"), digest_size=WIDTH).digest() for k in range(0, len(word), step))
-        return out
-
-
-_hashes = _Hashes()
-
-
-def word_bytes(text: str) -> bytes:
-    """The hashes of a text's words."""
-    return b"".join(map(_hashes.__getitem__, WORD.findall(text)))
-
-
-def word_starts(text: str) -> list[int]:
-    """Where the words of :func:`word_bytes` start, in letters."""
-    out: list[int] = []
-    for m in WORD.finditer(text):
-        a, z = m.span()
-        out += range(a, z, WIDTH if z - a > LONG else z - a)
+#: Words of an anchor; bytes of a word's hash. Runs without white space are words, but in scripts that do not part words
+#: every letter is one, and a run of more than LONG letters stands for a word every WIDTH letters.
+GRAM_WORDS, WIDTH, LONG = 4, 8, 64
+#: The code points of white space, and ranges of the scripts that do not part words.
+SPACES = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+UNPARTED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_SPACE = np.isin(np.arange(0x3002), SPACES)
+
+
+def word_marks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text given as code points."""
+    kind = np.where(_SPACE[np.minimum(codes, 0x3001)], 0, 1).astype(np.int8)
+    if len(codes) and int(codes.max()) >= UNPARTED[0][0]:
+        for lo, hi in UNPARTED:
+            kind[(codes >= lo) & (codes <= hi) & (kind == 1)] = 2
+    around = np.concatenate([[np.int8(0)], kind, [np.int8(0)]])
+    start = np.flatnonzero((kind > 0) & ((kind != around[:-2]) | (kind == 2)))
+    stop = np.flatnonzero((kind > 0) & ((kind != around[2:]) | (kind == 2))) + 1
+    if len(start) and int((stop - start).max()) > LONG:
+        times = np.where(stop - start > LONG, -(-(stop - start) // WIDTH), 1)
+        step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        start, stop, times = np.repeat(start, times) + WIDTH * step, np.repeat(stop, times), np.repeat(times, times)
+        stop = np.where(times > 1, np.minimum(stop, start + WIDTH), stop)
+    return start, stop
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def word_symbols(texts: list[str]) -> list[np.ndarray]:
+    """The hashes of the words of each text."""
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        size, held = 0, at
+        while held < len(texts) and (held == at or size + len(texts[held]) < 1 << 20):
+            size += len(texts[held]) + 1
+            held += 1
+        codes = _codes("\n".join(texts[at:held]))
+        start, stop = word_marks(codes)
+        word = substring_hash(prefix_hash(codes), start, stop) if len(start) else np.zeros(0, np.uint64)
+        ends = np.cumsum([len(t) + 1 for t in texts[at:held]])
+        bounds = [0, *np.searchsorted(start, ends).tolist()]
+        out += [word[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
+        at = held
     return out
 
 
@@ -145,29 +160,29 @@ def suffix_array(s: Sequence[int]) -> list[int]:
     return out
 
 
-def anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of texts of ``length`` bytes and more: (index, places, anchor hashes, context hashes, bytes before, bytes from the place on)."""
+def anchors(texts: list[np.ndarray], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts (as symbols) of ``length`` and more: (index, places, anchor hashes, context hashes, symbols before, symbols from the place on)."""
     at, size, held = 0, 0, []
     for i, t in enumerate(texts):
         if held and size + len(t) > 2 << 20:
-            yield from _anchors(at, held, length)
+            yield from _anchors(at, held, length, gram)
             at, size, held = i, 0, []
         held.append(t)
         size += len(t)
     if held:
-        yield from _anchors(at, held, length)
+        yield from _anchors(at, held, length, gram)
 
 
-def _anchors(first: int, texts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    raw = np.frombuffer(b"".join(texts), np.uint8)
+def _anchors(first: int, texts: list[np.ndarray], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    raw = np.concatenate(texts)
     n = len(raw)
     if n < length:
         return
     sums, (_, down) = prefix_hash(raw), powers(n + 1)
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
+    grams = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     bits = np.uint64(max(24, n.bit_length()))
-    # least hash, then leftmost place, in every run of length - GRAM + 1 grams
-    low, width, full = (grams >> bits) << bits | np.arange(len(grams), dtype=np.uint64), 1, length - GRAM + 1
+    # least hash, then leftmost place, in every run of length - gram + 1 grams
+    low, width, full = (grams >> bits) << bits | np.arange(len(grams), dtype=np.uint64), 1, length - gram + 1
     while width < full:
         step = min(width, full - width)
         low, width = np.minimum(low[:-step], low[step:]), width + step
@@ -289,13 +304,13 @@ def _by_parts(before: list[int], texts: list[bytes], decided: list[bool], length
     return spans
 
 
-def _bytes(batch: pa.RecordBatch, done: set[int], words: bool) -> tuple[list[int], list[bytes]]:
-    """Ids and texts (or their words) of a batch; texts that this task has seen are empty."""
+def _symbols(batch: pa.RecordBatch, done: set[int], words: bool) -> tuple[list[int], list[np.ndarray]]:
+    """Ids and texts of a batch as bytes or words; texts that this task has seen are empty."""
     ids, texts = batch.column("id").to_pylist(), []
     for i, t in zip(ids, batch.column("text").to_pylist(), strict=True):
-        texts.append(b"" if i in done or not t else word_bytes(t) if words else t.encode("utf-8", "surrogatepass"))
+        texts.append("" if i in done or not t else t)
         done.add(i)
-    return ids, texts
+    return ids, word_symbols(texts) if words else [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
 
 
 def _anchor_rows(docs: DataFrame, length: int, words: bool) -> DataFrame:
@@ -304,9 +319,9 @@ def _anchor_rows(docs: DataFrame, length: int, words: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            ids, texts = _bytes(b, done, words)
+            ids, texts = _symbols(b, done, words)
             columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
-            for i, place, anchor, context, before, after in anchors(texts, length):
+            for i, place, anchor, context, before, after in anchors(texts, length, GRAM_WORDS if words else GRAM):
                 for c, v in zip(columns, (anchor, context, np.full(len(place), ids[i]), place, before, after), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["anchor", "context", "id", "place", "before", "after"])
@@ -314,22 +329,22 @@ def _anchor_rows(docs: DataFrame, length: int, words: bool) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "anchor long, context long, id long, place long, before long, after long")
 
 
-def _name(anchor: np.ndarray, context: np.ndarray, i: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A hash of an anchor's context and the place where it stands."""
+def _name(anchor: np.ndarray, context: np.ndarray, i: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of an anchor's context and the place where it stands."""
     anchor, context, i, place = (x.astype(np.uint64) for x in (anchor, context, i, place))
-    return (mix(anchor) ^ context ^ mix(i + place)).astype(np.int64)
+    return (mix(anchor) ^ context ^ mix(i + place)).astype(np.int64), mix(mix(mix(mix(i) + place) + anchor) + context).astype(np.int64)
 
 
 def _names(rows: DataFrame) -> DataFrame:
-    """Add ``name``."""
+    """Add ``name`` and ``name2``."""
     from pyspark.sql.types import LongType, StructField, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            name = _name(*(b.column(c).to_numpy() for c in ("anchor", "context", "id", "place")))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(name)], [*b.schema.names, "name"])
+            names = _name(*(b.column(c).to_numpy() for c in ("anchor", "context", "id", "place")))
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, names)], [*b.schema.names, "name", "name2"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("name", LongType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("name", LongType()), StructField("name2", LongType())]))
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int, words: bool) -> DataFrame:
@@ -339,21 +354,22 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, words: bool) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            ids, texts = _bytes(b, done, words)
-            names, bodies = [np.zeros(0, np.int64)], []
-            for i, place, anchor, context, before, after in anchors(texts, length):
-                name = _name(anchor, context, np.full(len(place), ids[i]), place)
-                at = np.flatnonzero(hits(shared.value, name))
-                names.append(name[at])
-                bodies += [texts[i][p - q : p + r] for p, q, r in zip(place[at].tolist(), before[at].tolist(), after[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names), pa.int64()), pa.array(bodies, pa.binary())], ["name", "body"])
+            ids, texts = _symbols(b, done, words)
+            names, bodies = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]], []
+            for i, place, anchor, context, before, after in anchors(texts, length, GRAM_WORDS if words else GRAM):
+                both = _name(anchor, context, np.full(len(place), ids[i]), place)
+                at = np.flatnonzero(hits(shared.value, both[0]))
+                for held, name in zip(names, both, strict=True):
+                    held.append(name[at])
+                bodies += [texts[i][p - q : p + r].tobytes() for p, q, r in zip(place[at].tolist(), before[at].tolist(), after[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(n), pa.int64()) for n in names), pa.array(bodies, pa.binary())], ["name", "name2", "body"])
 
-    bodies = docs.select("id", "text").mapInArrow(run, "name long, body binary").dropDuplicates(["name"])
-    return wanted.join(bodies, "name")
+    bodies = docs.select("id", "text").mapInArrow(run, "name long, name2 long, body binary").dropDuplicates(["name", "name2"])
+    return wanted.join(bodies, ["name", "name2"])
 
 
-def _sorted_spans(rows: DataFrame, length: int) -> DataFrame:
-    """``id, start, stop`` of the repeats that suffix arrays find among the contexts of each anchor."""
+def _sorted_spans(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """``id, start, stop`` of the repeats that suffix arrays find among the contexts of each anchor; symbols are ``width`` bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -371,8 +387,9 @@ def _sorted_spans(rows: DataFrame, length: int) -> DataFrame:
         out: list[tuple[int, int, int]] = []
         for a, z in zip(ends, ends[1:], strict=False):
             before, bodies, ids, places, twice = (table.column(c).slice(a, z - a).to_pylist() for c in ("before", "body", "id", "place", "twice"))
-            for i, p, b, found in zip(ids, places, before, repeated_spans(before, bodies, twice, length), strict=True):
-                out += [(i, p - b + s, p - b + e) for s, e in found]
+            for i, p, b, found in zip(ids, places, before, repeated_spans([width * x for x in before], bodies, twice, width * length), strict=True):
+                # an end within a word is a chance likeness of two hashes
+                out += [(i, p - b - (-s // width), p - b + e // width) for s, e in found if e // width + (-s // width) >= length]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["id", "start", "stop"])
 
     ordered = rows.repartition(shuffle_width(rows.sparkSession), "anchor", "pair").sortWithinPartitions("anchor", "pair", "context")
@@ -380,7 +397,7 @@ def _sorted_spans(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
-    """``id, spans`` (array of start, stop; maximal and ascending) of every text that loses bytes (of its words' hashes, with ``words``); ``docs`` has ``id, text``."""
+    """``id, spans`` (array of start, stop; maximal and ascending) of every text that loses bytes (or words, with ``words``); ``docs`` has ``id, text``."""
     found = shared_table(_anchor_rows(docs, length, words))
     places = F.struct("id", "place")
     # Pre-aggregated where they are found, so an anchor or a context of a third of all texts is a row a task.
@@ -395,8 +412,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataF
     # An anchor with very many contexts is sorted pair of pieces by pair of pieces.
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
     wanted = wanted.withColumn("own", F.pmod(F.xxhash64("context"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    wanted = wanted.withColumn("pair", F.greatest("own", "other") * F.lit(1 << 15) + F.least("own", "other")).drop("own", "other", "n", "name")
-    spans = equal.unionByName(_sorted_spans(wanted, length))
+    wanted = wanted.withColumn("pair", F.greatest("own", "other") * F.lit(1 << 15) + F.least("own", "other")).drop("own", "other", "n", "name", "name2")
+    spans = equal.unionByName(_sorted_spans(wanted, length, WIDTH if words else 1))
     # Overlapping and touching spans become one.
     by = Window.partitionBy("id").orderBy("start", "stop")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -405,39 +422,69 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataF
     return merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", in_place: bool = False, length: int = LENGTH, words: int | None = None) -> DataFrame:
+def _named(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``_id``, the name of the text, which no other text has; and ``id, copies, n`` (bytes) of the names."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    one, two = F.xxhash64(body, F.octet_length(body)), F.xxhash64(F.lit("again"), body)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return cut(rows.select(F.col("_id").alias("id"), two.alias("two"), F.octet_length(body).alias("n")).groupBy("id").agg(F.count("*").alias("copies"), F.first("n").alias("n"), (F.min("two") != F.max("two")).alias("clash")))
+
+    named = docs.withColumn("_id", one)
+    copies = counted(named)
+    # Of n texts about n * n / 2**65 names clash: a handful at 10**10.
+    clashing = [r.id for r in copies.where("clash").select("id").collect()]
+    if clashing:
+        named = docs.withColumn("_id", F.when(one.isin(clashing), two).otherwise(one))
+        copies = counted(named)
+    return named, copies
+
+
+def _lost(texts: DataFrame, copies: DataFrame, length: int, words: bool) -> DataFrame:
+    """``_id, spans`` of all repeats in symbols; those of a whole text that stands twice reach beyond any text's end with ``words``."""
+    end = F.lit(1 << 40) if words else F.col("n")
+    whole = copies.where("copies > 1" if words else f"copies > 1 and n >= {length}").select("id", F.array(F.struct(F.lit(0).cast("long").alias("start"), end.cast("long").alias("stop"))).alias("all"))
+    return repeats(texts, length, words).join(whole, "id", "full").select(F.col("id").alias("_id"), F.coalesce("all", "spans").alias("spans"))
+
+
+def _in_bytes(text: str, spans: list[dict[str, int]] | None, least: int) -> list[dict[str, int]]:
+    """Spans of a text's words as bytes; words go with the white space behind them."""
+    if not spans or not text:
+        return []
+    start, _ = word_marks(_codes(text))
+    places, out = [0, *start[1:].tolist(), len(text)], []
+    for s in spans:
+        a, z = s["start"], min(s["stop"], len(start))
+        if z - a >= least:
+            before = len(text[: places[a]].encode("utf-8", "surrogatepass"))
+            out.append({"start": before, "stop": before + len(text[places[a] : places[z]].encode("utf-8", "surrogatepass"))})
+    return out
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", in_place: bool = False, length: int = LENGTH, words: int | None = None, report: int | None = None) -> DataFrame:
     """``docs`` with ``kept`` (binary, the remaining bytes) and ``spans`` (array of start, stop: maximal removed runs).
 
     A repeat has ``length`` bytes at least or, where ``words`` is given, that many words; then words go with the white
-    space behind them, and runs are in bytes all the same.
+    space behind them, and runs are in bytes all the same. Columns of these names in ``docs`` are replaced.
 
     With ``in_place`` the text itself becomes what remains, less letters that a cut has torn, and there is no ``kept``.
+    With ``report`` there are ``passages`` besides, runs (in bytes of the text) of passages of that many words that also
+    stand elsewhere; they are told, not cut.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     small_batches(docs.sparkSession)
-    docs = docs.drop("kept", "spans")
+    docs = docs.drop("kept", "spans", "passages")
     names = list(docs.columns)
-    if words is not None:
-        length = words * WIDTH
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = docs.withColumn("_id", F.xxhash64(body, F.octet_length(body)))
-    texts = named.select(F.col("_id").alias("id"), body.alias("text"))
-    copies = texts.select("id", F.octet_length("text").alias("n")).groupBy("id").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
-    whole = copies.where("copies > 1" if words is not None else f"copies > 1 and n >= {length}").select("id", F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.lit(1 << 40) if words is not None else F.col("n")).cast("long").alias("stop"))).alias("all"))
-    lost = repeats(texts, length, words is not None).join(whole, "id", "full").select(F.col("id").alias("_id"), F.coalesce("all", "spans").alias("spans"))
-
-    def in_bytes(t: str | None, spans: list[dict[str, int]] | None) -> list[dict[str, int]] | None:
-        """Spans of a text's words as bytes; those of a whole text, which may be too short, are not cut to it yet."""
-        if not words or not spans or not t:
-            return [] if words and spans else spans
-        starts, out = word_starts(t), []
-        places = [0, *starts[1:], len(t)]
-        for s in spans:  # an end within a word is a chance likeness of two hashes
-            a, z = -(-s["start"] // WIDTH), min(s["stop"] // WIDTH, len(starts))
-            if z - a >= words:
-                out.append({"start": len(t[: places[a]].encode("utf-8", "surrogatepass")), "stop": len(t[: places[z]].encode("utf-8", "surrogatepass"))})
-        return out
+    named, copies = _named(docs, text)
+    texts = named.select(F.col("_id").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = "array<struct<start:long,stop:long>>"
+    lost = _lost(texts, copies, words or length, words is not None)
+    told = ["spans"]
+    if report is not None:
+        lost = lost.join(_lost(texts, copies, report, True).withColumnRenamed("spans", "passages"), "_id", "full")
+        told.append("passages")
+    joined = named.join(cut(lost), "_id", "left").select(*names, *(F.coalesce(c, F.array().cast(kind)).alias(c) for c in told))
 
     def cut_spans(t: str | None, spans: list[dict[str, int]] | None) -> bytes:
         raw, at, parts = (t or "").encode("utf-8", "surrogatepass"), 0, []
@@ -449,13 +496,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", in_place: bool = False,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = {c: b.column(c) for c in names}
-            pairs = [(t, in_bytes(t, s)) for t, s in zip(b.column(text).to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            body, spans = b.column(text).to_pylist(), b.column("spans").to_pylist()
+            if words is not None:
+                spans = [_in_bytes(t or "", s, words) for t, s in zip(body, spans, strict=True)]
             if in_place:
-                columns[text] = pa.array([cut_spans(t, s).decode("utf-8", "ignore") if s else t for t, s in pairs], pa.string())
+                columns[text] = pa.array([cut_spans(t, s).decode("utf-8", "ignore") if s else t for t, s in zip(body, spans, strict=True)], pa.string())
             else:
-                columns["kept"] = pa.array([cut_spans(t, s) for t, s in pairs], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array([s for _, s in pairs], b.column("spans").type) if words else b.column("spans")], [*columns, "spans"])
-
-    extra = _parse_datatype_string(("" if in_place else "kept binary, ") + "spans array<struct<start:long,stop:long>>")
-    joined = named.join(cut(lost), "_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:long,stop:long>>")))
-    return joined.select(*names, "spans").mapInArrow(run, StructType([*docs.schema.fields, *extra.fields]))
+                columns["kept"] = pa.array([cut_spans(t, s) for t, s in zip(body, spans, strict=True)], pa.binary())
+            columns["spans"] = pa.array(spans, b.column("spans").type) if words is not None else b.column("spans")
+            if report is not None:
+                columns["passages"] = pa.array([_in_bytes(t or "", s, report) for t, s in zip(body, b.column("passages").to_pylist(), strict=True)], b.column("passages").type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    extra = _parse_datatype_string(("" if in_place else "kept binary, ") + ", ".join(f"{c} {kind}" for c in told))
+    return joined.mapInArrow(run, StructType([*docs.schema.fields, *extra.fields]))

@@ -8,6 +8,7 @@ import public_tokenizers as P
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lorekeep.llm import packing, queries
 from lorekeep.llm.bpe import Codec
@@ -49,10 +50,10 @@ def test_both_libraries_agree(hard_docs):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     encode = encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
     for d in hard_docs.collect():
         assert encode(d.text or "").tolist() == exact.encode(d.text or "", add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
 def check_packed(rows, size):
@@ -69,8 +70,11 @@ def check_packed(rows, size):
 
 
 def test_pack_query(spark, hard_docs, tables):
-    rows = queries.QUERIES["op6_certified_packing"](spark, tables(documents=hard_docs)).collect()
-    encode = encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
+    from tokenizers import Tokenizer
+
+    rows = queries.QUERIES["op6_certified_packing"](spark, tables(documents=hard_docs.withColumn("piece", F.lit(1)).withColumn("_id", F.lit("x")))).collect()
+    exact = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode = lambda t: exact.encode(t, add_special_tokens=False).ids
     want = []
     for d in hard_docs.collect():
         ids = np.append(encode(d.text or ""), 0).astype("<u4")
@@ -106,5 +110,24 @@ def test_exchange_between_partitions(spark, monkeypatch):
     assert n <= packing.lower_bound(np.array(lengths), 2048) * 1.005 + 1
 
 
+def test_groups_stay_bounded_where_the_bound_is_weak(spark, monkeypatch):
+    """No two of 600 to 1000 fill a sequence of 2048 with a third to spare: the gap never closes, groups must not grow."""
+    monkeypatch.setattr(packing, "PIECES", 100)
+    real = packing._packed
+    rng = np.random.default_rng(6)
+    groups = {g: rng.integers(600, 1000, 100) for g in range(8)}
+    table = packing.pa.concat_tables(
+        packing.pa.Table.from_batches([real(np.arange(100) + 100 * g, lengths, 2048, g, 0, False)]) for g, lengths in groups.items()
+    )
+    opened = table.filter(table.column("_open"))
+    assert 0 < opened.num_rows <= 100
+    lengths = [*rng.integers(600, 1000, 3000).tolist()]
+    df = spark.createDataFrame(list(enumerate(lengths)), "_id long, length long")
+    out = df.join(packing.pack(df, 2048), "_id")
+    n = check_packed([(r.sequence_id, r.offset, r.length) for r in out.collect()], 2048)
+    used, least = packing.certificate(out, 2048)
+    assert used == n >= least and n <= 1550
+
+
 def test_empty(spark, no_docs):
     assert packing.pack_documents(no_docs, "doc_id", "text", P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), 64).count() == 0

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lorekeep.llm import media, order, queries
 from lorekeep.llm.packing import cut_pieces
@@ -51,14 +52,33 @@ def test_feistel_is_a_permutation(n, key):
 
 def test_training_order_places_every_sequence(spark, hard_docs, no_docs, tmp_path):
     files = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
-    shards = order.training_shards(hard_docs, "doc_id", "text", *files, length=64, per_shard=100)
+    order.training_shards(hard_docs, "doc_id", "text", *files, str(tmp_path / "shards"), length=64, per_shard=100)
+    shards = spark.read.parquet(str(tmp_path / "shards"))
     rows = order.records(shards, 64).collect()
     slots = {r.shard * 100 + r.at: r for r in rows}
     assert sorted(slots) == list(range(len(rows)))
     pieces = cut_pieces(hard_docs, "doc_id", "text", *files, 64).collect()
     want = sorted((str(p.doc_id), p.piece, np.frombuffer(p.ids, "<u4").astype("<u2").tobytes().ljust(128, b"\0")) for p in pieces)
     assert sorted((str(r.key), r.part, bytes(r.record)) for r in rows) == want
-    order.write_shards(shards, str(tmp_path / "shards"))
     some = order.read_slots(spark, str(tmp_path / "shards"), 95, 205, 64, 100).collect()
+    # by brute force: numbered by hash, key and place, then permuted, whatever the split of the input
+    hashes = {(str(r.doc_id), r.text): r.h for r in hard_docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))), 1).alias("h")).collect()}
+    texts = {h: k for k, h in hashes.items()}
+    assert len(texts) == len(hashes)
+    by_slot = [slots[int(s)] for s in order.permute(np.arange(len(rows)), len(rows), 1)]
+    want = sorted((h, n) for (k, _), h in hashes.items() for n in range(sum(p.piece is not None and str(p.doc_id) == k for p in pieces) if k not in ("None", "2") else 0))
+    got = [(r.key, r.part) for r in by_slot if r.key not in (None, 2)]
+    assert got == [(int(texts[h][0]), n) for h, n in want]
+    again = order.records(order.materialised(hard_docs.repartition(7), "doc_id", "text", *files, 64, 100), 64).collect()
+    assert sorted((r.shard, r.at, str(r.key), r.part, bytes(r.record)) for r in again) == sorted((r.shard, r.at, str(r.key), r.part, bytes(r.record)) for r in rows)
     assert {r.slot: bytes(r.record) for r in some} == {k: bytes(v.record) for k, v in slots.items() if 95 <= k < 205}
-    assert order.training_shards(no_docs, "doc_id", "text", *files).count() == 0
+    assert order.materialised(no_docs, "doc_id", "text", *files).count() == 0
+
+
+def test_training_query(spark, hard_docs, tables):
+    rows = queries.QUERIES["op2_training_order"](spark, tables(documents=hard_docs.withColumn("slot", F.lit(1)).withColumn("key", F.lit("x")))).collect()
+    pieces = cut_pieces(hard_docs, "doc_id", "text", P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), 512).collect()
+    want = sorted((str(p.doc_id), p.piece, p.length, zlib.crc32(np.frombuffer(p.ids, "<u4").astype("<u2").tobytes().ljust(1024, b"\0"))) for p in pieces)
+    assert sorted((str(r.doc_id), r.part, r.n_tokens, r.record_crc32) for r in rows) == want
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert all((r.shard, r.byte_offset) == (r.slot // queries.SHARD, r.slot % queries.SHARD * 1024) for r in rows)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +8,18 @@ from hypothesis import strategies as st
 from lorekeep.llm import queries, suffix
 
 
+def test_names_that_clash_are_replaced(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(900)) for _ in range(4)]
+    texts += [texts[0][:500] + texts[1][:500], texts[2], "tiny"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real = suffix.F.xxhash64
+    # the first name of all texts is one of two; the second tells them apart
+    monkeypatch.setattr(suffix.F, "xxhash64", lambda *c: suffix.F.pmod(real(*c), suffix.F.lit(2)) if len(c) == 2 and "octet_length" in str(c[1]) else real(*c))
+    got = {r.doc_id: r for r in suffix.remove_repeats(df).collect()}
+    assert [(len(texts[i]), len(texts[i]) - len(got[i].kept), len(got[i].spans), hashlib.sha256(bytes(got[i].kept)).hexdigest()) for i in range(len(texts))] == brute(texts, 400)
+
+
 def brute(texts, length):
     raws = [(t or "").encode() for t in texts]
     seen = {}
@@ -49,11 +62,14 @@ def test_longest_common():
 
 
 def test_query_on_hard_rows(spark, hard_docs, tables):
-    short = hard_docs.where("doc_id is null or doc_id <> 15")
-    rows = queries.QUERIES["op8_suffix_repeats"](spark, tables(documents=short)).collect()
-    docs = short.collect()
+    rows = queries.QUERIES["op8_suffix_repeats"](spark, tables(documents=hard_docs)).collect()
+    docs = hard_docs.collect()
     want = [(d.doc_id, *b) for d, b in zip(docs, brute([d.text for d in docs], 400), strict=True)]
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows), key=str) == sorted(want, key=str)
+    left, unbroken = brute_words([d.text or "" for d in docs], 51), (12, 13, 14, 16, 17)  # scripts and runs without white space count otherwise
+    passages = Counter((d.doc_id, len(w) < len((d.text or "").split())) for d, w in zip(docs, left, strict=True) if d.doc_id not in unbroken)
+    assert Counter((r.doc_id, r.n_passages > 0) for r in rows if r.doc_id not in unbroken) == passages
+    assert all((r.n_passages > 0) == (r.passage_bytes > 0) for r in rows)
 
 
 def test_many_near_copies_by_brute_force(spark, monkeypatch):
