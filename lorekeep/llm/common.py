@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -42,7 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows and the bytes of the Arrow batches that carry whole texts."""
+    """Bound the rows and the bytes of the Arrow batches that carry whole texts, and drop shuffle files when the query that made them ends.
+
+    Operators run several queries one after the other, each of which ends in a checkpoint or a written table.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -78,8 +83,8 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def remove_at_exit(spark: SparkSession, path: str) -> None:
-    """Remove a table of the shared folder when this process ends."""
+def remove_at_exit(spark: SparkSession, path: str) -> Callable[[], None]:
+    """Remove a table of the shared folder when this process ends, or when the function that is returned is called."""
 
     def remove(jvm=spark.sparkContext._jvm, conf=spark.sparkContext._jsc.hadoopConfiguration()) -> None:
         with suppress(Exception):  # the gateway may be closed by then; the folder is a temporary one
@@ -87,6 +92,26 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
             where.getFileSystem(conf).delete(where, True)
 
     atexit.register(remove)
+    return remove
+
+
+def scratch_table(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """:func:`shared_table`, and a function to call once nothing reads it any more.
+
+    That function removes the table and has both garbage collectors run, on which the engine drops the shuffle
+    files and checkpoints of frames that are out of use; else they lie on the disks until a collection comes by.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid4().hex}"
+    remove = remove_at_exit(spark, path)
+    df.write.parquet(path)
+
+    def release() -> None:
+        remove()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+    return spark.read.parquet(path), release
 
 
 #: Bits of a filter of 64-bit names: 8 MB, whatever the input. It only saves shuffling; a join decides.

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cut, hits, shared_table, shuffle_width, small_batches
+from .common import bit_filter, cut, hits, scratch_table, shuffle_width, small_batches
 from .shingles import mix, powers, prefix_hash, substring_hash
 
 #: Bytes of a repeat; bytes of an anchor.
@@ -398,11 +398,10 @@ def _sorted_spans(rows: DataFrame, length: int, width: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
     """``id, spans`` (array of start, stop; maximal and ascending) of every text that loses bytes (or words, with ``words``); ``docs`` has ``id, text``."""
-    found = shared_table(_anchor_rows(docs, length, words))
-    places = F.struct("id", "place")
+    found, release = scratch_table(_anchor_rows(docs, length, words))
     # Pre-aggregated where they are found, so an anchor or a context of a third of all texts is a row a task.
-    contexts = found.groupBy("anchor", "context").agg(F.min(places).alias("lo"), F.max(places).alias("hi"), F.first("before").alias("before"), F.first("after").alias("after"))
-    contexts = contexts.select("anchor", "context", F.col("lo.id").alias("id"), F.col("lo.place").alias("place"), "before", "after", (F.col("lo") != F.col("hi")).alias("twice"))
+    where = F.xxhash64("id", "place")
+    contexts = found.groupBy("anchor", "context").agg(*(F.first(c).alias(c) for c in ("id", "place", "before", "after")), (F.min(where) != F.max(where)).alias("twice"))
     several = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     live = cut(contexts.join(several, "anchor", "left").where("twice or n is not null"))
     # Equal contexts at two places: all of their strings are repeats, wherever they stand.
@@ -419,7 +418,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataF
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.distinct().withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("id", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    return merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    out = cut(merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans")))
+    release()
+    return out
 
 
 def _named(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
