@@ -13,7 +13,9 @@ So a group of near copies costs about a pair a copy, and no link between compone
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; repeated rows and
 equal sets are one class; long texts are taken whole; an empty table gives an empty result; a null
-key takes part but names a component only if all are null. Other columns are not looked at.
+key takes part but names a component only if all are null. The key and the text may have any name;
+other columns are not looked at. Sets are named by 64 bits of hash; names that two sets share (a second
+hash tells) are replaced.
 """
 
 from __future__ import annotations
@@ -38,14 +40,25 @@ GROUPS, FINE = 64, 1 << 16
 LEAF, PIECE = 32, 2048
 #: Shingles that come last in the order, at most (the most frequent of the corpus).
 FREQUENT = 1 << 18
+#: Slices of a task's members, of which one is held at a time.
+SLICES = 16
 #: Shared members that a pair of sets needs, and sets of a member up to which it counts pairs.
 LEAST, FEW = 3, 8
 
 
-def set_id(members: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = mix(np.array([int(members.sum(dtype=np.uint64)) ^ (len(members) * 0x9E3779B97F4A7C15) % 2**64], np.uint64)) ^ np.bitwise_xor.reduce(mix(members))
-    return int(total.astype(np.int64)[0])
+def set_ids(members: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    mixed = mix(members)
+    total, again = int(members.sum(dtype=np.uint64)), int(mixed.sum(dtype=np.uint64))
+    size = (len(members) * 0x9E3779B97F4A7C15) % 2**64
+    both = mix(np.array([total ^ size, again ^ size], np.uint64)) ^ np.array([np.bitwise_xor.reduce(mixed), np.bitwise_xor.reduce(mix(mixed + np.uint64(1)))], np.uint64)
+    one, two = both.astype(np.int64).tolist()
+    return one, two
+
+
+def set_id(hashes: tuple[int, int], clashing: frozenset[int]) -> int:
+    """The name of a set: its first hash, or the second where the first is one of those that different sets share."""
+    return hashes[hashes[0] in clashing]
 
 
 def count_point(members: np.ndarray) -> bytes:
@@ -163,16 +176,17 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(change), len(change))
 
 
-def describe(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """Per row: key, ``n``, ``id`` and ``point`` of its set (null if empty); and the corpus' most frequent shingles, ascending."""
+def describe(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray, frozenset[int]]:
+    """Per row: key, ``n``, ``id`` and ``point`` of its set (null if empty); the corpus' most frequent shingles, ascending; hashes that sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for b in batches:
             sets = shingle_sets(b.column(1).to_pylist())
-            ids = [set_id(s) if len(s) else None for s in sets]
+            both = [set_ids(s) if len(s) else (None, None) for s in sets]
+            ids = [i for i, _ in both]
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(n, bool)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([count_point(s) if len(s) else None for s in sets], pa.binary())], [key, "row", "n", "id", "point"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.ones(n, bool)), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array([i for _, i in both], pa.int64()), pa.array([count_point(s) if len(s) else None for s in sets], pa.binary())], [key, "row", "n", "id", "id2", "point"])
             held += [s for s in dict(zip(ids, sets, strict=True)).values() if len(s)]
             if sum(map(len, held)) > 4_000_000:
                 yield count(held)
@@ -184,16 +198,21 @@ def describe(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarra
         seen, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
         often = times >= 3
         n = int(often.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(np.zeros(n, bool)), pa.array(times[often].astype(np.int64)), pa.array(seen[often].astype(np.int64)), pa.nulls(n, pa.binary())], [key, "row", "n", "id", "point"])
+        return pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.array(np.zeros(n, bool)), pa.array(times[often].astype(np.int64)), pa.array(seen[often].astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], [key, "row", "n", "id", "id2", "point"])
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     kind = to_arrow_type(docs.schema[key].dataType)
-    both = cut(docs.select(key, text).mapInArrow(run, StructType([StructField(key, docs.schema[key].dataType), *_parse_datatype_string("row boolean, n long, id long, point binary").fields])))
+    both = cut(docs.select(key, text).mapInArrow(run, StructType([StructField(key, docs.schema[key].dataType), *_parse_datatype_string("row boolean, n long, id long, id2 long, point binary").fields])))
     top = both.where("not row").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).select("id").collect()
     frequent = np.sort(np.array([r.id for r in top], np.int64).astype(np.uint64))
-    return both.where("row").drop("row"), frequent
+    rows = both.where("row").drop("row")
+    # Of n sets about n * n / 2**65 hashes clash: a handful at 10**10.
+    clashing = frozenset(r.id for r in rows.where("id is not null").groupBy("id").agg(F.min("id2").alias("lo"), F.max("id2").alias("hi")).where("lo <> hi").select("id").collect())
+    if clashing:
+        rows = rows.withColumn("id", F.when(F.col("id").isin(list(clashing)), F.col("id2")).otherwise(F.col("id")))
+    return rows.drop("id2"), frequent, clashing
 
 
 def prefix_length(n: int) -> int:
@@ -244,7 +263,7 @@ def together(k: np.ndarray, n: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, n
     return a[first], b[first], np.add.reduceat(w, first)
 
 
-def blocks(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
+def blocks(docs: DataFrame, text: str, frequent: np.ndarray, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """``block, id``: sets that may be similar, by the members that they share at the head of the order.
 
     A member that few sets share gives pairs, which count: a pair that shares no member of many
@@ -259,7 +278,7 @@ def blocks(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
         for b in batches:
             ks, ns, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for s in shingle_sets(b.column(0).to_pylist()):
-                if not len(s) or (name := set_id(s)) in done:
+                if not len(s) or (name := set_id(set_ids(s), clashing)) in done:
                     continue
                 done.add(name)
                 at = np.minimum(np.searchsorted(shared.value, s), max(0, len(shared.value) - 1))
@@ -268,7 +287,8 @@ def blocks(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
                 ns.append(np.full(len(ks[-1]), len(s), np.int32))
                 ids.append(np.full(len(ks[-1]), name, np.int64))
             k, n, i = np.concatenate(ks), np.concatenate(ns), np.concatenate(ids)
-            part = (mix(k) % np.uint64(width)).astype(np.int64)
+            # a task's members come in SLICES slices one after the other
+            part = (mix(k) % np.uint64(width * SLICES)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             k, n, i, part = k[order], n[order], i[order], part[order]
             ends = _runs(part)
@@ -278,21 +298,30 @@ def blocks(docs: DataFrame, text: str, frequent: np.ndarray) -> DataFrame:
             )
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, ns, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for b in batches:
-            for held, c, t in ((ks, "ks", np.uint64), (ns, "ns", np.int32), (ids, "ids", np.int64)):
-                held += [np.frombuffer(x, t) for x in b.column(c).to_pylist()]
-        found = together(np.concatenate(ks), np.concatenate(ns).astype(np.int64), np.concatenate(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "w"])
+        now, held = None, []
+        for b in batches:  # sorted by slice; one slice is held at a time
+            for row in zip(*(b.column(c).to_pylist() for c in ("part", "ks", "ns", "ids")), strict=True):
+                if row[0] != now and held:
+                    yield met_in(held)
+                    held = []
+                now = row[0]
+                held.append(row[1:])
+        if held:
+            yield met_in(held)
+
+    def met_in(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        k, n, i = (np.frombuffer(b"".join(r[c] for r in held), t) for c, t in enumerate((np.uint64, np.int32, np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in together(k, n.astype(np.int64), i)], ["a", "b", "w"])
 
     keyed = docs.select(text).mapInArrow(keys, "part long, ks binary, ns binary, ids binary")
-    met = cut(keyed.repartition(width, "part").mapInArrow(group, "a long, b long, w long"))
+    dealt = keyed.repartitionById(width, (F.col("part") / SLICES).cast("int")).sortWithinPartitions("part")
+    met = cut(dealt.mapInArrow(group, "a long, b long, w long"))
     few = met.where("w > 0").groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= LEAST)
     few = few.select(F.xxhash64("a", "b").alias("block"), F.explode(F.array("a", "b")).alias("id"))
     return few.unionByName(met.where("w = 0").select(F.col("a").alias("block"), F.col("b").alias("id"))).distinct()
 
 
-def live_sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+def live_sets(docs: DataFrame, text: str, ids: DataFrame, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """``id, members`` of the sets named in ``ids``: one text pass and a join on the survivors of a bit filter."""
 
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))
@@ -302,7 +331,7 @@ def live_sets(docs: DataFrame, text: str, ids: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for s in shingle_sets(b.column(0).to_pylist()):
-                if not len(s) or (name := set_id(s)) in done:
+                if not len(s) or (name := set_id(set_ids(s), clashing)) in done:
                     continue
                 done.add(name)
                 if hits(shared.value, np.array([name]))[0]:
@@ -369,8 +398,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, n_shingles, component_id`` of every row: the least key that it reaches by links, itself included."""
     small_batches(docs.sparkSession)
-    rows, frequent = describe(docs, key, text)
-    parts = cut(blocks(docs, text, frequent))
+    docs, named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), key
+    key, text = "_key", "_text"
+    rows, frequent, clashing = describe(docs, key, text)
+    parts = cut(blocks(docs, text, frequent, clashing))
     # A large block is compared piece against piece; each row goes to the pairs that its piece is in.
     pieces = parts.groupBy("block").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
     spread = parts.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -380,7 +411,7 @@ def jaccard_components(docs: DataFrame, key: str, text: str) -> DataFrame:
     pairs = lambda found: found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     tried = cut(pairs(first))
     # Whatever may match anything in a block is in one of the first pairs, so these sets serve both rounds.
-    sets = cut(live_sets(docs, text, tried.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
+    sets = cut(live_sets(docs, text, tried.select(F.explode(F.array("u", "v")).alias("id")).distinct(), clashing))
     links = cut(verified(tried, sets))
     roots = cut(components(links))
     # Blocks with members of several components, and more pairs than were tried.
@@ -391,5 +422,5 @@ def jaccard_components(docs: DataFrame, key: str, text: str) -> DataFrame:
     if not second.isEmpty():
         roots = components(links.unionByName(verified(second, sets)))
     classes = rows.where("id is not null").groupBy("id").agg(F.min(key).alias("first")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = classes.join(classes.groupBy("root").agg(F.min("first").alias("component")), "root").select("id", "component")
-    return rows.join(named, "id", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component", key).alias("component_id"))
+    least = classes.join(classes.groupBy("root").agg(F.min("first").alias("component")), "root").select("id", "component")
+    return rows.join(least, "id", "left").select(F.col(key).alias(named), F.col("n").alias("n_shingles"), F.coalesce("component", key).alias("component_id"))

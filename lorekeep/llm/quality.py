@@ -6,8 +6,8 @@ descent; a logistic curve fitted to cross-validated margins turns the margin int
 
 Defined cases: a null or empty text has no features and scores the intercept; labels that are null
 are not learnt from, and several labels of one document count as their majority (ties: 1); an
-unlabelled or one-class training set gives a constant score; a null id is not held out. Other
-columns are not looked at. Rows are scored one by one, so repeated rows score alike.
+unlabelled or one-class training set gives a constant score; a null id is not held out. An id
+may be of any type. Other columns are not looked at; a ``score`` column is replaced. Rows are scored one by one, so repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .common import per_row, small_batches
 BUCKETS = 1 << 18
 #: The training set: at most about so many labelled documents, those of the least hash of their id.
 MAX_TRAIN = 16_000
+#: Features of the training set, at most about (4 bytes each, in the one task that fits).
+MAX_FEATURES = 1 << 27
 #: Seen in fewer training documents than this, an n-gram counts for nothing.
 MIN_DOCS = 3
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
@@ -143,8 +145,8 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Learn from labelled rows that are not held out: at most about ``max_train`` of them.
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
+    """Learn from labelled rows that are not held out: at most about ``max_train`` of them, of about ``max_features`` features in all.
 
     Features are drawn by all tasks; one task fits on the bounded sample; only the model (2 MB,
     whatever the input) comes to the driver.
@@ -156,14 +158,20 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     total = known.count()
     limit = (1 << 30) if total <= max_train else int((1 << 30) * max_train / total)
     sample = F.broadcast(known.where(F.col("_h") < limit))  # at most about max_train rows of 3 numbers
+    # A text has at most as many features as bytes, and BUCKETS; the sample shrinks where long texts would outgrow max_features.
+    texts = docs.select("doc_id", F.least(F.octet_length("text"), F.lit(BUCKETS)).alias("_n")).join(sample, "doc_id")
+    weight = texts.agg(F.sum("_n")).first()[0] or 0
+    if weight > max_features:
+        sample = F.broadcast(known.where(F.col("_h") < int(limit * max_features / weight)))
 
     def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = _Codes()
         texts, ids, ys = (batch.column(c).to_pylist() for c in ("text", "doc_id", "_y"))
         packed = [indicators(t, codes).astype(np.int32).tobytes() for t in texts]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "y", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ys, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "y", "at"])
 
-    drawn = per_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id"), ["doc_id", "text", "_y"], draw, "doc_id long, y int, at binary")
+    labelled = docs.select("doc_id", "text").join(sample, "doc_id").withColumn("doc_id", F.col("doc_id").cast("string"))
+    drawn = per_row(labelled, ["doc_id", "text", "_y"], draw, "doc_id string, y int, at binary")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({(i, y, at) for b in batches for i, y, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "at")), strict=True)})
@@ -180,6 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1); the text alone decides it, one narrow pass."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("score")
     names = list(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +199,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.drop("score").schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))

@@ -6,7 +6,8 @@ pull records into the new one, and shards receive records in proportion to their
 
 Defined cases: a null key counts as the empty key; a null text has no bytes (size 8) and the CRC
 of the empty text; equal keys share a shard; shards of weight 0 or less receive nothing; an empty
-table gives an empty result. Columns other than the key and the text are not looked at.
+table gives an empty result. Other columns are passed through, but ``shard``,
+``slot`` and ``grown_shard`` (and helper names with a leading underscore) are replaced.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ def shard_rows(df: DataFrame, key: str, weights: Sequence[float], grown_weight:
     """
     if not any(w > 0 for w in weights):
         raise ValueError("at least one shard needs a weight over 0")
+    df = df.drop(*({"shard", "grown_shard", "slot", "_scores", "_row", "_part", "_at", "_shift"} - {key, *order}))
     kept, name = list(df.columns), F.coalesce(F.col(key).cast("string"), F.lit(""))
     scored = df.select(*kept, F.array(*rendezvous(name, [*weights, grown_weight])).alias("_scores"))
     n = len(weights)

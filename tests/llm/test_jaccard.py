@@ -92,6 +92,15 @@ def test_bounds_never_lose_a_pair():
                     assert j in found
 
 
+def test_any_column_names_and_clashing_set_names(spark, monkeypatch):
+    docs = mutants(7, 80, 10)
+    df = spark.createDataFrame([(i, t, 0, "z") for i, t in docs], "id long, point string, n int, row string")
+    real = jaccard.set_ids
+    monkeypatch.setattr(jaccard, "set_ids", lambda m: (real(m)[0] % 7, real(m)[1]))
+    got = jaccard.jaccard_components(df, "id", "point").collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == brute(docs)
+
+
 def test_empty(spark, no_docs):
     assert jaccard.jaccard_components(no_docs, "doc_id", "text").count() == 0
 

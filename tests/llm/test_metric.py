@@ -46,11 +46,31 @@ def test_by_brute_force(spark, monkeypatch):
         monkeypatch.setattr(metric, "PER_PIVOT", per_pivot)
         monkeypatch.setattr(metric, "BLOCK", block)
         rows = rows_of(seed, 150, spread)
-        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        df = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "vec_id long, embedding array<double>, label int, id string, cell double")
         got = metric.range_join(df, "vec_id", "embedding", "label", 0.98).collect()
         assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(rows, 0.98)
 
 
+def test_cells_are_parted_again_and_dense_ones_are_not(spark, monkeypatch):
+    monkeypatch.setattr(metric, "PER_PIVOT", 8)
+    monkeypatch.setattr(metric, "MOST_PIVOTS", 3)
+    monkeypatch.setattr(metric, "BLOCK", 16)
+    for most, passes in ((8, 3 * 64 * 8), (0.5, 64 << 20)):  # small passes; and cells whose parting is refused
+        monkeypatch.setattr(metric, "MOST_COPIES", most)
+        monkeypatch.setattr(metric, "PIVOT_BYTES", passes)
+        rows = rows_of(4, 200, 0.2)
+        got = metric.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id", "embedding", "label", 0.98).collect()
+        assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(rows, 0.98)
+
+
+def test_close_calls_are_decided_on_the_given_vectors():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        a, b = rng.normal(size=16) * 1e200, rng.normal(size=16) * 1e-3
+        cosine = metric.exact_cosine(a, b)
+        assert metric.similar(a[None], b[None], cosine)[0, 0] and not metric.similar(a[None], b[None], np.nextafter(cosine, 2))[0, 0]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert metric.range_join(df, "vec_id", "embedding", "label", 0.98).count() == 0

@@ -33,6 +33,47 @@ def test_quality_edge_cases(spark, hard_docs, no_docs):
     assert quality.score(no_docs, none).count() == 0 and 0 < none.score(np.zeros(0, np.int64)) < 1
 
 
+def test_fit_by_brute_force(spark):
+    """Ratios, hinge loss and curve against plain computations; ids of any type, clashing columns."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(str(i), " ".join(rng.choices(words[: 30 if i % 2 else 40], k=12)) + (" fine" if i % 2 else " junk"), i % 2) for i in range(240)]
+    codes = quality._Codes()
+    docs, y = [quality.indicators(t, codes) for _, t, _ in texts], np.array([q for _, _, q in texts])
+    ratio = quality.log_ratio(docs, y)
+    for j in list(set(docs[0].tolist()))[:5]:
+        n = [sum(j in d for d, v in zip(docs, y, strict=True) if v == c) for c in (0, 1)]
+        size = [sum(len(d) for d, v in zip(docs, y, strict=True) if v == c) + quality.BUCKETS for c in (0, 1)]
+        want = np.log(((n[1] + 1) / size[1]) / ((n[0] + 1) / size[0])) if sum(n) >= quality.MIN_DOCS else 0.0
+        assert abs(ratio[j] - want) < 1e-9
+    w, b = quality.dual_descent(docs, y, ratio)
+    sign, scaled = np.where(y == 1, 1.0, -1.0), [ratio[d] / np.sqrt(len(d)) for d in docs]
+
+    def loss(w, b):
+        hinge = [max(0.0, 1 - s * (w[d] @ x + b)) for s, d, x in zip(sign, docs, scaled, strict=True)]
+        return (w @ w + b * b) / 2 + sum(hinge)  # the classes are even, so all rows cost 1
+
+    own = loss(w, b)
+    for _ in range(30):  # a convex loss: no neighbour is much better
+        step = np.zeros_like(w)
+        at = rng.choice(docs)
+        step[at] = np.random.default_rng(rng.randrange(99)).normal(size=len(at)) * 0.05
+        assert loss(w + step, b + rng.uniform(-0.05, 0.05)) > own * (1 - 5e-3)
+    margins = np.array([-2.0, -1.0, -0.5, 0.2, 1.0, 2.5])
+    slope, shift = quality.logistic(margins, np.array([0, 0, 1, 0, 1, 1]))
+    target = np.where(np.array([0, 0, 1, 0, 1, 1]) == 1, 4 / 5, 1 / 5)
+    cross = lambda a, b: -(target * np.log(1 / (1 + np.exp(-a * margins - b))) + (1 - target) * np.log(1 - 1 / (1 + np.exp(-a * margins - b)))).sum()
+    assert all(cross(slope + x, shift + z) >= cross(slope, shift) - 1e-6 for x in (-0.1, 0, 0.1) for z in (-0.1, 0, 0.1))
+    df = spark.createDataFrame([(i, t, "old") for i, t, _ in texts], "doc_id string, text string, score string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id string, quality int")
+    model = quality.train(df, labels)
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    held = [i for i, _, _ in texts if zlib.crc32(i.encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (int(i) % 2) for i in held]) >= 0.9
+    few = quality.train(df, labels, max_features=2000)
+    assert 0 < few.score(docs[0]) < 1
+
+
 def test_only_the_text_counts(spark):
     df = spark.createDataFrame([(1, "same text", "en", "a"), (2, "same text", "fr", "b")], "doc_id long, text string, lang string, source string")
     model = quality.fit([quality.indicators(t, quality._Codes()) for t in ("good words here", "bad stuff !!", "good words", "bad !!") * 4], np.array([1, 0, 1, 0] * 4))

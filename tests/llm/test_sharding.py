@@ -21,7 +21,7 @@ def test_query_contract(spark, hard_docs, tables):
 
 
 def test_weights_hot_keys_and_growth(spark):
-    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.lit("x").alias("shard_name"))
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.lit("x").alias("shard_name"), F.lit("old").alias("shard"), F.lit(1).alias("slot"), F.lit(2).alias("grown_shard"))
     out = shard_rows(rows, "k", [1.0, 2.0, 0.0, 1.0]).collect()
     n = Counter(r.shard for r in out if r.k != 7)
     assert n[2] == 0 and 1.7 < n[1] / n[0] < 2.4 and len(out) == 6000
