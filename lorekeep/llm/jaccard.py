@@ -40,8 +40,8 @@ GROUPS, FINE = 64, 1 << 16
 LEAF, PIECE = 32, 2048
 #: Shingles that come last in the order, at most (the most frequent of the corpus).
 FREQUENT = 1 << 18
-#: Slices of a task's members, of which one is held at a time.
-SLICES = 16
+#: Slices of a task's members, of which one is held at a time; members that a task collects before it deals them out.
+SLICES, HELD = 4, 2_000_000
 #: Shared members that a pair of sets needs, and sets of a member up to which it counts pairs.
 LEAST, FEW = 3, 8
 
@@ -275,8 +275,8 @@ def blocks(docs: DataFrame, text: str, frequent: np.ndarray, clashing: frozenset
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        ks, ns, ids, size = [], [], [], 0
         for b in batches:
-            ks, ns, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
             for s in shingle_sets(b.column(0).to_pylist()):
                 if not len(s) or (name := set_id(set_ids(s), clashing)) in done:
                     continue
@@ -286,16 +286,22 @@ def blocks(docs: DataFrame, text: str, frequent: np.ndarray, clashing: frozenset
                 ks.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s))])
                 ns.append(np.full(len(ks[-1]), len(s), np.int32))
                 ids.append(np.full(len(ks[-1]), name, np.int64))
-            k, n, i = np.concatenate(ks), np.concatenate(ns), np.concatenate(ids)
-            # a task's members come in SLICES slices one after the other
-            part = (mix(k) % np.uint64(width * SLICES)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            k, n, i, part = k[order], n[order], i[order], part[order]
-            ends = _runs(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[ends[:-1]] if len(part) else part, pa.int64()), *(pa.array([x[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)] if len(part) else [], pa.binary()) for x in (k, n, i))],
-                ["part", "ks", "ns", "ids"],
-            )
+                size += len(ks[-1])
+            if size > HELD:
+                yield dealt_out(ks, ns, ids)
+                ks, ns, ids, size = [], [], [], 0
+        if ks:
+            yield dealt_out(ks, ns, ids)
+
+    def dealt_out(*columns: list[np.ndarray]) -> pa.RecordBatch:
+        k, n, i = map(np.concatenate, columns)
+        # a task's members come in SLICES slices one after the other
+        part = (mix(k) % np.uint64(width * SLICES)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        k, n, i, part = k[order], n[order], i[order], part[order]
+        ends = _runs(part)
+        rows = [pa.array([x[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for x in (k, n, i)]
+        return pa.RecordBatch.from_arrays([pa.array(part[ends[:-1]], pa.int64()), *rows], ["part", "ks", "ns", "ids"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []

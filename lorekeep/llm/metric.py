@@ -30,7 +30,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from .common import cut
 from .graph import components
 
-#: Members for which a cell gets one more pivot, and pivots of a cell; rows of a block.
+#: Members for which a cell gets one more pivot, and pivots of a cell; rows of a block, which a cell has before it is parted.
 PER_PIVOT, MOST_PIVOTS, BLOCK = 1024, 128, 4096
 #: Bytes of the pivots of one pass, which every task holds; cells beyond wait for the next pass.
 PIVOT_BYTES = 64 << 20
@@ -113,7 +113,7 @@ def _parted(rows: DataFrame, radius: float) -> DataFrame:
     spark = rows.sparkSession
     whole, done = rows, []
     while True:
-        sizes = whole.where("home and not endswith(cell, '!')").groupBy("cell").agg(F.count("*").alias("n"), F.max(F.octet_length("vector")).alias("bytes")).where(F.col("n") > PER_PIVOT)
+        sizes = whole.where("home and not endswith(cell, '!')").groupBy("cell").agg(F.count("*").alias("n"), F.max(F.octet_length("vector")).alias("bytes")).where(F.col("n") > BLOCK)
         first = sizes.agg(F.max("bytes")).first()[0]
         if first is None:
             break
