@@ -24,11 +24,15 @@ def trust(confidence: Column) -> Column:
     return F.when(c >= 0.6, F.lit(1.0)).otherwise(F.greatest(F.lit(0.35), c / 0.6))
 
 
+# Types whose records are worth more.
+HIGH_VALUE_TYPES = ("decision", "architecture", "bug", "lesson", "preference")
+
+
 def memory_score(importance: Column, created_ms: Column, kind: Column, now_ms: int) -> Column:
-    """0.5 importance + 0.3 recency over 90 days + 0.2 of 1 for lasting types, else of a half."""
-    age = F.greatest(F.lit(0.0), (F.lit(now_ms) - created_ms) / F.lit(float(DAY_MS)))
-    fresh = F.greatest(F.lit(0.0), 1 - age / 90)
-    return F.lit(0.5) * F.coalesce(importance, F.lit(0.5)) + F.lit(0.3) * fresh + F.lit(0.2) * F.when(kind.isin(*STABLE_TYPES), 1.0).otherwise(0.5)
+    """0.5 importance + 0.3 recency (1 within a week, then by the day to 0 at 90) + 0.2 of 1 for types of high value, else of a half."""
+    age = F.greatest(F.lit(0.0), (F.lit(now_ms) - F.coalesce(created_ms, F.lit(0))) / F.lit(float(DAY_MS)))
+    fresh = F.when(age <= 7, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - age / 90))
+    return F.lit(0.5) * F.coalesce(importance, F.lit(0.5)) + F.lit(0.3) * fresh + F.lit(0.2) * F.when(kind.isin(*HIGH_VALUE_TYPES), 1.0).otherwise(0.5)
 
 
 def cosine(a: Column, b: Column) -> Column:

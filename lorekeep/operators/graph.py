@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import shared_folder
+
 # Events that never make a session, and those that do by their day.
 SKIPPED = ("rescan", "export", "import", "rollback")
 SUBSTANTIVE = ("session_summary", "todo", "todo_update", "memory", "memory_supersede", "memory_rejected")
@@ -40,14 +40,14 @@ def session_edges(events: DataFrame) -> DataFrame:
     return rows.select(F.explode(kinds).alias("kind"), F.col("prev").alias("src"), F.col("session").alias("dst"))
 
 
-def visible_nodes(events: DataFrame, last: int = 20) -> DataFrame:
-    """Trunk nodes with ``important`` (touched by an evidence edge) and ``visible`` (important or among the last)."""
+def visible_nodes(events: DataFrame, last: int = 20, thin_after: int = 40) -> DataFrame:
+    """Trunk nodes with ``important`` (touched by an evidence edge) and ``visible``: all up to ``thin_after`` nodes, else the important and the last."""
     rows = trunk(events)
     evidence = rows.where("prev is not null").where(F.arrays_overlap("files", "prev_files"))
     touched = evidence.select(F.explode(F.array("session", "prev")).alias("session")).distinct().withColumn("important", F.lit(True))
     newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("first_ms"), "session"))
-    marked = rows.withColumn("_r", newest).join(touched, "session", "left").withColumn("important", F.coalesce("important", F.lit(False)))
-    return marked.withColumn("visible", (F.col("_r") <= last) | F.col("important")).select("session", "user_id", "important", "visible")
+    marked = rows.withColumn("_r", newest).withColumn("_all", F.count("*").over(Window.partitionBy("user_id"))).join(touched, "session", "left").withColumn("important", F.coalesce("important", F.lit(False)))
+    return marked.withColumn("visible", (F.col("_all") <= thin_after) | (F.col("_r") <= last) | F.col("important")).select("session", "user_id", "important", "visible")
 
 
 def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -62,9 +62,7 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     Each round keeps only pairs that are new, so cycles end; lineage is cut in the checkpoint folder.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    shared_folder(edges.sparkSession)
     links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_dst")).distinct()
     frontier = roots.select(F.col("node").alias("root"), "node").distinct().checkpoint()
     seen = frontier
@@ -90,8 +88,7 @@ def first_parents(commits: DataFrame, head: str, limit: int = 500) -> DataFrame:
     """Commits (``hash, parent``) from ``head`` along first parents, with their distance: ``limit`` of them at most."""
     # Hops double each round, so a walk of n commits takes log n joins; ends stay where they are.
     spark = commits.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    shared_folder(spark)
     hops = commits.select(F.col("hash").alias("_from"), F.col("parent").alias("_to")).checkpoint()
     walk = spark.createDataFrame([(head, 0)], "hash string, distance int")
     length = 1
@@ -104,3 +101,34 @@ def first_parents(commits: DataFrame, head: str, limit: int = 500) -> DataFrame:
         if hops.isEmpty():
             break
     return walk.join(commits, "hash").select("hash", "parent", "distance")
+
+
+def supersede_edges(memories: DataFrame) -> DataFrame:
+    """``kind, src, dst`` between the sessions of records (``id, session, supersedes``) and of those that they supersede, where both have one."""
+    old = memories.select(F.col("id").alias("supersedes"), F.col("session").alias("src"))
+    met = memories.where("session is not null and supersedes is not null").select("supersedes", F.col("session").alias("dst")).join(old, "supersedes")
+    return met.where("src is not null and src <> dst").select(F.lit("supersede").alias("kind"), "src", "dst").distinct()
+
+
+def merged_changes(changes: DataFrame) -> DataFrame:
+    """``path, change`` of changes from several sources: removed goes before added, added before modified."""
+    rank = F.when(F.col("change") == "removed", 0).when(F.col("change") == "added", 1).otherwise(2)
+    return changes.groupBy("path").agg(F.min_by("change", rank).alias("change"))
+
+
+def change_counts(changes: DataFrame, group: str) -> DataFrame:
+    """Added, modified and removed paths of each group."""
+    n = lambda kind: F.count_if(F.col("change") == kind).alias(kind)
+    return changes.groupBy(group).agg(n("added"), n("modified"), n("removed"))
+
+
+def tracked(changes: DataFrame, tree: DataFrame) -> DataFrame:
+    """``changes`` with ``tracked``: does the tree hold the path?"""
+    held = tree.select("path").distinct().withColumn("_in", F.lit(True))
+    return changes.join(held, "path", "left").withColumn("tracked", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def entry_points(files: DataFrame) -> DataFrame:
+    """Paths of files (``path, exports, functions``) that export something or have a function named apply, main, run or start."""
+    named = F.exists(F.coalesce("functions", F.array().cast("array<string>")), lambda f: F.lower(f).isin("apply", "main", "run", "start"))
+    return files.where((F.size(F.coalesce("exports", F.array().cast("array<string>"))) > 0) | named).select("path")

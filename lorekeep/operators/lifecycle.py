@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import DAY_MS, STABLE_TYPES
 from ..functions.text import char_bigrams, estimated_tokens, fingerprint, jaccard, text_of
+from .ordered import cut, running
 
 # States that leave the core, and those that leave retrieval.
 DEAD = ("archived", "superseded", "deleted")
@@ -34,7 +35,7 @@ def layer(df: DataFrame, name: str, kind: str | None = None) -> DataFrame:
 
 
 # Words that point at a context, and what anchors a text without it.
-DEIXIS = r"(?i)(这个|这些|这条|这段|这句|这点|这样|这种|那个|那些|上述|刚才(?:说|提|讲)?的|如上|此事|本次讨论|你说的|我说的|上文)|\b(?:this|these|those|the above)\b"
+DEIXIS = r"(?i)(这个|这些|这条|这段|这句|这点|这样|这种|这方面|这角度|那个|那些|上述|上面(?:说|提|讲)?的|前面(?:说|提|讲)?的|刚才(?:说|提|讲)?的|如上|此事|本次讨论|你说的|我说的|上文)|(?<![A-Za-z0-9_])(?:this|these|those|the above)(?![A-Za-z0-9_])"
 ANCHOR = r"[A-Za-z][A-Za-z0-9._/-]{1,}|[「『《\"'`\[(][^\s」』》\"'`\])]{2,}[」』》\"'`\])]"
 
 
@@ -46,7 +47,10 @@ def unresolved(title: Column, content: Column, self_contained: int = 30) -> Colu
 
 
 def changelog(title: Column, content: Column) -> Column:
-    """Release notes, commit or patch titles, lists of changed files, activity reports."""
+    """Release notes, commit or patch titles, lists of changed files, activity reports.
+
+    A title that begins with a version needs a body that is a report, and then the report decides by itself.
+    """
     t, c = F.trim(text_of(title)), text_of(content)
     lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
     paths = F.size(F.filter(lines, lambda x: x.rlike(r"^[-*]\s+\S+") & x.rlike(r"[./\\]")))
@@ -58,6 +62,7 @@ def changelog(title: Column, content: Column) -> Column:
         | blob.rlike(r"改了\s*\d+\s*个文件")
         | blob.rlike(r"(?i)本次\s*session\s*改动")
         | t.rlike(r"(?i)^(git\s+)?commit\b|^PR\s*#\s*\d+|\b(changelog|release notes)\b|\bpatch\s*#\s*\d+")
+        | (t.rlike("^(本次完成|本次工作|完成情况|验收清单|工作总结)") & c.rlike("验收|PASS|git 快进|改了"))
         | (reports >= 3)
         | ((reports >= 2) & ~c.rlike("根因|以后"))
     )
@@ -94,21 +99,45 @@ def first_of_fingerprint(df: DataFrame, key: str) -> DataFrame:
     return rows.join(least, "fingerprint").withColumn("duplicate", F.col(key) != F.col("keeper"))
 
 
-def _segments(sets: DataFrame, least: float) -> DataFrame:
-    """Rows of ``id, type, g`` (a set of bigrams) with ``n`` and, exploded, ``part``: names of parts of the set.
+#: Rows of a segment's key from which its sets are told apart by segments of a second and a third dealing.
+HOT = 16
+
+
+def _sized(sets: DataFrame, least: float) -> DataFrame:
+    """Rows of ``id, type, g`` (a set of bigrams) with size ``n``, band ``_b`` and the count ``_p`` of segments.
 
     Two sets of sizes n and m with similarity ``least`` differ in at most ``d = (1 - least) / (1 + least) (n + m)``
     members, so if bigrams are dealt into d + 1 segments by hash, the sets agree in a whole segment.
     Sizes are banded by the ratio ``least``; a set is named in its own band and in the next, where it
-    is the smaller one. A whole segment is far rarer than one bigram, so few sets meet by chance.
+    is the smaller one.
     """
     step = -F.ln(F.lit(least))
     sized = sets.withColumn("n", F.size("g")).withColumn("_b", F.explode(F.array(*(F.floor(F.ln(F.col("n").cast("double")) / step + 1e-9) + k for k in (0, 1)))))
     most = 2 * F.exp(step * (F.col("_b") + 1)) + 1
-    dealt = sized.withColumn("_p", F.floor(most * (1 - least) / (1 + least)).cast("int") + 1).withColumn("_h", F.transform("g", lambda t: F.pmod(F.xxhash64(t), F.col("_p"))))
+    return sized.withColumn("_p", F.floor(most * (1 - least) / (1 + least)).cast("int") + 1)
+
+
+def _parts(sized: DataFrame, seed: int) -> DataFrame:
+    """Exploded ``part``: names of the segments of a dealing by ``seed``, under ``_under``, the name of the segment of the dealing before."""
     pairs = F.arrays_zip("g", "_h")
-    part = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda i: F.xxhash64("type", "_b", i, F.transform(F.filter(pairs, lambda x: x["_h"] == i), lambda x: x["g"])))
-    return dealt.select("id", "type", "n", F.explode(part).alias("part"))
+    dealt = sized.withColumn("_h", F.transform("g", lambda t: F.pmod(F.xxhash64(F.lit(seed), t), F.col("_p"))))
+    part = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda i: F.xxhash64("type", "_b", "_under", F.lit(seed), i, F.transform(F.filter(pairs, lambda x: x["_h"] == i), lambda x: x["g"])))
+    return dealt.select("id", "type", "g", "n", "_b", "_p", F.explode(part).alias("part"))
+
+
+def _segments(sets: DataFrame, least: float) -> DataFrame:
+    """``id, n, part``: names under which two sets of similarity ``least`` meet at least once.
+
+    Similar sets agree in a segment of every dealing. Where many sets share a segment (an empty or a common
+    one), they are named by that segment and one of a second dealing together, and of a third; so keys stay
+    small where sets are not alike, and no similar pair is lost.
+    """
+    now = _parts(_sized(sets, least).withColumn("_under", F.lit(0).cast("long")), 0)
+    for seed in (1, 2):
+        hot = now.groupBy("part").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("part")
+        again = now.join(hot, "part", "left_semi").withColumnRenamed("part", "_under")
+        now = now.join(hot, "part", "left_anti").unionByName(_parts(again, seed))
+    return now.select("id", "n", "part")
 
 
 def near_titles(df: DataFrame, key: str, least: float = 0.85) -> DataFrame:
@@ -118,8 +147,8 @@ def near_titles(df: DataFrame, key: str, least: float = 0.85) -> DataFrame:
     segments of their sets; size bounds cut pairs before the sets are compared.
     """
     grams = df.select(key, "type", F.array_sort(char_bigrams("title")).alias("g"))
-    classes = grams.groupBy("type", "g").agg(F.min(key).alias("id"))
-    parts = _segments(classes, least)
+    classes = cut(grams.groupBy("type", "g").agg(F.min(key).alias("id")))
+    parts = cut(_segments(classes, least))
     other = parts.select(F.col("id").alias("b"), F.col("n").alias("m"), "part")
     pairs = parts.select(F.col("id").alias("a"), "n", "part").join(other, "part").where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("a", "b").distinct()
     sets = classes.select("id", "g")
@@ -127,17 +156,20 @@ def near_titles(df: DataFrame, key: str, least: float = 0.85) -> DataFrame:
     return both.withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
-def core_cap(df: DataFrame, key: str, max_items: int, max_tokens: int, now_ms: int, groups: tuple[str, ...] = ()) -> DataFrame:
+def core_cap(df: DataFrame, key: str, max_items: int, max_tokens: int, now_ms: int, groups: tuple[str, ...] = (), spared: tuple = ()) -> DataFrame:
     """Add ``evicted``: core records that go, worst first, until at most ``max_items`` and ``max_tokens`` stay.
 
     In eviction order a record goes iff more than ``max_items`` records, or more than ``max_tokens``
     tokens, stand from it to the end, so suffix sums replace the loop. Only those near the cap can
     stay: the order is cut by a distributed top-k first, without a global window over all rows.
+    Keys in ``spared`` (those that the call itself writes) go last of all, pinned records before them.
     Needs ``type, title, content, importance, created_ms, status``; optional ``pinned, user_authored, accessed_ms, updated_ms``.
     """
     has = lambda c, other: F.coalesce(F.col(c), other) if c in df.columns else other
     recent = (has("accessed_ms", F.lit(0)) > 0) & (F.lit(now_ms) - has("accessed_ms", F.lit(0)) <= 7 * DAY_MS)
+    held = F.col(key).isin(*spared) if spared else F.lit(False)
     order = [
+        held.cast("int"),
         has("pinned", F.lit(False)).cast("int"),
         has("user_authored", F.lit(False)).cast("int"),
         recent.cast("int"),
@@ -246,28 +278,34 @@ def evaluate_admission(incoming: DataFrame, store: DataFrame, key: str) -> DataF
 
 
 def best_prior(incoming: DataFrame, store: DataFrame, key: str, least: float = 0.72) -> DataFrame:
-    """``key, prior, similarity``: for each incoming record the stored one of its type with the most similar title, from ``least`` on.
+    """``key, prior, similarity``: for each incoming record the stored one of its type, another than itself, with the most similar title, from ``least`` on.
 
-    Titles meet on whole segments of their bigram sets, never all with all.
+    Titles meet on whole segments of their bigram sets, never all with all: sets are classes first, so a
+    title of many records is met once. Of equally similar ones the least key is taken.
     """
     both = incoming.select(key, "type", "title", F.lit(True).alias("new")).unionByName(store.where(is_core()).select(key, "type", "title", F.lit(False).alias("new")))
-    grams = both.select(F.struct("new", key).alias("id"), "type", F.array_sort(char_bigrams("title")).alias("g"))
-    parts = _segments(grams, least)
-    a = parts.where("id.new").select("part", F.col(f"id.{key}").alias("a"), "n")
-    b = parts.where("not id.new").select("part", F.col(f"id.{key}").alias("b"), F.col("n").alias("m"))
+    grams = both.select(key, "new", "type", F.array_sort(char_bigrams("title")).alias("g"))
+    # of a class the two least stored keys, for one of them may be the record itself
+    stored = F.array_sort(F.collect_set(F.when(~F.col("new"), F.col(key))))
+    classes = cut(grams.groupBy("type", "g").agg(F.slice(stored, 1, 2).alias("stored"), F.max("new").alias("asks")).withColumn("id", F.xxhash64("type", "g")))
+    parts = _segments(classes.select("id", "type", "g"), least).join(classes.select("id", "asks", (F.size("stored") > 0).alias("has")), "id")
+    a = parts.where("asks").select("part", F.col("id").alias("a"), "n")
+    b = parts.where("has").select("part", F.col("id").alias("b"), F.col("n").alias("m"))
     pairs = a.join(b, "part").where(F.least("n", "m") >= least * F.greatest("n", "m")).select("a", "b").distinct()
-    ga = grams.where("id.new").select(F.col(f"id.{key}").alias("a"), F.col("g").alias("ga"))
-    gb = grams.where("not id.new").select(F.col(f"id.{key}").alias("b"), F.col("g").alias("gb"))
-    scored = pairs.join(ga, "a").join(gb, "b").withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least)
-    best = scored.groupBy("a").agg(F.max_by(F.struct("b", "similarity"), F.struct("similarity", -F.col("b"))).alias("best"))
-    return best.select(F.col("a").alias(key), F.col("best.b").alias("prior"), F.col("best.similarity").alias("similarity"))
-
-
-def within_budget(df: DataFrame, size: str, budget: int, order: list, most: int = 100_000) -> DataFrame:
-    """The first rows in ``order`` whose sizes sum to at most ``budget``; at most ``most`` rows are looked at, by a distributed top-k."""
-    near = df.orderBy(*order).limit(most)
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return near.withColumn("_used", F.sum(size).over(w)).where(F.col("_used") <= budget).drop("_used")
+    ga = classes.select(F.col("id").alias("a"), F.col("g").alias("ga"))
+    gb = classes.select(F.col("id").alias("b"), F.col("g").alias("gb"), "stored")
+    scored = cut(pairs.join(ga, "a").join(gb, "b").withColumn("similarity", jaccard(F.col("ga"), F.col("gb"))).where(F.col("similarity") >= least).select("a", "similarity", F.explode("stored").alias("prior")))
+    # the two best of a class are enough, for a record is excluded from one at most
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "prior"))
+    best = scored.withColumn("_r", rank).where("_r <= 2").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("_r", "prior", "similarity"))).alias("best"))
+    asked = grams.where("new").select(key, F.xxhash64("type", "g").alias("a")).join(best, "a")
+    found = F.filter("best", lambda x: x["prior"] != F.col(key))[0]
+    return asked.withColumn("_b", F.when(F.size(F.filter("best", lambda x: x["prior"] != F.col(key))) > 0, found)).where("_b is not null").select(key, F.col("_b.prior").alias("prior"), F.col("_b.similarity").alias("similarity"))
+
+
+def within_budget(df: DataFrame, size: str, budget: int, order: list) -> DataFrame:
+    """The first rows in ``order`` whose sizes sum to at most ``budget``, over all rows: sums of ranges of the order go before running sums within."""
+    return running(df, order, size).where(F.col("_used") <= budget).drop("_used")
 
 
 def housekeep(memories: DataFrame, key: str, max_items: int, max_tokens: int, now_ms: int) -> DataFrame:

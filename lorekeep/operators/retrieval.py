@@ -7,12 +7,12 @@ document frequencies and the mean length. Nothing is exploded or shuffled by tok
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.text import tokens
+from ..functions.text import jaccard, tokens
+from . import ordered
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -84,60 +84,62 @@ def fused(df: DataFrame, now_ms: int, has_query: bool = True, has_vectors: bool
     return df.withColumn("relevance", total * scores.trust(F.col("confidence")))
 
 
-def rrf(lists: list[DataFrame], key: str, depth: int = 1000, k: int = RRF_K) -> DataFrame:
-    """``key, relevance, score_0, score_1, ...``: the sum of reciprocal ranks in lists of ``key, score``.
-
-    Each list counts to ``depth``, which is found by a distributed top-k; ranks are numbered on those rows only.
-    """
-    parts = []
-    for i, ranked in enumerate(lists):
-        best = top(ranked.select(key, "score"), depth, "score", key)
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), F.asc(key)))
-        parts.append(best.select(key, (1 / (k + rank)).alias("_part"), *(F.col("score").alias(f"score_{j}") if i == j else F.lit(0.0).alias(f"score_{j}") for j in range(len(lists)))))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
+def rrf(lists: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
+    """``key, relevance, score_0, score_1, ...``: the sum of reciprocal ranks in lists of ``key, score``, each taken whole."""
+    both = None
+    for i, scored in enumerate(lists):
+        rows = ordered.ranked(scored.select(key, "score"), [F.desc("score"), F.asc(key)], "_rank")
+        part = rows.select(key, (1 / (k + F.col("_rank"))).alias("_part"), *((F.col("score") if i == j else F.lit(0.0)).alias(f"score_{j}") for j in range(len(lists))))
+        both = part if both is None else both.unionByName(part)
     return both.groupBy(key).agg(F.sum("_part").alias("relevance"), *(F.max(f"score_{j}").alias(f"score_{j}") for j in range(len(lists))))
 
 
 SIMILAR, SAME_TYPE = 0.22, 0.08
 
 
-def diversified(ranked: DataFrame, key: str, k: int, group: str | None = None) -> DataFrame:
-    """Greedy selection of k rows by relevance, less similarity to and types among those chosen.
+def diversified(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """Greedy selection of k rows by relevance, less similarity to and types among those chosen: ``key, position, score``.
 
-    Needs ``relevance``, ``type`` and ``tokens`` (array). A row whose relevance is below the k-th
-    best by more than the greatest possible penalty can't be chosen, so all others go in a
-    distributed filter; the rest of one group is small and is chosen from in one task.
+    Needs ``relevance``, ``type`` and ``tokens`` (array). Each of the k rounds is a distributed top-1; what comes
+    to the driver is the row chosen, and once the 8 k most relevant. The rows are written once, and each round compares
+    only those whose relevance reaches a score that one of these is sure to have.
     """
-    slack = SIMILAR + SAME_TYPE * max(0, k - 2)
-    rows = ranked.withColumn("_g", F.col(group) if group else F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("_g").orderBy(F.desc("relevance"), F.asc(key)))
-    floor = rows.select("_g", "relevance", key).withColumn("_r", rank).where(F.col("_r") <= k).groupBy("_g").agg(F.min("relevance").alias("_floor"))
-    pruned = rows.join(F.broadcast(floor) if not group else floor, "_g").where(F.col("relevance") >= F.col("_floor") - slack)
-    shape = f"{key} {ranked.schema[key].dataType.simpleString()}, position int, score double" + (f", {group} {ranked.schema[group].dataType.simpleString()}" if group else "")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["relevance", key], ascending=[False, True])
-        left = [(r[key], r["relevance"], r["type"], frozenset(r["tokens"])) for _, r in rows.iterrows()]
-        chosen: list[tuple] = []
-        penalty, types = [0.0] * len(left), {}
-        while left and len(chosen) < k:
-            score, at = max((r[1] - SIMILAR * p - SAME_TYPE * max(0, types.get(r[2], 0) - 1), -i) for i, (r, p) in enumerate(zip(left, penalty, strict=True)))
-            pick = left.pop(-at)
-            penalty.pop(-at)
-            chosen.append((pick[0], len(chosen) + 1, score))
-            types[pick[2]] = types.get(pick[2], 0) + 1
-            for i, r in enumerate(left):
-                both = len(r[3] & pick[3])
-                if both:
-                    penalty[i] = max(penalty[i], both / (len(r[3]) + len(pick[3]) - both))
-        out = pd.DataFrame(chosen, columns=[key, "position", "score"])
-        if group:
-            out[group] = rows[group].iloc[0] if len(rows) else None
-        return out
-
-    return pruned.groupBy("_g").applyInPandas(choose, shape)
+    spark = rows.sparkSession
+    now = ordered.cut(rows.select(key, "type", "relevance", F.array_distinct("tokens").alias("tokens")))
+    chosen: list[tuple] = []
+    types: dict[str | None, int] = {}
+    tokens: list[list[str]] = []
+    head = now.orderBy(F.desc("relevance"), F.asc(key)).limit(8 * k).select(key, "type", "relevance", "tokens").collect()  # 8 k rows
+    for position in range(1, k + 1):
+        gone = [c[0] for c in chosen]
+        same = F.lit(0)
+        for t, n in types.items():
+            if n > 1:
+                same = F.when(F.col("type").eqNullSafe(F.lit(t)), n - 1).otherwise(same)
+        # No row scores more than its relevance, so rows below a score that is to be had can't be chosen.
+        floor = max((r.relevance - SIMILAR * max((_alike(set(r.tokens), set(t)) for t in tokens), default=0.0) - SAME_TYPE * max(0, types.get(r.type, 0) - 1) for r in head if r[key] not in gone), default=None)
+        near = F.lit(0.0)
+        if tokens:
+            held = spark.createDataFrame([(tokens,)], "_chosen array<array<string>>")  # at most k rows' tokens
+            now_ = now.crossJoin(F.broadcast(held))
+            near = F.aggregate("_chosen", F.lit(0.0), lambda m, c: F.greatest(m, jaccard(F.col("tokens"), c)))
+        else:
+            now_ = now
+        left = now_.where(~F.col(key).isin(gone)) if gone else now_
+        if floor is not None:
+            left = left.where(F.col("relevance") >= floor - 1e-12)
+        best = left.withColumn("score", F.round(F.col("relevance") - SIMILAR * near - SAME_TYPE * same, 9)).orderBy(F.desc("score"), F.desc("relevance"), F.asc(key)).limit(1).select(key, "type", "tokens", "score").collect()
+        if not best:
+            break
+        chosen.append((best[0][key], position, best[0].score))
+        types[best[0].type] = types.get(best[0].type, 0) + 1
+        tokens.append(best[0].tokens)
+    return spark.createDataFrame(chosen, f"{key} {rows.schema[key].dataType.simpleString()}, position int, score double")
+
+
+def _alike(a: set[str], b: set[str]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if both else 0.0
 
 
 def lexical(df: DataFrame, query_terms: list[str], title: str, fields: list[str]) -> Column:

@@ -15,9 +15,9 @@ def counts(memories: DataFrame) -> DataFrame:
 
 
 def todo_stats(todos: DataFrame) -> DataFrame:
-    """One row: pending, done, total."""
+    """One row: pending (neither done nor cancelled), done, total."""
     done = F.col("status") == "done"
-    return todos.agg(F.count_if(~done).alias("pending"), F.count_if(done).alias("done"), F.count("*").alias("total"))
+    return todos.agg(F.count_if(~F.coalesce(F.col("status").isin("done", "cancelled"), F.lit(False))).alias("pending"), F.count_if(done).alias("done"), F.count("*").alias("total"))
 
 
 def phase_progress(todos: DataFrame, phase: str) -> DataFrame:
@@ -67,3 +67,34 @@ def briefing(todos: DataFrame, events: DataFrame, now_ms: int, stuck_days: int =
     late = todos.where((F.col("status") == "in_progress") & (F.lit(now_ms) - F.col("created_ms") > stuck_days * DAY_MS))
     stuck = late.orderBy("created_ms", "id").limit(k)
     return recent.unionByName(stuck.select(F.lit("stuck").alias("section"), F.row_number().over(Window.orderBy("created_ms", "id")).alias("position"), "id"))
+
+
+def find_todos(todos: DataFrame, refs: DataFrame) -> DataFrame:
+    """``ref, id`` for references (``ref``): the first open todo, in the order of :func:`active_todos`, whose id is or starts with it, else whose title it is.
+
+    Ids meet on their prefixes of the references' lengths, titles on their lower case; nothing is compared all with all.
+    """
+    asked = refs.select(F.trim("ref").alias("ref")).where("ref <> ''").distinct()
+    open_ = todos.where(~F.coalesce(F.col("status").isin("done", "cancelled"), F.lit(False))).select(F.col("id").cast("string").alias("id"), F.lower("title").alias("_title"), priority_rank(F.col("priority")).alias("_p"), "created_ms")
+    widths = asked.agg(F.array_sort(F.collect_set(F.length("ref"))).alias("_w"))  # as many as there are lengths of a reference
+    heads = open_.crossJoin(F.broadcast(widths)).withColumn("_ref", F.explode(F.transform("_w", lambda n: F.substring("id", F.lit(1), n)))).where("length(id) >= length(_ref)").distinct()
+    by_id = asked.join(heads, F.col("ref") == F.col("_ref")).select("ref", "id", "_p", "created_ms", F.lit(0).alias("_way"))
+    by_title = asked.join(open_, F.lower("ref") == F.col("_title")).select("ref", "id", "_p", "created_ms", F.lit(1).alias("_way"))
+    return by_id.unionByName(by_title).groupBy("ref").agg(F.min_by("id", F.struct("_way", "_p", -F.col("created_ms"), "id")).alias("id"))
+
+
+def related_records(todos: DataFrame, memories: DataFrame) -> DataFrame:
+    """``id, memory`` for todos (``id, files, tags``): the first memory (by ``position``) that shares a file or a tag, else the first of all.
+
+    Shared files and tags are met by a join on them, of which each keeps only its first memory.
+    """
+    words = lambda df: F.explode(F.array_distinct(F.concat(F.transform(F.coalesce(df.files, F.array().cast("array<string>")), lambda f: F.concat(F.lit("f/"), f)), F.transform(F.coalesce(df.tags, F.array().cast("array<string>")), lambda t: F.concat(F.lit("t/"), t)))))
+    first = memories.select(words(memories).alias("_w"), "id", "position").groupBy("_w").agg(F.min(F.struct("position", F.col("id").alias("memory"))).alias("_m"))
+    met = todos.select("id", words(todos).alias("_w")).join(first, "_w").groupBy("id").agg(F.min("_m").alias("_m"))
+    fallback = memories.agg(F.min(F.struct("position", F.col("id").alias("memory"))).alias("_f"))
+    return todos.select("id").join(met, "id", "left").crossJoin(F.broadcast(fallback)).select("id", F.coalesce("_m", "_f").getField("memory").alias("memory"))
+
+
+def pinned(memories: DataFrame) -> DataFrame:
+    """Core records that are pinned."""
+    return memories.where(is_core() & F.coalesce("pinned", F.lit(False)))

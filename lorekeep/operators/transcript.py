@@ -34,18 +34,42 @@ def head_tail(messages: DataFrame, head: int = 4, tail: int = 10) -> DataFrame:
     return rows.where((F.col("_a") <= head) | (F.col("_z") <= tail)).drop("_a", "_z")
 
 
-# Words that ask to remember, forbid, and hint.
-STRONG = r"(?i)\b(remember|always|never|from now on|must)\b|记住|以后都|务必|必须"
-NEGATIVE = r"(?i)\b(don't remember|do not remember|forget it|just kidding|never mind)\b|不用记|别记|随便说说"
-WEAK = r"(?i)\b(prefer|decided?|should|lesson|convention)\b|决定|偏好|约定|教训"
+# The ladders of patterns, strong and weak, and the contexts that silence the weak ones. Word borders are those of ASCII.
+_B, _E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+STRONG = (
+    r"(?:记住|记一下|备忘|别忘了|长期记住)\s*[:：]?\s*([^。\n]{4,200})",
+    r"以后\s*([^。\n]{2,80})\s*(?:要|请|一定)?\s*(?:做|处理|记得|注意)",
+    r"(?i)(?:remember|note that|don't forget|never forget|long-term remember)\s*[:：]?\s*([^.\n]{4,200})",
+    rf"(?i){_B}(always|never)\s+([a-z][^.\n]{{4,150}})",
+)
+WEAK = (
+    r"(?:以后都|以后请|以后记得|下次记得|下次注意|约定|规则是|从今往后|今后)\s*[:：,，]?\s*([^。\n]{4,150})",
+    r"(?:记住这个|注意这个|留意一下|请注意)\s*[:：,，]?\s*([^。\n]{4,150})",
+    rf"(?i){_B}(going forward|from now on|henceforth|note this|bear in mind|keep in mind){_E}\s*[:：,，]?\s*([^.]{{4,150}})",
+    rf"(?i){_B}(let'?s (?:always|never)){_E}\s+([^.]{{4,150}})",
+)
+NEGATIVE = (rf"(?i){_B}(?:(?:eslint|prettier|noqa|tsconfig|build\s*error){_E}|type:(?=[A-Za-z0-9_]))", rf"(?i){_B}(?:commit|push|pr|merge|git){_E}")
 
 
 def signals(messages: DataFrame) -> DataFrame:
-    """User turns of 6 to 2000 letters that ask to keep something, with ``strength`` and the word that shows it."""
+    """User turns of 6 to 2000 letters that ask to keep something, with ``strength`` and ``content``, what is to be kept.
+
+    The first pattern of a ladder whose content (its first group, freed of punctuation around it) has 4 to
+    500 letters counts; the weak ladder counts only outside of talk about builds and version control.
+    """
     text = F.trim(text_of("text"))
-    rows = messages.where((F.col("role") == "user") & F.length(text).between(6, 2000) & ~text.rlike(NEGATIVE))
-    strength = F.when(text.rlike(STRONG), "strong").when(text.rlike(WEAK), "weak")
-    return rows.withColumn("strength", strength).where("strength is not null").withColumn("signal", F.lower(F.when(F.col("strength") == "strong", F.regexp_extract(text, STRONG, 0)).otherwise(F.regexp_extract(text, WEAK, 0))))
+    rows = messages.where((F.col("role") == "user") & F.length(text).between(6, 2000))
+
+    def content(pattern: str) -> Column:
+        found = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^[,，、;；:：\s]+|[,，、;；:：\s]+$", "")
+        return F.when(text.rlike(pattern) & F.length(found).between(4, 500), found)
+
+    strong = F.coalesce(*map(content, STRONG))
+    silent = text.rlike(NEGATIVE[0]) | text.rlike(NEGATIVE[1])
+    weak = F.when(~silent, F.coalesce(*map(content, WEAK)))
+    told = rows.withColumn("_strong", strong).withColumn("_weak", weak)
+    told = told.withColumn("strength", F.when(F.col("_strong").isNotNull(), "strong").when(F.col("_weak").isNotNull(), "weak")).where("strength is not null")
+    return told.withColumn("content", F.coalesce("_strong", "_weak")).drop("_strong", "_weak")
 
 
 #: Windows of evidence that are held by every task; more are met by a join.
@@ -73,8 +97,11 @@ def grounding(evidence: DataFrame, transcripts: DataFrame, window: int = 30, str
     gram = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - window + 1, F.lit(1))), lambda i: F.xxhash64(F.substring("t", i, F.lit(window))))
     keys = needles.where(F.length("needle") == window).select("item_id", F.xxhash64("needle").alias("h")).distinct()
     hits = texts.select("doc_id", F.explode(F.array_distinct(gram)).alias("h")).join(keys, "h").select("item_id", "doc_id")
-    short = needles.where(F.length("needle") < window)
-    return hits.unionByName(texts.join(short, F.contains("t", F.col("needle"))).select("item_id", "doc_id")).distinct()
+    # Shorter ones have 6 letters at least: they meet on the first 6, and are then looked for as a whole.
+    short = needles.where(F.length("needle") < window).select("item_id", "needle", F.xxhash64(F.substring("needle", 1, 6)).alias("h"))
+    sixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 5, F.lit(1))), lambda i: F.xxhash64(F.substring("t", i, F.lit(6))))
+    met = texts.select("doc_id", F.explode(F.array_distinct(sixes)).alias("h")).join(short, "h").join(texts, "doc_id").where(F.contains("t", F.col("needle")))
+    return hits.unionByName(met.select("item_id", "doc_id")).distinct()
 
 
 def _letters(text: str) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.text import html_text, redact, tokens
+from ..functions.text import html_text, memory_document, redact, tokens
 from ..operators import graph, lifecycle, retrieval, status, transcript
 from .tables import DAY_MS, MEMORIES_SQL, NOW_MS, TIMELINE_SQL, TODOS_SQL, memories, table, timeline, todos
 
@@ -81,32 +81,43 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, score FROM (SELECT doc_id, round(score, 9) AS score FROM ({BM25_SQL}) x WHERE score > 0) y),
 b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r, score FROM (SELECT vec_id, round(score, 9) AS score FROM ({COSINE_SQL}) x WHERE score > 0) y),
-u AS (SELECT doc_id, 1.0 / (60 + r) AS part, score AS s0, 0 AS s1 FROM a WHERE r <= 200 UNION ALL SELECT doc_id, 1.0 / (60 + r), 0, score FROM b WHERE r <= 200)
+u AS (SELECT doc_id, 1.0 / (60 + r) AS part, score AS s0, 0 AS s1 FROM a UNION ALL SELECT doc_id, 1.0 / (60 + r), 0, score FROM b)
 SELECT doc_id, round(sum(CAST(part AS DOUBLE)), 8) AS relevance, round(max(s0), 6) AS keyword_score, round(max(s1), 6) AS vector_score FROM u GROUP BY doc_id""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = lambda df: df.withColumn("score", F.round("score", 9))
     vectors = _vector_scores(spark, sf_dir).where("score > 0").withColumnRenamed("vec_id", "doc_id")
-    out = retrieval.rrf([rounded(_scored(spark, sf_dir)), rounded(vectors)], "doc_id", depth=200)
+    out = retrieval.rrf([rounded(_scored(spark, sf_dir)), rounded(vectors)], "doc_id")
     return out.select("doc_id", F.round("relevance", 8).alias("relevance"), F.round("score_0", 6).alias("keyword_score"), F.round("score_1", 6).alias("vector_score"))
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked(spark: SparkSession, sf_dir: str, query: str = QUESTION, hybrid: bool = False) -> DataFrame:
     rows = memories(spark, sf_dir).where(lifecycle.is_retrievable())
-    kept = rows.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
-    keyword = retrieval.with_normalised(retrieval.bm25(kept, "doc_id", F.col("text"), QUESTION), "score", "keyword").select(F.col("doc_id").alias("id"), "keyword")
-    factors = rows.select("id", "type", "importance", "confidence", F.col("created_ms").alias("touched_ms"), "content").join(keyword, "id", "left").withColumn("vector", F.lit(0.0))
-    return retrieval.fused(factors, NOW_MS)
-
-
-_KEPT = f"SELECT id AS doc_id, content AS text FROM ({MEMORIES_SQL}) m WHERE status NOT IN ('archived', 'superseded', 'deleted')"
-FUSED_SQL = f"""
-WITH kept AS ({_KEPT}), k AS ({BM25_SQL.replace('FROM documents', 'FROM kept')}),
-top AS (SELECT max(score) AS best FROM k WHERE score > 0),
-f AS (SELECT m.id, m.type, coalesce(importance, 0.5) AS imp, coalesce(confidence, 0.6) AS conf, ({NOW_MS} - created_ms) / 86400000.0 AS age,
-  CASE WHEN k.score > 0 THEN k.score / top.best ELSE 0 END AS kw
-  FROM ({MEMORIES_SQL}) m JOIN k ON k.doc_id = m.id CROSS JOIN top)
-SELECT id, (0.15 * kw + 0.30 * imp + 0.10 * conf + 0.20 * CASE WHEN age <= 7 THEN 1 ELSE greatest(0, 1 - age / 180) END)
-  * CASE WHEN conf >= 0.6 THEN 1 ELSE greatest(0.35, conf / 0.6) END AS relevance FROM f"""
+    kept = rows.select(F.col("id").alias("doc_id"), memory_document(F.col("title"), F.col("content"), kind=F.col("type")).alias("text"))
+    scored = retrieval.bm25(kept, "doc_id", F.col("text"), query)
+    keyword = retrieval.with_normalised(scored, "score", "keyword").select(F.col("doc_id").alias("id"), "keyword")
+    factors = rows.select("id", "type", "importance", "confidence", F.col("created_ms").alias("touched_ms"), "title", "content").join(keyword, "id", "left")
+    if hybrid:
+        vectors = retrieval.with_normalised(_vector_scores(spark, sf_dir).where("score > 0"), "score", "vector").select(F.col("vec_id").alias("id"), "vector")
+        factors = factors.join(vectors, "id", "left").withColumn("vector", F.coalesce("vector", F.lit(0.0)))
+    else:
+        factors = factors.withColumn("vector", F.lit(0.0))
+    return retrieval.fused(factors, NOW_MS, has_query=bool(query), has_vectors=hybrid)
+
+
+#: A record's document in SQL: title twice, content, type (the records have no tags and files).
+_DOCUMENT = "concat_ws(chr(10), nullif(title, ''), nullif(title, ''), nullif(content, ''), type)"
+_LIVE = "status NOT IN ('archived', 'superseded', 'deleted')"
+_KEPT = f"SELECT id AS doc_id, {_DOCUMENT} AS text FROM ({MEMORIES_SQL}) m WHERE {_LIVE}"
+_RECENT = "CASE WHEN age <= 7 THEN 1 ELSE greatest(0, 1 - age / 180) END"
+_TRUST = "CASE WHEN conf >= 0.6 THEN 1 ELSE greatest(0.35, conf / 0.6) END"
+_STABLE = "CASE WHEN type IN ('decision', 'requirement', 'architecture', 'bug', 'lesson', 'preference') THEN 1 ELSE 0.35 END"
+_FACTORS = f"""
+kept AS ({_KEPT}), k AS ({BM25_SQL.replace('FROM documents', 'FROM kept')}), top AS (SELECT max(score) AS best FROM k WHERE score > 0),
+v AS (SELECT vec_id, score FROM ({COSINE_SQL}) x WHERE score > 0), vtop AS (SELECT max(score) AS best FROM v),
+f AS (SELECT m.id, m.type, m.content, coalesce(importance, 0.5) AS imp, coalesce(confidence, 0.6) AS conf, ({NOW_MS} - created_ms) / 86400000.0 AS age,
+  CASE WHEN k.score > 0 THEN k.score / top.best ELSE 0 END AS kw, coalesce(v.score / vtop.best, 0) AS vec
+  FROM ({MEMORIES_SQL}) m JOIN k ON k.doc_id = m.id CROSS JOIN top CROSS JOIN vtop LEFT JOIN v ON v.vec_id = m.id)"""
+FUSED_SQL = f"WITH {_FACTORS} SELECT id, type, content, (0.15 * kw + 0.30 * imp + 0.10 * conf + 0.20 * {_RECENT}) * {_TRUST} AS relevance FROM f"
 
 
 @query(f"SELECT id, round(CAST(relevance AS DOUBLE), 6) AS relevance FROM ({FUSED_SQL}) x")
@@ -114,10 +125,30 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(spark, sf_dir).select("id", F.round("relevance", 6).alias("relevance"))
 
 
-@query()
+@query(f"WITH {_FACTORS} SELECT id, round(CAST((0.15 * kw + 0.25 * vec + 0.30 * imp + 0.10 * conf + 0.20 * {_RECENT}) * {_TRUST} AS DOUBLE), 6) AS relevance FROM f")
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords and vectors together: a record's vector is that of its number."""
+    return _ranked(spark, sf_dir, hybrid=True).select("id", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"WITH {_FACTORS} SELECT id, round(CAST((0.45 * imp + 0.10 * conf + 0.25 * {_RECENT} + 0.20 * {_STABLE}) * {_TRUST} AS DOUBLE), 6) AS relevance FROM f")
+def fusion_without_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, query="").select("id", F.round("relevance", 6).alias("relevance"))
+
+
+CHOSEN = 10
+_ALIKE = "CASE WHEN len(list_intersect(r.t, c.t)) = 0 THEN 0 ELSE CAST(len(list_intersect(r.t, c.t)) AS DOUBLE) / (len(r.t) + len(c.t) - len(list_intersect(r.t, c.t))) END"
+_ROUND = "SELECT *, round(relevance - 0.22 * near - 0.08 * greatest(0, same - 1), 9) AS score FROM r{i} ORDER BY score DESC, relevance DESC, id LIMIT 1"
+_LEFT = f"SELECT r.id, r.type, r.relevance, r.t, greatest(r.near, {_ALIKE}) AS near, r.same + CASE WHEN r.type = c.type THEN 1 ELSE 0 END AS same FROM r{{h}} r, c{{h}} c WHERE r.id <> c.id"
+MMR_SQL = f"""
+WITH r0 AS MATERIALIZED (SELECT id, type, round(CAST(relevance AS DOUBLE), 9) AS relevance, list_distinct({TOKENS_SQL.format(c='content')}) AS t, CAST(0 AS DOUBLE) AS near, 0 AS same FROM ({FUSED_SQL}) x),
+""" + ",\n".join((f"r{i} AS MATERIALIZED ({_LEFT.format(h=i - 1)}), " if i else "") + f"c{i} AS MATERIALIZED ({_ROUND.format(i=i)})" for i in range(CHOSEN)) + "\n" + " UNION ALL ".join(f"SELECT id, {i + 1} AS position, round(score, 6) AS score FROM c{i}" for i in range(CHOSEN))
+
+
+@query(MMR_SQL)
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = _ranked(spark, sf_dir).select("id", "type", F.round("relevance", 9).alias("relevance"), tokens("content").alias("tokens"))
-    return retrieval.diversified(ranked, "id", 10).select("id", "position", F.round("score", 6).alias("score"))
+    return retrieval.diversified(ranked, "id", CHOSEN).select("id", "position", F.round("score", 6).alias("score"))
 
 
 _LEX = " + ".join(f"CASE WHEN contains(lower(title), '{w}') OR contains(lower(content), '{w}') THEN 1 ELSE 0 END + CASE WHEN contains(lower(title), '{w}') THEN 1 ELSE 0 END" for w in ("the", "retion", "ou"))
@@ -165,13 +196,46 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.near_titles(memories(spark, sf_dir), "id").withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""
-SELECT id, reason, CASE WHEN reason IN ('type_change', 'changelog_genre') THEN 'timeline' WHEN reason = 'type_issue' THEN 'todo' END AS route FROM (
-SELECT id, CASE WHEN type = 'change' THEN 'type_change' WHEN type = 'context' AND source <> 'src0' THEN 'context_not_user_explicit'
-  WHEN length(trim(content)) < CASE WHEN source = 'src0' THEN 12 ELSE 20 END THEN 'content_too_short' END AS reason FROM ({MEMORIES_SQL}) m) x""")
-def rule_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: What some sources' records say instead, so that every rule of the gate meets rows.
+_SAID = {"src4": ("issue", None, None), "src5": ("gossip", None, None), "src6": (None, "release notes", None), "src7": (None, "这个", "这个方案以后都这样处理就可以了没有别的要求了"), "src8": (None, "files", "- src/a.js\n- src/b.js\n- src/c.js"), "src9": (None, "PR #12", None), "src10": (None, "report", "验收 1/2, 全套 smoke, 同步至 v2 and so on"), "src11": (None, "这个 plan", "这个方案以后都这样处理就可以了没有别的要求了"), "src12": (None, "本次工作", "全部 PASS, everything else is as it was before")}
+
+
+def _said(column: str, at: int) -> str:
+    cases = " ".join(f"WHEN '{s}' THEN '{v[at]}'" for s, v in _SAID.items() if v[at])
+    return f"CASE source {cases} ELSE {column} END".replace("\n", "' || chr(10) || '")
+
+
+CASES_SQL = f"SELECT id, source, status, {_said('type', 0)} AS type, {_said('title', 1)} AS title, {_said('content', 2)} AS content FROM ({MEMORIES_SQL}) m"
+
+
+def gate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory records of which some sources say something else, with ``source_kind``."""
     rows = memories(spark, sf_dir).withColumn("source_kind", F.when(F.col("source") == "src0", "user_explicit").otherwise("auto"))
-    return lifecycle.rule_gate(rows).select("id", "reason", "route")
+    for name, at in (("type", 0), ("title", 1), ("content", 2)):
+        rows = rows.withColumn(name, F.expr(_said(name, at)))
+    return rows
+
+
+_DEIXIS = "(这个|这些|这条|这段|这句|这点|这样|这种|这方面|这角度|那个|那些|上述|上面(?:说|提|讲)?的|前面(?:说|提|讲)?的|刚才(?:说|提|讲)?的|如上|此事|本次讨论|你说的|我说的|上文)|\\b(?:this|these|those|the above)\\b"
+_ANCHOR = "[A-Za-z][A-Za-z0-9._/-]{{1,}}|[「『《\"''`\\[(][^\\s」』》\"''`\\])]{{2,}}[」』》\"''`\\])]".replace("{{", "{").replace("}}", "}")
+_REPORTS = "len(regexp_extract_all(title || chr(10) || content, '(?i)验收\\s*\\d+\\s*/\\s*\\d+|全套 smoke|git 快进|同步至 v\\d'))"
+_CHANGELOG = f"""((len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(trim(x), '^[-*]\\s+\\S+') AND regexp_matches(x, '[./\\\\]'))) >= 3
+   AND length(regexp_replace(regexp_replace(content, '(?m)^[-*].*$', '', 'g'), '\\s+', '', 'g')) < 40)
+  OR regexp_matches(title || chr(10) || content, '改了\\s*\\d+\\s*个文件') OR regexp_matches(title || chr(10) || content, '(?i)本次\\s*session\\s*改动')
+  OR regexp_matches(trim(title), '(?i)^(git\\s+)?commit\\b|^PR\\s*#\\s*\\d+|\\b(changelog|release notes)\\b|\\bpatch\\s*#\\s*\\d+')
+  OR (regexp_matches(trim(title), '^(本次完成|本次工作|完成情况|验收清单|工作总结)') AND regexp_matches(content, '验收|PASS|git 快进|改了'))
+  OR {_REPORTS} >= 3 OR ({_REPORTS} >= 2 AND NOT regexp_matches(content, '根因|以后')))"""
+GATE_SQL = f"""
+SELECT *, CASE WHEN type = 'change' THEN 'type_change' WHEN type = 'issue' THEN 'type_issue' WHEN type = 'context' AND source <> 'src0' THEN 'context_not_user_explicit'
+  WHEN type NOT IN ('context', 'decision', 'requirement', 'architecture', 'bug', 'lesson', 'preference') THEN 'type_forbidden'
+  WHEN length(trim(content)) < CASE WHEN source = 'src0' THEN 12 ELSE 20 END THEN 'content_too_short'
+  WHEN regexp_matches(title || chr(10) || trim(content), '(?i){_DEIXIS}') AND NOT regexp_matches(title || chr(10) || trim(content), '{_ANCHOR}') AND length(regexp_replace(trim(content), '\\s+', '', 'g')) <= 30 THEN 'unresolved_reference'
+  WHEN {_CHANGELOG} THEN 'changelog_genre' END AS reason FROM ({CASES_SQL}) m"""
+
+
+@query(f"SELECT id, reason, CASE WHEN reason IN ('type_change', 'changelog_genre') THEN 'timeline' WHEN reason = 'type_issue' THEN 'todo' END AS route FROM ({GATE_SQL}) x")
+def rule_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.rule_gate(gate_cases(spark, sf_dir)).select("id", "reason", "route")
 
 
 CORE_ITEMS, CORE_TOKENS = 120, 30_000
@@ -205,7 +269,11 @@ def timeline_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.timeline_trim(timeline(spark, sf_dir), "id", _now(spark, sf_dir), 20, 800).select("id", "anchor")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS (SELECT DISTINCT user_id, occurred_ms FROM ({TIMELINE_SQL}) x),
+t AS (SELECT user_id, min(occurred_ms) AS occurred_ms FROM e GROUP BY user_id
+  UNION ALL SELECT t.user_id, (SELECT min(e.occurred_ms) FROM e WHERE e.user_id = t.user_id AND e.occurred_ms >= t.occurred_ms + {6 * 3_600_000}) FROM t WHERE t.occurred_ms IS NOT NULL)
+SELECT user_id, occurred_ms FROM t WHERE occurred_ms IS NOT NULL""")
 def access_touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.access_touch(timeline(spark, sf_dir), "user_id", "occurred_ms", 6 * 3_600_000)
 
@@ -215,7 +283,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.counts(memories(spark, sf_dir))
 
 
-@query(f"SELECT count(CASE WHEN status <> 'done' THEN 1 END) AS pending, count(CASE WHEN status = 'done' THEN 1 END) AS done, count(*) AS total FROM ({TODOS_SQL}) t")
+@query(f"SELECT count(CASE WHEN status NOT IN ('done', 'cancelled') THEN 1 END) AS pending, count(CASE WHEN status = 'done' THEN 1 END) AS done, count(*) AS total FROM ({TODOS_SQL}) t")
 def todo_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.todo_stats(todos(spark, sf_dir))
 
@@ -235,7 +303,7 @@ def active_todos_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT id, round(0.5 * coalesce(importance, 0.5) + 0.3 * greatest(0, 1 - ({NOW_MS} - created_ms) / 86400000.0 / 90) + 0.2 * CASE WHEN type IN ('decision', 'lesson') THEN 1 ELSE 0.5 END, 6) AS score
+SELECT id, round(0.5 * coalesce(importance, 0.5) + 0.3 * CASE WHEN ({NOW_MS} - created_ms) / 86400000.0 <= 7 THEN 1 ELSE greatest(0, 1 - ({NOW_MS} - created_ms) / 86400000.0 / 90) END + 0.2 * CASE WHEN type IN ('decision', 'architecture', 'bug', 'lesson', 'preference') THEN 1 ELSE 0.5 END, 6) AS score
 FROM ({MEMORIES_SQL}) m WHERE status = 'active'""")
 def memory_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memories(spark, sf_dir).where(lifecycle.is_core())
@@ -249,13 +317,37 @@ def lang_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.share_with_tail(table(spark, sf_dir, "documents"), "source", 8)
 
 
-@query(f"""
-WITH t AS (SELECT * FROM ({TODOS_SQL}) x), p AS (SELECT * FROM t WHERE status = 'in_progress' ORDER BY CASE priority WHEN 'urgent' THEN 0 WHEN 'high' THEN 1 WHEN 'low' THEN 3 ELSE 2 END, created_ms DESC, id LIMIT 1)
-SELECT 1 AS level, 'continue' AS action, id AS todo_id, CAST(0.85 AS DOUBLE) AS confidence FROM p""")
+def _top_todo(status_: str) -> str:
+    return f"(SELECT id FROM ({TODOS_SQL}) x WHERE status = '{status_}' ORDER BY CASE priority WHEN 'urgent' THEN 0 WHEN 'high' THEN 1 WHEN 'low' THEN 3 ELSE 2 END, created_ms DESC, id LIMIT 1)"
+
+
+#: Rungs of the ladder in SQL: level, action, todo, confidence, and whether there is something on it.
+_RUNGS = f"""
+SELECT 1 AS level, 'continue' AS action, {_top_todo('in_progress')} AS todo_id, CAST(0.85 AS DOUBLE) AS confidence, EXISTS (SELECT 1 FROM ({TODOS_SQL}) x WHERE status = 'in_progress') AS held
+UNION ALL SELECT 2, 'start', {_top_todo('pending')}, 0.70, EXISTS (SELECT 1 FROM ({TODOS_SQL}) x WHERE status = 'pending')
+UNION ALL SELECT 3, 'unblock', {_top_todo('blocked')}, 0.50, EXISTS (SELECT 1 FROM ({TODOS_SQL}) x WHERE status = 'blocked')
+UNION ALL SELECT 4, 'review', NULL, 0.45, EXISTS (SELECT 1 FROM ({MEMORIES_SQL}) m WHERE status = 'active' AND {NOW_MS} - created_ms <= {7 * DAY_MS})
+UNION ALL SELECT 5, 'look_back', NULL, 0.30, EXISTS (SELECT 1 FROM ({TIMELINE_SQL}) e)
+UNION ALL SELECT 6, 'plan', NULL, 0.20, true"""
+
+
+@query(f"SELECT level, action, todo_id, confidence FROM ({_RUNGS}) r WHERE held ORDER BY level LIMIT 1")
 def recommend_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.recommend(todos(spark, sf_dir), memories(spark, sf_dir), timeline(spark, sf_dir), NOW_MS).select("level", "action", "todo_id", "confidence")
 
 
+@query(f"SELECT a.n AS without, r.level, r.action, r.todo_id, r.confidence FROM (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) a JOIN ({_RUNGS}) r ON r.level = (SELECT min(level) FROM ({_RUNGS}) q WHERE held AND level > a.n)")
+def recommend_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next step where the first n rungs have nothing: no todo in progress, none pending, none blocked, no memory, no event."""
+    t, m, e = todos(spark, sf_dir), memories(spark, sf_dir), timeline(spark, sf_dir)
+    out = None
+    for n in range(6):
+        left = t.where(~F.col("status").isin(["in_progress", "pending", "blocked"][:n])) if n else t
+        one = status.recommend(left, m.where("false") if n > 3 else m, e.where("false") if n > 4 else e, NOW_MS).select(F.lit(n).alias("without"), "level", "action", "todo_id", "confidence")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _SESSIONS = f"""
 SELECT *, CASE WHEN event_type = 'init' THEN 'init' WHEN event_type = 'rescan' THEN NULL ELSE CAST(user_id AS VARCHAR) || ':' || strftime(make_timestamp(occurred_ms * 1000), '%Y-%m-%d') END AS session FROM ({TIMELINE_SQL}) x"""
 
@@ -281,9 +373,9 @@ def session_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH n AS ({_NODES}), l AS (SELECT session, user_id, first_ms, files, lag(session) OVER w AS prev, lag(files) OVER w AS prev_files FROM n WINDOW w AS (PARTITION BY user_id ORDER BY first_ms, session)),
 e AS (SELECT session AS node FROM l WHERE list_has_any(files, prev_files) UNION SELECT prev FROM l WHERE list_has_any(files, prev_files))
-SELECT n.session, e.node IS NOT NULL AS important, CAST(row_number() OVER (PARTITION BY n.user_id ORDER BY n.first_ms DESC, n.session) AS BIGINT) <= 20 OR e.node IS NOT NULL AS visible FROM n LEFT JOIN e ON e.node = n.session""")
+SELECT n.session, e.node IS NOT NULL AS important, count(*) OVER (PARTITION BY n.user_id) <= 3 OR CAST(row_number() OVER (PARTITION BY n.user_id ORDER BY n.first_ms DESC, n.session) AS BIGINT) <= 2 OR e.node IS NOT NULL AS visible FROM n LEFT JOIN e ON e.node = n.session""")
 def session_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.visible_nodes(timeline(spark, sf_dir)).select("session", "important", "visible")
+    return graph.visible_nodes(timeline(spark, sf_dir), 2, 3).select("session", "important", "visible")
 
 
 @query("""
@@ -297,13 +389,13 @@ def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT o_orderkey % 5000 AS path, md5(CAST(max(o_totalprice) AS VARCHAR)) AS hash FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
-b AS (SELECT o_orderkey % 5000 AS path, md5(CAST(max(o_totalprice) AS VARCHAR)) AS hash FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+WITH a AS (SELECT CAST(floor(o_orderkey / 3.0) AS BIGINT) AS path, md5(CAST(max(o_totalprice) AS VARCHAR)) AS hash FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+b AS (SELECT CAST(floor(o_orderkey / 3.0) AS BIGINT) AS path, md5(CAST(max(o_totalprice) AS VARCHAR)) AS hash FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS change
 FROM a FULL JOIN b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash""")
 def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    side = lambda s: orders.where(F.col("o_orderstatus") == s).groupBy((F.col("o_orderkey") % 5000).alias("path")).agg(F.max("o_totalprice").cast("string").alias("hash"))
+    side = lambda s: orders.where(F.col("o_orderstatus") == s).groupBy(F.floor(F.col("o_orderkey") / 3).alias("path")).agg(F.max("o_totalprice").cast("string").alias("hash"))
     return graph.tree_diff(side("F"), side("O"))
 
 
@@ -333,9 +425,28 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (F.col("text") != clean).alias("changed"), F.length(clean).cast("long").alias("n"))
 
 
-@query()
+#: What turns of the conversations say first, so that every rung of the signals meets rows; those of a role are dealt by the length of their text.
+_OPENINGS = ("remember: ", "we commit and bear in mind ", "from now on, ", "always keep ", "记住：", "下次注意，", "let's never ", "please run eslint and note this: ", "don't forget ", "以后 tests 要记得 ", "note ", "")
+_MESSAGE = "CASE length(text) % 12 " + " ".join(f"WHEN {i} THEN '{o.replace(chr(39), chr(39) * 2)}'" for i, o in enumerate(_OPENINGS)) + " END || substr(text, 1, 120)"
+
+
+def _signal_sql(ladder: list[tuple[str, str]]) -> str:
+    """The first content of a ladder of (pattern, options) in SQL."""
+    clean = lambda p, o: f"regexp_replace(regexp_replace(regexp_extract(t, '{p}', 1, '{o}'), '^[,，、;；:：\\s]+', ''), '[,，、;；:：\\s]+$', '')"
+    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(t, '{p}', '{o}') AND length({clean(p, o)}) BETWEEN 4 AND 500 THEN {clean(p, o)} END" for p, o in ladder) + ")"
+
+
+_STRONG_SQL = _signal_sql([("(?:记住|记一下|备忘|别忘了|长期记住)\\s*[:：]?\\s*([^。\\n]{4,200})", "c"), ("以后\\s*([^。\\n]{2,80})\\s*(?:要|请|一定)?\\s*(?:做|处理|记得|注意)", "c"), ("(?:remember|note that|don''t forget|never forget|long-term remember)\\s*[:：]?\\s*([^.\\n]{4,200})", "i"), ("\\b(always|never)\\s+([a-z][^.\\n]{4,150})", "i")])
+_WEAK_SQL = _signal_sql([("(?:以后都|以后请|以后记得|下次记得|下次注意|约定|规则是|从今往后|今后)\\s*[:：,，]?\\s*([^。\\n]{4,150})", "c"), ("(?:记住这个|注意这个|留意一下|请注意)\\s*[:：,，]?\\s*([^。\\n]{4,150})", "c"), ("\\b(going forward|from now on|henceforth|note this|bear in mind|keep in mind)\\b\\s*[:：,，]?\\s*([^.]{4,150})", "i"), ("\\b(let''?s (?:always|never))\\b\\s+([^.]{4,150})", "i")])
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, turn, trim({_MESSAGE}) AS t FROM conversations WHERE role = 'user'),
+s AS (SELECT conv_id, turn, {_STRONG_SQL} AS strong, CASE WHEN NOT regexp_matches(t, '\\b(?:eslint|prettier|type:|noqa|tsconfig|build\\s*error)\\b|\\b(?:commit|push|pr|merge|git)\\b', 'i') THEN {_WEAK_SQL} END AS weak FROM m WHERE length(t) BETWEEN 6 AND 2000)
+SELECT conv_id, turn, CASE WHEN strong IS NOT NULL THEN 'strong' ELSE 'weak' END AS strength, coalesce(strong, weak) AS content FROM s WHERE strong IS NOT NULL OR weak IS NOT NULL""")
 def signal_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcript.signals(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "strength", "signal")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.expr(_MESSAGE).alias("text"))
+    return transcript.signals(said).select("conv_id", "turn", "strength", "content")
 
 
 _NORM = "lower(regexp_replace({c}, '[\\s\\p{{P}}]', '', 'g'))"

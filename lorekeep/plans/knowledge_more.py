@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import age_label, safe_id
 from ..operators import graph, lifecycle, status
-from .knowledge import _CLEAN
+from .knowledge import _CLEAN, GATE_SQL, gate_cases
 from .tables import DAY_MS, MEMORIES_SQL, NOW_MS, TIMELINE_SQL, TODOS_SQL, memories, table, timeline, todos
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,23 +30,27 @@ _FP = "sha256(trim(regexp_replace(lower(type || chr(10) || title || chr(10) || c
 
 
 @query(f"""
-WITH m AS (SELECT *, {_FP} AS fp FROM ({MEMORIES_SQL}) x), s AS (SELECT fp, min(id) AS existing FROM m WHERE id % 2 = 0 AND status NOT IN ('archived', 'superseded', 'deleted') GROUP BY fp),
-i AS (SELECT id, fp, CASE WHEN type = 'change' THEN 'type_change' WHEN type = 'context' AND source <> 'src0' THEN 'context_not_user_explicit'
-  WHEN length(trim(content)) < CASE WHEN source = 'src0' THEN 12 ELSE 20 END THEN 'content_too_short' END AS reason FROM m WHERE id % 2 = 1)
-SELECT i.id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN existing IS NOT NULL THEN 'duplicate' ELSE 'inserted' END AS outcome, reason, existing FROM i LEFT JOIN s ON s.fp = i.fp""")
+WITH m AS (SELECT *, {_FP} AS fp FROM ({GATE_SQL}) x), s AS (SELECT fp, min(id) AS existing FROM m WHERE status NOT IN ('archived', 'superseded', 'deleted') GROUP BY fp)
+SELECT m.id, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN existing < m.id THEN 'duplicate' ELSE 'inserted' END AS outcome, reason, CASE WHEN existing < m.id THEN existing END AS existing FROM m LEFT JOIN s ON s.fp = m.fp""")
 def admit_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = memories(spark, sf_dir).withColumn("source_kind", F.when(F.col("source") == "src0", "user_explicit").otherwise("auto"))
-    return lifecycle.evaluate_admission(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"), "id").select("id", "outcome", "reason", "existing")
+    """Every record as it came in, against those of lower numbers that stand in the store."""
+    rows = gate_cases(spark, sf_dir)
+    out = lifecycle.evaluate_admission(rows, rows, "id")
+    earlier = F.col("existing") < F.col("id")
+    return out.select("id", F.when((F.col("outcome") == "duplicate") & ~F.coalesce(earlier, F.lit(False)), "inserted").otherwise(F.col("outcome")).alias("outcome"), "reason", F.when(earlier, F.col("existing")).alias("existing"))
 
 
 @query(f"""
-WITH g AS (SELECT id, type, status, list_distinct(list_transform(generate_series(1, greatest(length({_CLEAN}) - 1, 1)), lambda i: substr({_CLEAN}, i, 2))) AS g FROM ({MEMORIES_SQL}) m),
-p AS (SELECT a.id, b.id AS prior, len(list_intersect(a.g, b.g)) AS both_, len(a.g) AS n, len(b.g) AS m FROM g a JOIN g b ON a.type = b.type AND a.id % 10 = 3 AND b.id % 10 <> 3 AND b.status = 'active'),
-r AS (SELECT id, prior, CAST(both_ AS DOUBLE) / (n + m - both_) AS similarity FROM p)
-SELECT id, prior, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, prior) AS k FROM r WHERE similarity >= 0.72) x WHERE k = 1""")
+WITH g AS (SELECT type, list_sort(list_distinct(list_transform(generate_series(1, greatest(length({_CLEAN}) - 1, 1)), lambda i: substr({_CLEAN}, i, 2)))) AS g, id, status FROM ({MEMORIES_SQL}) m),
+c AS (SELECT type, g, row_number() OVER () AS c FROM (SELECT DISTINCT type, g FROM g) x), p AS (
+SELECT a.c AS a, b.c AS b, CAST(len(list_intersect(a.g, b.g)) AS DOUBLE) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity FROM c a JOIN c b ON a.type = b.type AND least(len(a.g), len(b.g)) >= 0.72 * greatest(len(a.g), len(b.g))),
+n AS (SELECT g.id, c.c, g.status FROM g JOIN c ON c.type = g.type AND c.g = g.g),
+r AS (SELECT x.id, y.id AS prior, similarity FROM n x JOIN p ON p.a = x.c AND similarity >= 0.72 JOIN n y ON y.c = p.b AND y.id <> x.id AND y.status = 'active')
+SELECT id, prior, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, prior) AS k FROM r) x WHERE k = 1""")
 def supersede_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every record the other core record that it may supersede."""
     rows = memories(spark, sf_dir)
-    return lifecycle.best_prior(rows.where("id % 10 = 3"), rows.where("id % 10 <> 3"), "id").withColumn("similarity", F.round("similarity", 6))
+    return lifecycle.best_prior(rows, rows, "id").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""
@@ -57,12 +61,12 @@ def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT p_partkey % 500 AS path, min(p_size) AS hash FROM part WHERE p_size < 25 GROUP BY 1), b AS (SELECT p_partkey % 500 AS path, min(p_size) AS hash FROM part WHERE p_size > 20 GROUP BY 1),
+WITH a AS (SELECT CAST(floor(p_partkey / 3.0) AS BIGINT) AS path, min(p_size) AS hash FROM part WHERE p_size < 25 GROUP BY 1), b AS (SELECT CAST(floor(p_partkey / 3.0) AS BIGINT) AS path, min(p_size) AS hash FROM part WHERE p_size > 20 GROUP BY 1),
 d AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash)
 SELECT path, change, (SELECT count(*) FROM d) > 40 AS truncated FROM d ORDER BY path LIMIT 40""")
 def change_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    side = lambda test: parts.where(test).groupBy((F.col("p_partkey") % 500).alias("path")).agg(F.min("p_size").alias("hash"))
+    side = lambda test: parts.where(test).groupBy(F.floor(F.col("p_partkey") / 3).alias("path")).agg(F.min("p_size").alias("hash"))
     changes = graph.tree_diff(side("p_size < 25"), side("p_size > 20"))
     total = changes.agg((F.count("*") > 40).alias("truncated"))
     return changes.orderBy("path").limit(40).crossJoin(F.broadcast(total))
@@ -76,7 +80,7 @@ def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, CASE WHEN s = '' THEN 'item' ELSE substr(s, 1, 40) END AS name FROM (SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM pages) x""")
+SELECT page_id, CASE WHEN s = '' THEN 'item' ELSE s END AS name FROM (SELECT page_id, substr(regexp_replace(regexp_replace(lower(coalesce(nullif(url, ''), 'item')), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 72) AS s FROM pages) x""")
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", safe_id("url").alias("name"))
 

@@ -35,7 +35,8 @@ WHERE o.o_totalprice > 400000 OR c.c_acctbal < -900""")
 statement("join_left", """
 SELECT c.c_custkey, count(o.o_orderkey) AS n_orders FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
 statement("join_right", """
-SELECT c.c_custkey, s.s_suppkey, s.s_nationkey FROM (SELECT * FROM {customer} WHERE c_custkey < 40) c RIGHT JOIN {supplier} s ON c.c_nationkey = s.s_nationkey""")
+SELECT s.s_suppkey, s.s_nationkey, c.customers, c.last_customer
+FROM (SELECT c_nationkey AS nk, count(*) AS customers, max(c_custkey) AS last_customer FROM {customer} GROUP BY c_nationkey) c RIGHT JOIN {supplier} s ON c.nk = s.s_nationkey""")
 statement("join_full", """
 SELECT a.nk AS customer_nation, b.nk AS supplier_nation, a.n AS customers, b.n AS suppliers
 FROM (SELECT c_nationkey AS nk, count(*) AS n FROM {customer} WHERE c_acctbal > 9000 GROUP BY c_nationkey) a

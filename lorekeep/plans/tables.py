@@ -18,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as memory records: lang is the type, quality the importance, toxic lowers the confidence."""
+    """Documents as memory records: lang and source are the type, quality the importance, toxic lowers the confidence."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rows = docs.join(labels, "doc_id", "left")
     return rows.select(
         F.col("doc_id").alias("id"),
-        F.expr("case lang when 'en' then 'decision' when 'de' then 'lesson' when 'fr' then 'context' else 'change' end").alias("type"),
+        F.expr("case when lang = 'en' and source in ('src1', 'src2', 'src3') then 'requirement' when lang = 'en' then 'decision' when lang = 'de' then 'lesson' when lang = 'fr' then 'context' else 'change' end").alias("type"),
         first_sentence("text").alias("title"),
         F.col("text").alias("content"),
         F.col("quality").cast("double").alias("importance"),
@@ -38,7 +38,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same records in SQL.
 MEMORIES_SQL = f"""
 SELECT d.doc_id AS id,
-  CASE d.lang WHEN 'en' THEN 'decision' WHEN 'de' THEN 'lesson' WHEN 'fr' THEN 'context' ELSE 'change' END AS type,
+  CASE WHEN d.lang = 'en' AND d.source IN ('src1', 'src2', 'src3') THEN 'requirement' WHEN d.lang = 'en' THEN 'decision' WHEN d.lang = 'de' THEN 'lesson' WHEN d.lang = 'fr' THEN 'context' ELSE 'change' END AS type,
   substr(CASE WHEN regexp_extract(t.t, '^(.*?[.!?。！？])(?:\\s|$)', 1) = '' THEN t.t ELSE regexp_extract(t.t, '^(.*?[.!?。！？])(?:\\s|$)', 1) END, 1, 200) AS title,
   d.text AS content, CAST(l.quality AS DOUBLE) AS importance,
   CASE WHEN l.toxic = 1 THEN CAST(0.4 AS DOUBLE) WHEN l.toxic = 0 THEN CAST(0.7 AS DOUBLE) END AS confidence,
@@ -56,7 +56,7 @@ def todos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.expr("case substr(o_orderpriority, 1, 1) when '1' then 'urgent' when '2' then 'high' when '5' then 'low' else 'medium' end").alias("priority"),
-        F.expr("case o_orderstatus when 'O' then 'pending' when 'P' then 'in_progress' else 'done' end").alias("status"),
+        F.expr("case when o_orderstatus = 'F' and o_totalprice < 100000 then 'cancelled' when o_orderstatus = 'F' then 'done' when o_orderstatus = 'P' then 'in_progress' when o_totalprice > 300000 then 'blocked' else 'pending' end").alias("status"),
         F.expr("unix_millis(cast(o_orderdate as timestamp))").alias("created_ms"),
         F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" for "), F.col("o_custkey").cast("string")).alias("title"),
     )
@@ -65,7 +65,7 @@ def todos(spark: SparkSession, sf_dir: str) -> DataFrame:
 TODOS_SQL = """
 SELECT o_orderkey AS id,
   CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' WHEN '5' THEN 'low' ELSE 'medium' END AS priority,
-  CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'in_progress' ELSE 'done' END AS status,
+  CASE WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'P' THEN 'in_progress' WHEN o_totalprice > 300000 THEN 'blocked' ELSE 'pending' END AS status,
   CAST(epoch_us(o_orderdate) // 1000 AS BIGINT) AS created_ms,
   'order ' || CAST(o_orderkey AS VARCHAR) || ' for ' || CAST(o_custkey AS VARCHAR) AS title
 FROM orders

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import cut
 from .stores import guarded
 
 KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
@@ -115,7 +116,10 @@ def unpack(raw: bytes) -> Iterator[tuple[str, str, bytes]]:
             names[digest] = start
             yield digest, name, body
         if len(left) == len(waiting):
-            return  # what is left has its base in another pack
+            # What is left has its base in another pack: named by it, or by an object of this pack that waits for it.
+            for start, _, base, body in left:
+                yield (f"{start}<{base}" if isinstance(base, str) else f"{start}<@{base}"), "delta", body
+            return
         waiting = left
 
 
@@ -134,7 +138,30 @@ def objects(spark: SparkSession, git_dir: str) -> DataFrame:
                     rows.append(("".join(path.split("/")[-2:]), *loose(bytes(content))))
             yield pd.DataFrame(rows, columns=["hash", "kind", "body"])
 
-    return files.select("path", "content").mapInPandas(run, "hash string, kind string, body binary").dropDuplicates(["hash"])
+    rows = cut(files.select("path", "content").mapInPandas(run, "hash string, kind string, body binary"))
+    done = rows.where("kind <> 'delta'").select("hash", "kind", "body").dropDuplicates(["hash"])
+    left = rows.where("kind = 'delta'")
+    # Deltas on objects of other packs: each round resolves those whose base is known by now.
+    while not left.isEmpty():
+        named = left.select("hash", "body", F.regexp_extract("hash", "<([0-9a-f]{40})$", 1).alias("_base"))
+        met = named.join(done.select(F.col("hash").alias("_base"), F.col("kind").alias("_kind"), F.col("body").alias("_from")), "_base")
+        new = cut(met.select("_kind", "_from", "body").mapInPandas(_applied, "hash string, kind string, body binary").dropDuplicates(["hash"]).join(done.select("hash"), "hash", "left_anti"))
+        known = cut(met.select("hash").distinct())
+        if known.isEmpty():
+            raise ValueError("a delta's base is in no pack")
+        left = cut(left.join(known, "hash", "left_anti"))
+        done = done.unionByName(new)
+    return done
+
+
+def _applied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Objects from deltas and their bases."""
+    for frame in frames:
+        rows = []
+        for kind, base, delta in zip(frame["_kind"], frame["_from"], frame["body"], strict=True):
+            body = apply_delta(bytes(base), bytes(delta))
+            rows.append((hashlib.sha1(f"{kind} {len(body)}\0".encode() + body).hexdigest(), kind, body))
+        yield pd.DataFrame(rows, columns=["hash", "kind", "body"])
 
 
 def commits(rows: DataFrame) -> DataFrame:
@@ -166,16 +193,16 @@ def tree_entries(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'tree'").select("hash", "body").mapInPandas(run, "tree string, mode string, name string, hash string")
 
 
-def tree_files(entries: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
-    """``root, path, hash`` of the files below each root tree; submodules and node_modules are left out."""
+def tree_files(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, path, hash`` of the files below each root tree, however deep; submodules and node_modules are left out."""
     level = roots.select(F.col("tree").alias("root"), F.col("tree").alias("at"), F.lit("").alias("prefix")).distinct()
     found = None
     useful = entries.where("mode <> '160000' and name <> 'node_modules'")
-    for _ in range(depth):
+    while True:
         here = level.join(useful, level["at"] == useful["tree"]).select("root", F.concat("prefix", "name").alias("path"), "mode", "hash")
         files = here.where("mode not in ('40000', '040000')").select("root", "path", "hash")
         found = files if found is None else found.unionByName(files)
-        level = here.where("mode in ('40000', '040000')").select("root", F.col("hash").alias("at"), F.concat("path", F.lit("/")).alias("prefix"))
+        level = cut(here.where("mode in ('40000', '040000')").select("root", F.col("hash").alias("at"), F.concat("path", F.lit("/")).alias("prefix")))
         if level.isEmpty():
             break
     return found

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordered import shared_folder
+
 
 def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """The events table as a stream; times become zoned ones, which watermarks need.
@@ -24,10 +26,24 @@ def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, and give what it wrote as a table (for tests and small results)."""
-    name = f"stream_{uuid4().hex}"
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over all that is there now, and give what it wrote: a Parquet folder a batch in the shared folder.
+
+    A batch that is run again replaces its folder. Of a stream in complete mode the last batch counts.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    batches: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+        batches.append(batch)
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/out/batch={max(batches)}")
+    return spark.read.schema(stream.schema).parquet(f"{path}/out").select(*stream.columns)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -42,6 +42,11 @@ def test_redaction_and_clean_up(spark):
     assert one(spark, text.compact("t", 60), t="A first sentence that is of some length here. " * 3) == "A first sentence that is of some length here."
     assert one(spark, text.compact("t", 40), t="A first sentence that is of some length here. " * 3) == "A first sentence that is of some length…"
     assert one(spark, text.base36(F.lit(35))) == "z"
+    assert [one(spark, text.safe_id("t"), t=t) for t in ("Src/My_Class.ts", "--", "", "x" * 90)] == ["src-my_class-ts", "item", "item", "x" * 72]
+    assert [one(spark, text.fnv1a("t"), t=t) for t in ("", "a", "foobar")] == ["811c9dc5", "e40c292c", "bf9cf968"]
+    marks = "> 1. ***Bold*** and _it_ ~~no~~ `a b`\n---\n~~~\ncode\n~~~\n![alt](u.png \"t\") [x](y(z)) snake_case 2*3*4\n## End"
+    assert one(spark, text.strip_markdown("t"), t=marks) == "Bold and it no a b alt x snake_case 2*3*4 End"
+    assert one(spark, text.memory_document(F.lit("T"), F.lit("c"), F.array(F.lit("a"), F.lit("b")), F.array().cast("array<string>"), F.lit("bug"))) == "T\nT\nc\na b\nbug"
 
 
 def test_grounding(spark):
@@ -167,6 +172,10 @@ def test_graphs(spark):
     flip = {"added": "removed", "removed": "added", "modified": "modified"}
     forth = {tuple(r) for r in graph.tree_diff(old, new).collect()}
     assert forth == {("p", "modified"), ("r", "removed"), ("s", "added")} == {(p, flip[c]) for p, c in map(tuple, graph.tree_diff(new, old).collect())}
+    made = spark.createDataFrame([("m1", "s1", None), ("m2", "s2", "m1"), ("m3", "s2", "m2"), ("m4", None, "m1")], "id string, session string, supersedes string")
+    assert {tuple(r) for r in graph.supersede_edges(made).collect()} == {("supersede", "s1", "s2")}
+    mixed = spark.createDataFrame([("p", "modified"), ("p", "removed"), ("q", "modified"), ("q", "added")], "path string, change string")
+    assert {tuple(r) for r in graph.merged_changes(mixed).collect()} == {("p", "removed"), ("q", "added")}
     commits = spark.createDataFrame([("c3", "c2"), ("c2", "c1"), ("c1", None)], "hash string, parent string")
     assert [r.hash for r in graph.first_parents(commits, "c3", 2).orderBy("distance").collect()] == ["c3", "c2"]
 
@@ -182,9 +191,14 @@ def test_ladder_and_briefing(spark):
 
 
 def test_signals(spark):
-    rows = [(1, 1, "user", "please remember to use tabs"), (1, 2, "user", "never mind, forget it"), (1, 3, "assistant", "always do"), (1, 4, "user", "we decided on blue"), (1, 5, "user", "hi"), (1, 6, "user", None)]
+    said = ["please remember to use tabs", "never mind, forget it", "we decided on blue", "hi", None, "记住：用制表符缩进", "keep in mind the old parser", "in this merge keep in mind the old parser",
+            "never push on fridays, please", "以后 tests 要记得 ", "note that", "let's always review it", "remember: " + "x" * 300, "We REMEMBER eslint rules"]
+    rows = [(1, i, "user", t) for i, t in enumerate(said)] + [(2, 0, "assistant", "always do it so")]
     out = transcript.signals(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert {(r.turn, r.strength, r.signal) for r in out} == {(1, "strong", "remember"), (4, "weak", "decided")}
+    assert {(r.turn, r.strength, r.content) for r in out} == {
+        (0, "strong", "to use tabs"), (5, "strong", "用制表符缩进"), (6, "weak", "keep in mind"), (1, "strong", "never"), (8, "strong", "never"), (9, "strong", "tests 要"), (11, "strong", "always"),
+        (12, "strong", "x" * 200), (13, "strong", "eslint rules"),
+    }
 
 
 def test_grounding_paths_agree(spark, monkeypatch):
@@ -201,3 +215,47 @@ def test_first_parents_beyond_the_engines_recursion_bound(spark):
     assert walk() == [(f"c{149 - d}", d) for d in range(150)]
     assert walk(limit=120) == [(f"c{149 - d}", d) for d in range(120)]
     assert walk(limit=1) == [("c149", 0)]
+
+
+def test_lookups_of_todos(spark):
+    todos = spark.createDataFrame([("todo-1", "Ship it", "pending", "low", 5), ("todo-12", "Fix", "pending", "urgent", 1), ("todo-3", "ship it", "done", "high", 9), ("x", "Ship It", "blocked", "high", 2)], "id string, title string, status string, priority string, created_ms long")
+    refs = spark.createDataFrame([("todo-1",), ("ship it",), ("todo-3",), ("x",), (" ",), ("nothing",)], "ref string")
+    assert {tuple(r) for r in status.find_todos(todos, refs).collect()} == {("todo-1", "todo-12"), ("ship it", "x"), ("x", "x")}
+    open_ = spark.createDataFrame([(1, ["a"], []), (2, [], ["t"]), (3, None, None)], "id long, files array<string>, tags array<string>")
+    records = spark.createDataFrame([("m1", 1, ["b"], []), ("m2", 2, ["a"], ["t"]), ("m3", 3, ["a"], None)], "id string, position int, files array<string>, tags array<string>")
+    assert {tuple(r) for r in status.related_records(open_, records).collect()} == {(1, "m2"), (2, "m2"), (3, "m1")}
+    files = spark.createDataFrame([("a", ["x"], []), ("b", [], ["Main"]), ("c", [], ["other"]), ("d", None, None)], "path string, exports array<string>, functions array<string>")
+    assert {r.path for r in graph.entry_points(files).collect()} == {"a", "b"}
+
+
+def test_ranks_and_budgets_over_ranges(spark):
+    from lorekeep.operators import ordered
+
+    rng = random.Random(9)
+    rows = [(i, rng.randint(0, 30), rng.randint(1, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, score int, size long").repartition(5)
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    got = {r.id: r.r for r in ordered.ranked(df, [F.desc("score"), F.asc("id")], "r").collect()}
+    assert got == {r[0]: k + 1 for k, r in enumerate(want)}
+    total, kept = 0, set()
+    for r in want:
+        total += r[2]
+        if total <= 400:
+            kept.add(r[0])
+    assert {r.id for r in lifecycle.within_budget(df, "size", 400, [F.desc("score"), F.asc("id")]).collect()} == kept
+
+
+def test_best_prior_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lifecycle, "HOT", 2)
+    rng = random.Random(8)
+    base = ["use postgres for the main database", "retry failed uploads with backoff", "keep secrets out of logs", "ab", "abc"]
+    rows = [(i, rng.choice("ab"), "".join(c if rng.random() > 0.05 else "z" for c in rng.choice(base)), rng.choice(["active", "archived", None])) for i in range(50)]
+    grams = lambda t: frozenset(t[i : i + 2] for i in range(len(t) - 1))
+    want = {}
+    for i, k, t, _ in rows:
+        near = [(-len(grams(t) & grams(u)) / len(grams(t) | grams(u)), j) for j, m, u, s in rows if j != i and m == k and s != "archived"]
+        best = min((x for x in near if -x[0] >= 0.72), default=None)
+        if best:
+            want[i] = (best[1], -best[0])
+    df = spark.createDataFrame(rows, "id long, type string, title string, status string")
+    assert {r.id: (r.prior, pytest.approx(r.similarity)) for r in lifecycle.best_prior(df, df, "id").collect()} == want

@@ -56,15 +56,15 @@ def test_source_tree(spark, tmp_path):
     assert {tuple(r) for r in files.language_counts(tree).collect()} == {("TypeScript", 2), ("Python", 1)}
     code = files.code(tree)
     rows = {r.path: r for r in code.collect()}
-    assert rows["src/index.ts"].imports == ["./lib/a"] and rows["src/index.ts"].symbols == ["main"]
-    assert rows["api/main.py"].imports == ["app.db", "os"] and rows["api/main.py"].symbols == ["User", "create"]
+    assert rows["src/index.ts"].imports == ["./lib/a"] and rows["src/index.ts"].symbols == ["main"] and rows["src/lib/a.ts"].symbols == ["go"]
+    assert rows["api/main.py"].imports == ["os", "app.db"] and rows["api/main.py"].symbols == ["User", "create"]
     assert {tuple(r) for r in files.endpoints(code).collect()} == {("GET", "/users", "src/index.ts", 3), ("POST", "/items", "api/main.py", 5)}
     assert {(r.name, r.framework) for r in files.models(code).collect()} == {("User", "sqlalchemy")}
     assert {tuple(r) for r in files.resolve_imports(code).collect()} == {("src/index.ts", "src/lib/a.ts"), ("src/lib/a.ts", "src/index.ts")}
     tech = {tuple(r) for r in files.technologies(tree).collect()}
     assert ("frontend", "Next.js") in tech and ("backend", "Express") in tech and ("backend", "FastAPI") not in tech
     marks = tree.select("path", files.role(F.col("path")).alias("role"), files.evidence_priority(F.col("path"), F.lit(False)).alias("p")).collect()
-    assert {r.path: r.role for r in marks}["api/main.py"] == "api" and {r.path: r.p for r in marks}["src/index.ts"] == 57
+    assert {r.path: r.role for r in marks}["api/main.py"] == "interface" and {r.path: r.p for r in marks}["src/index.ts"] == 57
 
 
 def make_object(kind, body):
@@ -101,9 +101,15 @@ def test_git(spark, tmp_path):
     pack = b"PACK" + (2).to_bytes(4, "big") + (3).to_bytes(4, "big") + first + entry(6, delta, bytes([back])) + entry(7, delta, hashlib.sha1(b"blob 200\0" + base).digest())
     (folder / "objects" / "pack").mkdir()
     (folder / "objects" / "pack" / "p.pack").write_bytes(pack + hashlib.sha1(pack).digest())
+    second = target + b"!"
+    across = bytes([len(target) & 0x7F | 0x80, len(target) >> 7, len(second) & 0x7F | 0x80, len(second) >> 7, 0x90, len(target), 1]) + b"!"
+    name = hashlib.sha1(f"blob {len(target)}".encode() + b"\0" + target).digest()
+    other = b"PACK" + (2).to_bytes(4, "big") + (1).to_bytes(4, "big") + entry(7, across, name)
+    (folder / "objects" / "pack" / "q.pack").write_bytes(other + hashlib.sha1(other).digest())
     rows = git.objects(spark, str(folder))
     got = {r.hash: (r.kind, bytes(r.body)) for r in rows.collect()}
-    assert got[blob] == ("blob", b"hello\n") and got[hashlib.sha1(f"blob {len(target)}".encode() + b"\0" + target).hexdigest()] == ("blob", target) and len(got) == 5
+    assert got[blob] == ("blob", b"hello\n") and got[hashlib.sha1(f"blob {len(target)}".encode() + b"\0" + target).hexdigest()] == ("blob", target) and len(got) == 6
+    assert got[hashlib.sha1(f"blob {len(second)}".encode() + b"\0" + second).hexdigest()] == ("blob", second)
     c = git.commits(rows).first()
     assert (c.hash, c.tree, c.parent, c.author, c.author_s, c.subject) == (commit, tree, "1" * 40, "A B", 1_700_000_000, "Subject line")
     assert [(r.path, r.hash) for r in git.tree_files(git.tree_entries(rows), git.commits(rows)).collect()] == [("a.txt", blob)]
