@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import knowledge, knowledge_more, relational, streams
+from . import knowledge, knowledge_more, relational, repositories, streams
 
-QUERIES = {**knowledge.QUERIES, **knowledge_more.QUERIES, **relational.QUERIES, **streams.QUERIES}
-ORACLE_SQL = {**knowledge.ORACLE_SQL, **knowledge_more.ORACLE_SQL, **relational.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES = {**knowledge.QUERIES, **knowledge_more.QUERIES, **relational.QUERIES, **repositories.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**knowledge.ORACLE_SQL, **knowledge_more.ORACLE_SQL, **relational.ORACLE_SQL, **repositories.ORACLE_SQL, **streams.ORACLE_SQL}
 ORACLE_SQL["stream_idle_sessions"] = knowledge.ORACLE_SQL["idle_sessions"]

@@ -34,7 +34,11 @@ def pack_bundle(files: DataFrame, project: str) -> DataFrame:
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """``bundle, path, content, expected, error`` of all entries; unsafe names and newer schemas are errors, not rows to import."""
-    zips = spark.read.format("binaryFile").load(guarded(path)).select("path", "content")
+    return unpacked(spark.read.format("binaryFile").load(guarded(path)).select("path", "content"))
+
+
+def unpacked(zips: DataFrame) -> DataFrame:
+    """The entries of bundles given as ``path, content``; see :func:`read_bundles`."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -173,25 +173,3 @@ def resolve_imports(rows: DataFrame) -> DataFrame:
     tries = pairs.withColumn("_p", joined).select("src", "import", F.posexplode(F.array(*(F.concat(F.col("_p"), F.lit(e)) for e in endings))).alias("rank", "dst"))
     found = tries.join(rows.select(F.col("path").alias("dst")), "dst")
     return found.groupBy("src", "import").agg(F.min_by("dst", "rank").alias("dst")).select("src", "dst").distinct()
-
-
-# Technologies by manifest: (file, pattern in its text, field, value, group of which the first match counts, order).
-TECH = (
-    ("package.json", r'"next"\s*:', "frontend", "Next.js", "fullstack", 1), ("package.json", r'"nuxt"\s*:', "frontend", "Nuxt", "fullstack", 2), ("package.json", r'"react"\s*:', "frontend", "React", "frontend", 1),
-    ("package.json", r'"vue"\s*:', "frontend", "Vue", "frontend", 2), ("package.json", r'"svelte"\s*:', "frontend", "Svelte", "frontend", 3), ("package.json", r'"express"\s*:', "backend", "Express", "backend", 1),
-    ("package.json", r'"fastify"\s*:', "backend", "Fastify", "backend", 2), ("package.json", r'"koa"\s*:', "backend", "Koa", "backend", 3), ("package.json", r'"typescript"\s*:', "language", "TypeScript", None, 1),
-    ("package.json", r'"(pg|postgres)"\s*:', "database", "PostgreSQL", None, 1), ("package.json", r'"mongoose"\s*:', "database", "MongoDB", None, 1), ("package.json", r'"jest"\s*:', "testing", "Jest", None, 1), ("package.json", r'"vitest"\s*:', "testing", "Vitest", None, 1),
-    ("requirements.txt", r"(?im)^django\b", "backend", "Django", "backend", 1), ("requirements.txt", r"(?im)^flask\b", "backend", "Flask", "backend", 2), ("requirements.txt", r"(?im)^fastapi\b", "backend", "FastAPI", "backend", 3),
-    ("requirements.txt", r"(?im)^(torch|tensorflow)\b", "ai", "Deep learning", None, 1), ("requirements.txt", r"(?im)^pyspark\b", "data", "Spark", None, 1), ("pyproject.toml", r"(?i)\bfastapi\b", "backend", "FastAPI", "backend", 3),
-    ("go.mod", r"gin-gonic/gin", "backend", "Gin", "backend", 1), ("go.mod", r"(?m)^module\s", "language", "Go", None, 1), ("pom.xml", r"spring-boot", "backend", "Spring Boot", "backend", 1), ("Cargo.toml", r"(?m)^actix-web", "backend", "Actix", "backend", 1),
-    ("Cargo.toml", r"\[package\]", "language", "Rust", None, 1), ("pubspec.yaml", r"flutter", "frontend", "Flutter", "frontend", 1), ("Dockerfile", r"(?im)^FROM\s", "devops", "Docker", None, 1), ("docker-compose.yml", r"services:", "devops", "Docker Compose", None, 1),
-)
-
-
-def technologies(files: DataFrame) -> DataFrame:
-    """``field, value`` by rules over manifests; of the rules of a group only the first that matches counts."""
-    spark = files.sparkSession
-    rules = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(TECH)], "rule int, manifest string, pattern string, field string, value string, group string, ord int"))
-    texts = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("manifest"), F.decode("content", "UTF-8").alias("text")).where(F.col("manifest").isin([r[0] for r in TECH]))
-    hits = texts.join(rules, "manifest").where(F.expr("text rlike pattern"))
-    return hits.groupBy(F.coalesce("group", F.concat(F.lit("rule"), F.col("rule").cast("string"))).alias("g")).agg(F.min_by(F.struct("field", "value"), F.struct("ord", "rule")).alias("best")).select("best.field", "best.value").distinct()

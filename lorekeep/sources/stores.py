@@ -53,7 +53,7 @@ def read_store(spark: SparkSession, root: str, projects: str = "*") -> dict[str,
         pattern = f"{guarded(root)}/{projects}/{name}"
         try:
             rows = read_jsonl(spark, pattern, schema)
-            rows = rows.withColumn("project_id", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/" + name + "$", 1))
+            rows = rows.withColumn("project_id", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/" + name + "(?:/|$)", 1))
         except Exception as e:  # the pattern meets no file
             if "PATH_NOT_FOUND" not in str(e):
                 raise

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.sources import bundle, files, git, stores
+from lorekeep.sources import bundle, files, git, stack, stores
 from lorekeep.streaming import jobs
 
 
@@ -61,8 +61,17 @@ def test_source_tree(spark, tmp_path):
     assert {tuple(r) for r in files.endpoints(code).collect()} == {("GET", "/users", "src/index.ts", 3), ("POST", "/items", "api/main.py", 5)}
     assert {(r.name, r.framework) for r in files.models(code).collect()} == {("User", "sqlalchemy")}
     assert {tuple(r) for r in files.resolve_imports(code).collect()} == {("src/index.ts", "src/lib/a.ts"), ("src/lib/a.ts", "src/index.ts")}
-    tech = {tuple(r) for r in files.technologies(tree).collect()}
-    assert ("frontend", "Next.js") in tech and ("backend", "Express") in tech and ("backend", "FastAPI") not in tech
+    manifests = tree.where(F.col("ext").isin("json", "txt", "toml")).select(F.lit("p").alias("project"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    found = stack.stack(manifests)
+    assert {tuple(r)[1:] for r in found.collect()} == {("framework-fullstack", "Next.js"), ("framework-backend", "Express"), ("framework-frontend", "React"), ("framework-backend", "FastAPI")}
+    more = spark.createDataFrame([("q", "go.mod", "module x\nrequire github.com/labstack/echo v4\nrequire gorm.io/gorm v1"), ("q", "pyproject.toml", '[project]\ndependencies = ["torch>=2", "numpy"]\n[tool.x]\npandas = "2"'), ("r", "package.json", "{broken")], "project string, name string, text string")
+    assert {tuple(r) for r in stack.stack(more).collect()} == {("q", "framework-backend", "Echo"), ("q", "orm", "GORM"), ("q", "ai", "PyTorch"), ("q", "ai", "NumPy"), ("q", "ai", "pandas")}
+    assert {(r.value, r["rank"]) for r in stack.by_popularity(found.unionByName(stack.stack(more)).unionByName(found.withColumn("project", F.lit("z")))).where("field = 'framework-backend'").collect()} == {("Express", 1), ("FastAPI", 2), ("Echo", 3)}
+    uses = code.select(F.lit("p").alias("project"), "path", F.explode("imports").alias("import"))
+    assert {tuple(r) for r in stack.unknown_imports(uses, manifests).collect()} == {("p", "os", 1), ("p", "app", 1)}
+    paths = spark.createDataFrame([("src/main.ts", "modified"), ("src/x.ts", "modified"), ("src/x.ts", "added"), ("README.md", "added"), ("package.json", "modified"), ("tests/a.ts", "added"), ("dist/index.js", "added")], "path string, change string")
+    assert [r.t for r in paths.select(files.changes_architecture(F.col("path"), F.col("change")).alias("t")).collect()] == [True, False, True, False, True, False, False]
+    assert {(r.role, r.files) for r in files.roles_of(tree).collect()} == {("interface", 1), ("domain", 4)}
     marks = tree.select("path", files.role(F.col("path")).alias("role"), files.evidence_priority(F.col("path"), F.lit(False)).alias("p")).collect()
     assert {r.path: r.role for r in marks}["api/main.py"] == "interface" and {r.path: r.p for r in marks}["src/index.ts"] == 57
 
