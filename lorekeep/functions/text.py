@@ -36,9 +36,13 @@ def tokens(c: Column | str) -> Column:
 
 
 def char_bigrams(c: Column | str) -> Column:
-    """Distinct character pairs of the cleaned title; a title under two letters is its own only member."""
+    """Distinct character pairs of the cleaned title; a title under two letters is its own only member.
+
+    The cleaned title is bound once, so that a title that is itself an expression is not computed for each pair.
+    """
     t = F.trim(F.regexp_replace(F.lower(text_of(c)), "[^a-z0-9一-鿿]+", " "))
-    return F.when(F.length(t) < 2, F.array(t)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))))
+    pairs = lambda x: F.when(F.length(x) < 2, F.array(x)).otherwise(F.array_distinct(F.regexp_extract_all(x, F.lit("(?=(..))"), F.lit(1))))
+    return F.get(F.transform(F.array(t), pairs), 0)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions.scores import DAY_MS, STABLE_TYPES
 from ..functions.text import char_bigrams, estimated_tokens, fingerprint, jaccard, text_of
@@ -90,53 +96,91 @@ def with_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def first_of_fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """Add ``keeper`` (the least key of equal fingerprints) and ``duplicate``.
+    """``key, fingerprint, keeper`` (the least key of equal fingerprints) ``, duplicate`` of every row.
 
-    The least key is pre-aggregated where the rows are, so a fingerprint of a third of all rows is a row a task.
+    Texts are read once; the least key is pre-aggregated where the rows are, so a fingerprint of a third of all rows is a row a task.
     """
-    rows = with_fingerprint(df)
+    rows = cut(with_fingerprint(df).select(key, "fingerprint"))
     least = rows.groupBy("fingerprint").agg(F.min(key).alias("keeper"))
     return rows.join(least, "fingerprint").withColumn("duplicate", F.col(key) != F.col("keeper"))
 
 
-#: Rows of a segment's key from which its sets are told apart by segments of a second and a third dealing.
-HOT = 16
+#: Sets of a segment from which they are told apart by segments of a second and a third dealing.
+HOT = 64
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _sized(sets: DataFrame, least: float) -> DataFrame:
-    """Rows of ``id, type, g`` (a set of bigrams) with size ``n``, band ``_b`` and the count ``_p`` of segments.
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A mixing of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    Two sets of sizes n and m with similarity ``least`` differ in at most ``d = (1 - least) / (1 + least) (n + m)``
-    members, so if bigrams are dealt into d + 1 segments by hash, the sets agree in a whole segment.
-    Sizes are banded by the ratio ``least``; a set is named in its own band and in the next, where it
-    is the smaller one.
-    """
-    step = -F.ln(F.lit(least))
-    sized = sets.withColumn("n", F.size("g")).withColumn("_b", F.explode(F.array(*(F.floor(F.ln(F.col("n").cast("double")) / step + 1e-9) + k for k in (0, 1)))))
-    most = 2 * F.exp(step * (F.col("_b") + 1)) + 1
-    return sized.withColumn("_p", F.floor(most * (1 - least) / (1 + least)).cast("int") + 1)
 
-
-def _parts(sized: DataFrame, seed: int) -> DataFrame:
-    """Exploded ``part``: names of the segments of a dealing by ``seed``, under ``_under``, the name of the segment of the dealing before."""
-    pairs = F.arrays_zip("g", "_h")
-    dealt = sized.withColumn("_h", F.transform("g", lambda t: F.pmod(F.xxhash64(F.lit(seed), t), F.col("_p"))))
-    part = F.transform(F.sequence(F.lit(0), F.col("_p") - 1), lambda i: F.xxhash64("type", "_b", "_under", F.lit(seed), i, F.transform(F.filter(pairs, lambda x: x["_h"] == i), lambda x: x["g"])))
-    return dealt.select("id", "type", "g", "n", "_b", "_p", F.explode(part).alias("part"))
+def _dealt(batch: pa.RecordBatch, least: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of ``type, g, band``: how many segments each has, and the names of all segments, row by row."""
+    sets = batch.column("g")
+    sizes, members = np.diff(sets.offsets.to_numpy()), sets.flatten().dictionary_encode()
+    words = np.array([int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in members.dictionary.to_pylist()] or [0], np.uint64)
+    hashed = _mix(words[members.indices.to_numpy()] + np.uint64(seed + 1) * _ODD) if len(members) else np.zeros(0, np.uint64)
+    kinds = np.array([zlib.crc32((t or "").encode()) if t is not None else 1 << 40 for t in batch.column("type").to_pylist()], np.uint64)
+    band = batch.column("band").to_numpy().astype(np.int64)
+    most = 2 * np.exp(-math.log(least) * (band + 1)) + 1
+    count = np.floor(most * (1 - least) / (1 + least)).astype(np.int64) + 1
+    starts = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = starts[row] + (_mix(hashed + _ODD) % count[row].astype(np.uint64)).astype(np.int64)
+    sums = np.zeros(int(count.sum()), np.uint64)
+    np.add.at(sums, at, hashed)  # the sum of a segment's members names it
+    place = np.arange(len(sums)) - np.repeat(starts, count)
+    under = _mix(kinds * _ODD + band.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(seed))
+    return count, _mix(sums ^ _mix(np.repeat(under, count) + place.astype(np.uint64) * _ODD))
 
 
 def _segments(sets: DataFrame, least: float) -> DataFrame:
-    """``id, n, part``: names under which two sets of similarity ``least`` meet at least once.
+    """``id, n, part`` of sets (``id, type, g``): names under which two sets of similarity ``least`` meet at least once.
 
-    Similar sets agree in a segment of every dealing. Where many sets share a segment (an empty or a common
-    one), they are named by that segment and one of a second dealing together, and of a third; so keys stay
-    small where sets are not alike, and no similar pair is lost.
+    Two sets of sizes n and m with similarity ``least`` differ in at most ``d = (1 - least) / (1 + least) (n + m)``
+    members, so if bigrams are dealt into d + 1 segments by hash, the sets agree in a whole segment. Sizes are
+    banded by the ratio ``least``; a set is named in its own band and in the next, where it is the smaller one.
+    Similar sets agree in a segment of every dealing. Where many sets share a segment (an empty or a common one),
+    they are named by that segment and one of a second dealing together, and of a third; so keys stay small where
+    sets are not alike, and no similar pair is lost. Segments are summed up in numpy, a batch of sets at a time.
     """
-    now = _parts(_sized(sets, least).withColumn("_under", F.lit(0).cast("long")), 0)
+    field = sets.schema["id"]
+    shape = StructType([field, *_parse_datatype_string("n int, band int, part long").fields])
+    step = -math.log(least)
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            count, names = _dealt(b, least, 0)
+            row = pa.array(np.repeat(np.arange(b.num_rows), count))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in ("id", "n", "band")), pa.array(names.astype(np.int64))], ["id", "n", "band", "part"])
+
+    def again(seed: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in small(batches):
+                count, names = _dealt(b, least, seed)
+                ends = np.cumsum(count)
+                for i, parts in enumerate(b.column("parts").to_pylist()):
+                    own = names[ends[i] - count[i] : ends[i]]
+                    both = _mix(np.array(parts, np.int64).astype(np.uint64)[:, None] * _ODD + own[None, :]).ravel()
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(np.full(len(both), i))) for c in ("id", "n", "band")), pa.array(both.astype(np.int64))], ["id", "n", "band", "part"])
+
+        return run
+
+    bands = F.explode(F.array(*((F.floor(F.ln(F.size("g").cast("double")) / step + 1e-9) + k).cast("int") for k in (0, 1))))
+    sized = sets.select("id", "type", "g", F.size("g").alias("n"))
+    now = sized.withColumn("band", bands).mapInArrow(first, shape)
     for seed in (1, 2):
+        now = cut(now)
         hot = now.groupBy("part").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("part")
-        again = now.join(hot, "part", "left_semi").withColumnRenamed("part", "_under")
-        now = now.join(hot, "part", "left_anti").unionByName(_parts(again, seed))
+        held = now.join(hot, "part", "left_semi").groupBy("id", "band").agg(F.collect_list("part").alias("parts"))  # at most a set's segments
+        dealt = sized.join(held, "id").mapInArrow(again(seed), shape)
+        now = now.join(hot, "part", "left_anti").select("id", "n", "band", "part").unionByName(dealt)
     return now.select("id", "n", "part")
 
 

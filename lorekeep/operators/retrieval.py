@@ -1,7 +1,7 @@
 """Ranked retrieval: BM25, vectors, fused scores, reciprocal ranks, diversified selection.
 
 A query's tokens are a few literals, so statistics are counted only for them: one narrow pass gives
-each document's term counts as an array, and one global aggregate of a fixed number of rows gives
+each document's counts of them, and one global aggregate of a fixed number of rows gives
 document frequencies and the mean length. Nothing is exploded or shuffled by token.
 """
 
@@ -35,7 +35,8 @@ def bm25(docs: DataFrame, key: str, document: Column, query: str, k1: float = K1
         return docs.select(key, F.lit(0.0).alias("score")).where("false")
     # The long array is walked once, for all terms; each term is counted among the few that are left.
     split = docs.select(key, tokens(document).alias("_t")).select(key, F.size("_t").alias("_len"), F.filter("_t", lambda x: x.isin(*terms)).alias("_hits"))
-    counted = split.select(key, "_len", *(_times("_hits", t).alias(f"_tf{i}") for i, t in enumerate(terms)))
+    # A few numbers a document, written once: both the statistics and the scores read them, and texts are split once.
+    counted = ordered.cut(split.select(key, "_len", *(_times("_hits", t).alias(f"_tf{i}") for i, t in enumerate(terms))))
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))))
     total = F.lit(0.0)
     for i in range(len(terms)):

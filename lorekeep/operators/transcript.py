@@ -57,19 +57,14 @@ def signals(messages: DataFrame) -> DataFrame:
     The first pattern of a ladder whose content (its first group, freed of punctuation around it) has 4 to
     500 letters counts; the weak ladder counts only outside of talk about builds and version control.
     """
+    rows = messages.where((F.col("role") == "user") & F.length(F.trim(text_of("text"))).between(6, 2000))
     text = F.trim(text_of("text"))
-    rows = messages.where((F.col("role") == "user") & F.length(text).between(6, 2000))
-
-    def content(pattern: str) -> Column:
-        found = F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^[,，、;；:：\s]+|[,，、;；:：\s]+$", "")
-        return F.when(text.rlike(pattern) & F.length(found).between(4, 500), found)
-
-    strong = F.coalesce(*map(content, STRONG))
+    content = lambda pattern: F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^[,，、;；:：\s]+|[,，、;；:：\s]+$", "")
+    told = lambda ladder, strength: F.transform(F.array(*map(content, ladder)), lambda c: F.struct(F.lit(strength).alias("strength"), c.alias("content")))
     silent = text.rlike(NEGATIVE[0]) | text.rlike(NEGATIVE[1])
-    weak = F.when(~silent, F.coalesce(*map(content, WEAK)))
-    told = rows.withColumn("_strong", strong).withColumn("_weak", weak)
-    told = told.withColumn("strength", F.when(F.col("_strong").isNotNull(), "strong").when(F.col("_weak").isNotNull(), "weak")).where("strength is not null")
-    return told.withColumn("content", F.coalesce("_strong", "_weak")).drop("_strong", "_weak")
+    both = F.concat(told(STRONG, "strong"), F.when(silent, F.array().cast("array<struct<strength:string,content:string>>")).otherwise(told(WEAK, "weak")))
+    first = F.slice(F.filter(both, lambda t: F.length(t["content"]).between(4, 500)), 1, 1)
+    return rows.select("*", F.inline(first))
 
 
 #: Windows of evidence that are held by every task; more are met by a join.
