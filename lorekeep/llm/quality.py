@@ -34,6 +34,8 @@ MAX_FEATURES = 1 << 27
 #: Seen in fewer training documents than this, an n-gram counts for nothing.
 MIN_DOCS = 3
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
+#: Tokens whose codes a task remembers.
+MEMORY = 200_000
 #: What a token is written as that stands twice running.
 AGAIN = zlib.crc32(b"\x03")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -45,7 +47,7 @@ class _Codes(dict):
     def __missing__(self, token: str) -> int:
         kind = "\x01" if len(token) > 1 and token.isupper() else "\x02" if token.isdecimal() else token.lower()
         code = zlib.crc32(kind.encode("utf-8", "surrogatepass"))
-        if len(self) < 1_000_000:
+        if len(self) < MEMORY:
             self[token] = code
         return code
 

@@ -51,7 +51,7 @@ MARGIN_BITS, EVIDENCE = 0.75, 24.0
 #: Share of a format's training values that may score below its floor.
 FLOOR_SHARE = 0.01
 #: Distinct candidates that a task remembers before it starts afresh.
-MEMORY = 500_000
+MEMORY = 150_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:

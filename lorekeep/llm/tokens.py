@@ -35,7 +35,10 @@ def encoder(vocabulary: str, ranks: str) -> Callable[[str], np.ndarray]:
 
     quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(ranks), special_tokens={})
     with open(vocabulary, encoding="utf-8") as file:
-        added = [t["content"] for t in json.load(file).get("added_tokens", ())]
+        text = file.read()
+    at = re.search(r'"added_tokens"\s*:\s*', text)  # that list only, not the whole vocabulary
+    added = [t["content"] for t in json.JSONDecoder().raw_decode(text, at.end())[0]] if at else []
+    del text
     slow = re.compile("|".join([_COMMON.pattern, *map(re.escape, added)]))
     exact: list[Tokenizer] = []
 
