@@ -122,7 +122,7 @@ def _dealt(batch: pa.RecordBatch, least: float, seed: int) -> tuple[np.ndarray,
     sets = batch.column("g")
     sizes, members = np.diff(sets.offsets.to_numpy()), sets.flatten().dictionary_encode()
     words = np.array([int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in members.dictionary.to_pylist()] or [0], np.uint64)
-    hashed = _mix(words[members.indices.to_numpy()] + np.uint64(seed + 1) * _ODD) if len(members) else np.zeros(0, np.uint64)
+    hashed = _mix(words[members.indices.to_numpy()] + np.uint64((seed + 1) * int(_ODD) % 2**64)) if len(members) else np.zeros(0, np.uint64)
     kinds = np.array([zlib.crc32((t or "").encode()) if t is not None else 1 << 40 for t in batch.column("type").to_pylist()], np.uint64)
     band = batch.column("band").to_numpy().astype(np.int64)
     most = 2 * np.exp(-math.log(least) * (band + 1)) + 1
