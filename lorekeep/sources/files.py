@@ -11,7 +11,7 @@ from ..functions.text import text_of
 from .stores import guarded
 
 # Folders that a scan leaves out, by name or by form; languages by file ending.
-IGNORED_NAMES = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", ".next", "target", ".DS_Store", ".idea", ".vscode", "coverage", ".turbo", ".cache", "out", ".project-brain")
+IGNORED_NAMES = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", ".next", "target", ".DS_Store", ".idea", ".vscode", "coverage", ".turbo", ".cache", "out")
 IGNORED_FORMS = (r"(?i)(^|/)node_modules([._-][^/]*)?/", r"(?i)(^|/)([^/]*[._-])?backup([._-][^/]*)?/", r"(?i)(^|/)[^/]*\.bak([._-][^/]*)?/")
 LANGUAGES = {
     "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "py": "Python", "go": "Go",
