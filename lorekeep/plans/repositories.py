@@ -208,6 +208,29 @@ def manifest_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.stack(manifests(spark, sf_dir))
 
 
+_ENTRIES = {
+    "Brand#1": ("Dockerfile", "FROM node:20 AS b\n  FROM library/nginx:1\nFROM postgres"),
+    "Brand#2": ("compose.dev.yaml", "image: 'bitnami/redis:7'\nimage: postgresql\nIMAGE: quay.io/Keycloak/keycloak"),
+    "Brand#3": ("pom.xml", "<artifactId>spring-boot-starter-web</artifactId> spring-kafka"),
+    "Brand#4": ("Cargo.toml", "[workspace]\naxum = 1\nyew = 1\n#diesel = 1\nsqlx = 1"),
+    "Brand#5": ("main.tf", None),
+    "Brand#6": (".github", None),
+}
+
+
+@query("""
+WITH m AS (SELECT DISTINCT p_type AS project, p_brand AS b FROM part), r(b, field, value) AS (VALUES
+('Brand#1', 'container', 'Docker'), ('Brand#1', 'webserver', 'Nginx'), ('Brand#2', 'container', 'Docker Compose'), ('Brand#2', 'cache', 'Redis'), ('Brand#2', 'auth', 'Keycloak'),
+('Brand#3', 'framework-backend', 'Spring Boot'), ('Brand#3', 'queue', 'Kafka'), ('Brand#4', 'framework-backend', 'Rust'), ('Brand#4', 'framework-backend', 'Axum'), ('Brand#4', 'orm', 'SQLx'),
+('Brand#4', 'structure', 'Cargo Workspace'), ('Brand#5', 'iac', 'Terraform'), ('Brand#6', 'ci', 'GitHub Actions'))
+SELECT DISTINCT project, field, value FROM m JOIN r USING (b)""")
+def infrastructure_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technologies of a project for each type of part, at whose root lies an entry for some of its brands."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("project"), "p_brand").distinct()
+    entries = spark.createDataFrame([(b, n, t) for b, (n, t) in _ENTRIES.items()], "p_brand string, name string, text string")
+    return stack.infrastructure(rows.join(F.broadcast(entries), "p_brand"))
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("project"), "p_brand").distinct()
     named = F.expr("case p_brand " + " ".join(f"when '{b}' then '{p}'" for b, p in _PACKAGES.items()) + " end")

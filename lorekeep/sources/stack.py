@@ -66,6 +66,56 @@ GO = {
     "queue": {"Kafka": r"segmentio/kafka-go|confluentinc/confluent-kafka-go", "NATS": r"nats-io/nats\.go", "RabbitMQ": r"streadway/amqp|rabbitmq/amqp091-go"},
     "auth": {"JWT": r"golang-jwt/jwt|lestrrat-go/jxw", "OAuth2/OIDC": r"coreos/go-oidc|oauth2"},
 }
+# Technologies that a file or folder at a project's root shows by its name, as patterns.
+NAMED = {
+    "framework-backend": {"Kotlin": r"(?i)\.kts?$", ".NET": r"(?i)\.(csproj|sln|fsproj)$"},
+    "container": {"Docker": r"^Dockerfile(\..+)?$", "Docker Compose": r"^(docker-compose|compose)(\..+)?\.ya?ml$"},
+    "webserver": {"Caddy": r"^Caddyfile$", "Nginx": r"^nginx(\..+)?\.conf$", "Traefik": r"^traefik(\..+)?\.ya?ml$"},
+    "iac": {
+        "Kubernetes": r"^(k8s|kubernetes)$|(^|/)(deployment|service|ingress|statefulset|configmap)\.ya?ml$", "Helm": r"^Chart\.yaml$|^charts?/[^/]+/Chart\.yaml$", "Kustomize": r"^kustomization\.ya?ml$", "Terraform": r"\.tf$",
+        "Pulumi": r"^Pulumi\.ya?ml$", "Ansible": r"^ansible\.cfg$|^playbook\.ya?ml$|roles/", "CloudFormation": r"^cloudformation/|\.cf\.json$|\.cfn\.ya?ml$", "Bicep": r"\.bicep$",
+    },
+    "ci": {"GitHub Actions": r"^\.github$", "GitLab CI": r"^\.gitlab-ci\.yml$", "CircleCI": r"^\.circleci$", "Jenkins": r"^Jenkinsfile$", "Travis CI": r"^\.travis\.yml$"},
+}
+# What the text of a Maven or Gradle build shows, as patterns.
+JAVA = {
+    "framework-backend": {"Quarkus": "quarkus", "Micronaut": "micronaut"},
+    "orm": {"Hibernate": "hibernate|spring-data-jpa", "MyBatis": "mybatis"},
+    "database": {"MongoDB": "spring-data-mongodb"},
+    "cache": {"Redis": "spring-data-redis"},
+    "queue": {"Kafka": "spring-kafka", "RabbitMQ": "rabbitmq|spring-amqp"},
+    "observability": {"Micrometer": "spring-cloud|micrometer"},
+}
+# What a line of Cargo.toml that begins with the crate shows.
+RUST = {
+    "framework-backend": {"Rust": ""},
+    "orm": {"Diesel": "diesel", "SeaORM": "sea-orm", "SQLx": "sqlx"},
+    "database": {"SQLite": "rusqlite", "PostgreSQL": "postgres", "MySQL": "mysql"},
+    "cache": {"Redis": "redis"},
+    "api": {"gRPC": "tonic"},
+    "auth": {"JWT": "jsonwebtoken", "OAuth2": "oauth2"},
+    "tooling": {"Tokio": "tokio", "Serde": "serde"},
+}
+# What Cargo.toml shows by a name anywhere in it, as patterns.
+RUST_ANYWHERE = {"ai": {"OpenAI SDK": "async-openai", "Anthropic SDK": "anthropic-sdk-rs|anthropic-rs", "Candle": "candle-core", "tch (PyTorch)": "tch-rs"}, "structure": {"Cargo Workspace": r"\[workspace\]"}}
+# Ladders, of which the first pattern that holds for a project counts.
+JAVA_LADDER = [("framework-backend", "Spring Boot", "(?i)spring-boot-starter"), ("framework-backend", "Spring Framework", "(?i)spring-framework"), ("framework-backend", "Java", "")]
+RUST_LADDER = [
+    ("framework-backend", "Actix Web", "actix-web"), ("framework-backend", "Axum", "axum"), ("framework-backend", "Rocket", "rocket"), ("framework-backend", "Warp", "warp"), ("framework-backend", "Tide", "tide"),
+    ("framework-backend", "Salvo", "salvo"), ("framework-fullstack", "Leptos", "leptos"), ("framework-fullstack", "Dioxus", "dioxus"), ("framework-frontend", "Yew", "yew"), ("desktop", "Tauri", "tauri"),
+]
+DART_LADDER = [("mobile", "Flutter", r"(?m)^flutter\s*:|(?s)\bflutter\s*:.*sdk:\s*flutter"), ("framework-backend", "Dart", "")]
+SCALA_LADDER = [("framework-backend", "Scala (sbt)", r"^build\.sbt$"), ("framework-backend", "Scala", r"(?i)\.scala$|sbt$")]
+# Images, as words that begin a part of the image's path; Dockerfiles show web servers only.
+IMAGES = {
+    "webserver": {"Nginx": "nginx", "Caddy": "caddy", "Traefik": "traefik", "Apache": "apache|httpd"},
+    "cache": {"Redis": "redis"},
+    "database": {"PostgreSQL": "postgres", "MySQL": "mysql", "MariaDB": "mariadb", "MongoDB": "mongo", "ClickHouse": "clickhouse"},
+    "search": {"Elasticsearch": "elasticsearch"},
+    "queue": {"RabbitMQ": "rabbitmq", "Kafka": "kafka", "NATS": "nats"},
+    "observability": {"Grafana": "grafana", "Prometheus": "prometheus", "Loki": "loki"},
+    "auth": {"Keycloak": "keycloak", "Vault": "vault"},
+}
 #: Fields of which only the first technology of a manifest counts.
 FIRST_ONLY = {"npm": ("framework-fullstack", "framework-backend", "framework-frontend"), "python": ("framework-backend", "framework-frontend"), "go": ("framework-backend",)}
 
@@ -109,6 +159,47 @@ def stack(manifests: DataFrame) -> DataFrame:
     return both.where(~single).select("project", "field", "value").unionByName(first.select("project", "field", "value")).distinct()
 
 
+def _flat(rules: dict[str, dict[str, str]], pattern: str = "{}") -> list[tuple[str, str, str]]:
+    """Rules by field as ``(field, value, pattern)``; an empty one holds for every text."""
+    return [(field, value, pattern.format(p) if p else "") for field, values in rules.items() for value, p in values.items()]
+
+
+def _told(df: DataFrame, column: str, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``project, field, value, rank`` for each rule whose pattern ``column`` holds; none for null."""
+    hits = (F.when(F.col(column).rlike(p), F.struct(F.lit(f).alias("field"), F.lit(v).alias("value"), F.lit(r).alias("rank"))) for r, (f, v, p) in enumerate(rules))
+    return df.select("project", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("_t")).select("project", "_t.field", "_t.value", "_t.rank")
+
+
+def infrastructure(entries: DataFrame) -> DataFrame:
+    """``project, field, value`` by what lies at each project's root (``project, name, text``; of folders and unread files the text is null).
+
+    Builds of Java, Kotlin, Scala, Dart, .NET and Rust, container images, web servers, CI and infrastructure files.
+    Rows without a name tell nothing; repeated rows and other columns change nothing.
+    """
+    named = lambda pattern: entries.where(F.col("name").rlike(pattern))
+    java, rust, dart = named(r"^pom\.xml$|^build\.gradle(\.kts)?$"), named(r"^Cargo\.toml$"), named(r"^pubspec\.yaml$")
+    image = lambda df, pattern: df.select("project", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("i")).select("project", F.lower(F.regexp_replace("i", "[\"']", "")).alias("image"))
+    built = image(named(NAMED["container"]["Docker"]), r"(?m)^\s*FROM\s+(\S+)")
+    run = image(named(NAMED["container"]["Docker Compose"]), r"(?i)image:\s*(\S+)")
+    word, crate = r"(^|/)({})\b", r"(?m)^{}\s*="
+    single = [
+        _told(java, "text", JAVA_LADDER),
+        _told(rust, "text", [(f, v, crate.format(p)) for f, v, p in RUST_LADDER]),
+        _told(dart, "text", DART_LADDER),
+        _told(entries, "name", SCALA_LADDER),
+    ]
+    found = _told(entries, "name", _flat(NAMED))
+    for more in (
+        _told(java, "text", _flat(JAVA)),
+        _told(rust, "text", _flat(RUST, crate) + _flat(RUST_ANYWHERE)),
+        _told(built, "image", _flat({"webserver": IMAGES["webserver"]}, word)),
+        _told(run, "image", _flat(IMAGES, word)),
+        *(ladder.groupBy("project").agg(F.min_by(F.struct("field", "value"), "rank").alias("_t"), F.min("rank").alias("rank")).select("project", "_t.field", "_t.value", "rank") for ladder in single),
+    ):
+        found = found.unionByName(more)
+    return found.select("project", "field", "value").distinct()
+
+
 def by_popularity(rows: DataFrame) -> DataFrame:
     """``field, value, projects, rank``: technologies of a field by the count of projects that have them, then by name."""
     from pyspark.sql import Window

@@ -215,3 +215,18 @@ def test_limits_tell_once_what_the_watermark_has_passed(spark, tmp_path):
     assert sorted((r.user_id, r.ms) for r in jobs.latest(told, "user_id").collect()) == limited(forward, 1, 120_000)
     certain = [r.ms for r in told.where("certain").collect()]
     assert certain and len(certain) == len(set(certain))
+
+
+def test_infrastructure(spark):
+    rows = [
+        ("a", "build.gradle.kts", "spring-framework hibernate", 1), ("a", "pom.xml", "spring-boot-starter", 1), ("a", "pom.xml", "spring-boot-starter", 1), ("a", "App.csproj", None, 1),
+        ("b", "pubspec.yaml", "name: x\ndependencies:\n  flutter:\n    sdk: flutter", 1), ("b", "build.sbt", None, 1), ("b", "x.scala", "", 1), ("b", "Cargo.toml", "", 1),
+        ("c", "pubspec.yaml", "name: x", 1), ("c", "x.scala", None, 1), ("c", "Cargo.toml", None, 1), ("c", "Dockerfile.dev", None, 1), ("c", None, "FROM nginx", 1), ("c", "Chart.yaml", "", 1),
+    ]
+    df = spark.createDataFrame(rows, "project string, name string, text string, field int")
+    assert sorted(tuple(r) for r in stack.infrastructure(df).collect()) == [
+        ("a", "framework-backend", ".NET"), ("a", "framework-backend", "Kotlin"), ("a", "framework-backend", "Spring Boot"), ("a", "orm", "Hibernate"),
+        ("b", "framework-backend", "Rust"), ("b", "framework-backend", "Scala (sbt)"), ("b", "mobile", "Flutter"),
+        ("c", "container", "Docker"), ("c", "framework-backend", "Dart"), ("c", "framework-backend", "Scala"), ("c", "iac", "Helm"),
+    ]
+    assert stack.infrastructure(df.limit(0)).count() == 0
