@@ -164,40 +164,37 @@ def _flat(rules: dict[str, dict[str, str]], pattern: str = "{}") -> list[tuple[s
     return [(field, value, pattern.format(p) if p else "") for field, values in rules.items() for value, p in values.items()]
 
 
-def _told(df: DataFrame, column: str, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """``project, field, value, rank`` for each rule whose pattern ``column`` holds; none for null."""
-    hits = (F.when(F.col(column).rlike(p), F.struct(F.lit(f).alias("field"), F.lit(v).alias("value"), F.lit(r).alias("rank"))) for r, (f, v, p) in enumerate(rules))
-    return df.select("project", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("_t")).select("project", "_t.field", "_t.value", "_t.rank")
+def _told(holds, rules: list[tuple[str, str, str]], ladder: str | None = None) -> list:
+    """For each rule a struct where ``holds`` says so of its pattern, else null; the rules of a ladder share a group."""
+    row = lambda f, v, r: F.struct(F.lit(ladder or f"{f}/{v}").alias("group"), F.lit(r).alias("rank"), F.lit(f).alias("field"), F.lit(v).alias("value"))
+    return [F.when(holds(p), row(f, v, r)) for r, (f, v, p) in enumerate(rules)]
 
 
 def infrastructure(entries: DataFrame) -> DataFrame:
     """``project, field, value`` by what lies at each project's root (``project, name, text``; of folders and unread files the text is null).
 
     Builds of Java, Kotlin, Scala, Dart, .NET and Rust, container images, web servers, CI and infrastructure files.
-    Rows without a name tell nothing; repeated rows and other columns change nothing.
+    Rows without a name tell nothing; repeated rows and other columns change nothing. One pass and one aggregation.
     """
-    named = lambda pattern: entries.where(F.col("name").rlike(pattern))
-    java, rust, dart = named(r"^pom\.xml$|^build\.gradle(\.kts)?$"), named(r"^Cargo\.toml$"), named(r"^pubspec\.yaml$")
-    image = lambda df, pattern: df.select("project", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("i")).select("project", F.lower(F.regexp_replace("i", "[\"']", "")).alias("image"))
-    built = image(named(NAMED["container"]["Docker"]), r"(?m)^\s*FROM\s+(\S+)")
-    run = image(named(NAMED["container"]["Docker Compose"]), r"(?i)image:\s*(\S+)")
-    word, crate = r"(^|/)({})\b", r"(?m)^{}\s*="
-    single = [
-        _told(java, "text", JAVA_LADDER),
-        _told(rust, "text", [(f, v, crate.format(p)) for f, v, p in RUST_LADDER]),
-        _told(dart, "text", DART_LADDER),
-        _told(entries, "name", SCALA_LADDER),
+    name, word, crate = F.col("name"), r"(^|/)({})\b", r"(?m)^{}\s*="
+    text = lambda names: lambda p: name.rlike(names) & F.col("text").rlike(p)
+    images = lambda names, pattern: lambda p: name.rlike(names) & F.exists(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda i: F.lower(F.regexp_replace(i, "[\"']", "")).rlike(p))
+    java, rust, dart = text(r"^pom\.xml$|^build\.gradle(\.kts)?$"), text(r"^Cargo\.toml$"), text(r"^pubspec\.yaml$")
+    hits = [
+        *_told(name.rlike, _flat(NAMED)),
+        *_told(name.rlike, SCALA_LADDER, "scala"),
+        *_told(java, _flat(JAVA)),
+        *_told(java, JAVA_LADDER, "java"),
+        *_told(rust, _flat(RUST, crate) + _flat(RUST_ANYWHERE)),
+        *_told(rust, [(f, v, crate.format(p)) for f, v, p in RUST_LADDER], "rust"),
+        *_told(dart, DART_LADDER, "dart"),
+        *_told(images(NAMED["container"]["Docker"], r"(?m)^\s*FROM\s+(\S+)"), _flat({"webserver": IMAGES["webserver"]}, word)),
+        *_told(images(NAMED["container"]["Docker Compose"], r"(?i)image:\s*(\S+)"), _flat(IMAGES, word)),
     ]
-    found = _told(entries, "name", _flat(NAMED))
-    for more in (
-        _told(java, "text", _flat(JAVA)),
-        _told(rust, "text", _flat(RUST, crate) + _flat(RUST_ANYWHERE)),
-        _told(built, "image", _flat({"webserver": IMAGES["webserver"]}, word)),
-        _told(run, "image", _flat(IMAGES, word)),
-        *(ladder.groupBy("project").agg(F.min_by(F.struct("field", "value"), "rank").alias("_t"), F.min("rank").alias("rank")).select("project", "_t.field", "_t.value", "rank") for ladder in single),
-    ):
-        found = found.unionByName(more)
-    return found.select("project", "field", "value").distinct()
+    found = entries.select("project", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("_t"))
+    first = found.groupBy("project", "_t.group").agg(F.min("_t").alias("_t"))
+    # A technology that two groups tell of (a build and an image) counts once.
+    return first.select("project", "_t.field", "_t.value").distinct()
 
 
 def by_popularity(rows: DataFrame) -> DataFrame:
