@@ -200,8 +200,13 @@ def range_join(vectors: DataFrame, key: str, vector: str, label: str, least: flo
     )
     finite = F.forall("_v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("_v", lambda e: e != 0)
     good = F.coalesce(F.col("_label").isNotNull() & F.col("_v").isNotNull() & finite, F.lit(False))
-    named = named.withColumn("_id", F.when(good, F.xxhash64("_label", F.size("_v"), "_v")))
-    classes = named.where("_id is not null").groupBy("_id").agg(F.count("*").alias("times"), F.min("_key").alias("first"), F.first("_label").alias("label"), F.first("_v").alias("v"))
+    # Two hashes name a class; of n vectors about n * n / 2**65 share the first, a handful at 10**10, which then go by the second.
+    named = named.withColumn("_id", F.when(good, F.xxhash64("_label", F.size("_v"), "_v"))).withColumn("_two", F.when(good, F.xxhash64(F.lit("again"), F.reverse("_v"), "_label")))
+    classes = cut(named.where("_id is not null").groupBy("_id", "_two").agg(F.count("*").alias("times"), F.min("_key").alias("first"), F.first("_label").alias("label"), F.first("_v").alias("v")))
+    clashing = [r._id for r in classes.groupBy("_id").count().where("count > 1").select("_id").collect()]
+    if clashing:
+        name = F.when(F.col("_id").isin(clashing), F.col("_two")).otherwise(F.col("_id"))
+        named, classes = named.withColumn("_id", name), classes.withColumn("_id", name)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

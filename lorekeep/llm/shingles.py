@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
-_BASE = 0x9E6C63D0876A9A4B | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes of text that are hashed together; a longer text is hashed alone.
+_BASE = np.uint64(0x9E6C63D0876A9A4B)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Powers that are kept ready.
 CHUNK = 2 << 20
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -30,61 +30,53 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Sums of bytes times powers, so that any substring's hash is a difference times an inverse power."""
+    """Sums of bytes times powers, so that any substring's hash is a difference times an inverse power.
+
+    Modulo 2**64 such sums meet on patterns that can be planned: they may choose where to look, never decide what is equal.
+    """
     up, _ = powers(len(raw))
     out = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=out[1:])
     return out
 
 
-def substring_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Mixed hashes of the substrings from ``start`` to before ``stop``."""
-    _, down = powers(len(sums))
-    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+class WordHashes(dict):
+    """64-bit BLAKE2b hashes of words (bytes or text); short words are remembered, up to a bound."""
+
+    MOST, LENGTH = 1 << 19, 64
 
+    def __missing__(self, word: bytes | str) -> int:
+        raw = word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")
+        value = int.from_bytes(blake2b(raw, digest_size=8).digest(), "little")
+        if len(word) <= self.LENGTH:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = value
+        return value
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    at, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        if held and size + len(t) > CHUNK:
-            yield at, held
-            at, held, size = i, [], 0
-        held.append(t)
-        size += len(t) + 1
-    if held:
-        yield at, held
+    def of(self, words: list[bytes] | list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def chained(word: np.ndarray, words: int, size: int) -> np.ndarray:
+    """Hashes of all runs of ``words`` word hashes; a run's length (``size``) is part of its hash."""
+    n = len(word) - words + 1
+    out = mix(np.full(n, size + 1, np.uint64) * _BASE)
+    for k in range(words):
+        out = mix(out * _BASE + np.uint64(1) ^ word[k : k + n])
+    return out
 
 
 def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
     """Of each text the ascending distinct hashes of its ``words``-word shingles.
 
     A-Z are lower-cased; words are runs of other bytes than 9-13 and 32. A text of fewer words is
-    one shingle, its whole sequence; one without words has an empty set. No text is cut.
+    one shingle, its whole sequence; one without words has an empty set. No text is cut. Words are
+    named by BLAKE2b and chained without a linear form, so that no pattern of texts makes hashes meet.
     """
-    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    out: list[np.ndarray] = []
-    spread = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) | 1) for k in range(words)]
-    for _, held in _chunks(raws):
-        raw = np.frombuffer(b" " + b" ".join(held) + b" ", np.uint8)
-        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
-        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-        turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        start, stop = turns[0::2], turns[1::2]
-        sums = prefix_hash(raw)
-        word = substring_hash(sums, start, stop)
-        ends = np.cumsum([len(t) + 1 for t in held])
-        bounds = np.concatenate([[0], np.searchsorted(start, ends, "right")])
-        if len(word) >= words:
-            rolled = word[: len(word) - words + 1] * spread[0]
-            for k in range(1, words):
-                rolled = rolled + word[k : len(word) - words + 1 + k] * spread[k]
-            rolled = mix(rolled)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a >= words:
-                out.append(np.unique(rolled[a : b - words + 1]))
-            elif b > a:
-                few = sum(int(w) * int(s) for w, s in zip(word[a:b], spread, strict=False)) + b - a
-                out.append(mix(np.array([few % 2**64], np.uint64)))
-            else:
-                out.append(np.zeros(0, np.uint64))
+    known, out = WordHashes(), []
+    for t in texts:
+        word = known.of((t or "").encode("utf-8", "surrogatepass").lower().split())
+        n = len(word)
+        out.append(np.unique(chained(word, min(n, words), min(n, words))) if n else np.zeros(0, np.uint64))
     return out

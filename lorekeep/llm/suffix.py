@@ -19,14 +19,15 @@ Other columns are passed through.
 With ``words`` the same is done over words instead of bytes: a word's symbol is the hash of its letters,
 and the strings are of that many words, however few bytes they have and whatever white space parts them.
 
-Texts are named by 64 bits of hash; names that two different texts share (a second hash tells) are
-replaced. Contexts are equal if 128 bits of hashes are.
+Texts are named by 64 bits of hash; names that two different texts share (their SHA-256 tells) are
+replaced. Contexts are equal if 128 bits of their BLAKE2b are; the anchors' own hashes only choose places.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, cut, hits, scratch_table, shuffle_width, small_batches
-from .shingles import mix, powers, prefix_hash, substring_hash
+from .shingles import WordHashes, mix, powers, prefix_hash
 
 #: Bytes of a repeat; bytes of an anchor.
 LENGTH, GRAM = 400, 32
@@ -76,15 +77,15 @@ def _codes(text: str) -> np.ndarray:
 def word_symbols(texts: list[str]) -> list[np.ndarray]:
     """The hashes of the words of each text."""
     out: list[np.ndarray] = []
-    at = 0
+    known, at = WordHashes(), 0
     while at < len(texts):
         size, held = 0, at
         while held < len(texts) and (held == at or size + len(texts[held]) < 1 << 20):
             size += len(texts[held]) + 1
             held += 1
-        codes = _codes("\n".join(texts[at:held]))
-        start, stop = word_marks(codes)
-        word = substring_hash(prefix_hash(codes), start, stop) if len(start) else np.zeros(0, np.uint64)
+        joined = "\n".join(texts[at:held])
+        start, stop = word_marks(_codes(joined))
+        word = known.of([joined[a:z] for a, z in zip(start.tolist(), stop.tolist(), strict=True)])
         ends = np.cumsum([len(t) + 1 for t in texts[at:held]])
         bounds = [0, *np.searchsorted(start, ends).tolist()]
         out += [word[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
@@ -161,7 +162,7 @@ def suffix_array(s: Sequence[int]) -> list[int]:
 
 
 def anchors(texts: list[np.ndarray], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of texts (as symbols) of ``length`` and more: (index, places, anchor hashes, context hashes, symbols before, symbols from the place on)."""
+    """Of texts (as symbols) of ``length`` and more: (index, places, anchor hashes, pairs of context hashes, symbols before, symbols from the place on)."""
     at, size, held = 0, 0, []
     for i, t in enumerate(texts):
         if held and size + len(t) > 2 << 20:
@@ -195,7 +196,10 @@ def _anchors(first: int, texts: list[np.ndarray], length: int, gram: int) -> Ite
         turns = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         # the strings that hold p as their anchor start from lo on, and the last of them ends at hi
         p, lo, hi = own[turns], begin + turns, begin + np.append(turns[1:], len(own)) - 1 + length
-        context = mix(((sums[hi] - sums[lo]) * down[lo]) ^ mix(((hi - lo) << 20 | (p - lo)).astype(np.uint64)))
+        # what decides over equality is a hash that no pattern of texts makes meet
+        view, width = memoryview(raw[begin:end].tobytes()), raw.itemsize
+        told = b"".join(blake2b(view[a:z], digest_size=16).digest() for a, z in zip(((lo - begin) * width).tolist(), ((hi - begin) * width).tolist(), strict=True))
+        context = np.frombuffer(told, np.uint64).reshape(-1, 2)
         yield first + i, p - begin, grams[p].astype(np.int64), context.astype(np.int64), p - lo, hi - p
 
 
@@ -314,19 +318,19 @@ def _symbols(batch: pa.RecordBatch, done: set[int], words: bool) -> tuple[list[i
 
 
 def _anchor_rows(docs: DataFrame, length: int, words: bool) -> DataFrame:
-    """``anchor, context, id, place, before, after`` of every distinct text of a task."""
+    """``anchor, context, check, id, place, before, after`` of every distinct text of a task; an equal context is one of equal ``context`` and ``check``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
             ids, texts = _symbols(b, done, words)
-            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+            columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(7)]
             for i, place, anchor, context, before, after in anchors(texts, length, GRAM_WORDS if words else GRAM):
-                for c, v in zip(columns, (anchor, context, np.full(len(place), ids[i]), place, before, after), strict=True):
+                for c, v in zip(columns, (anchor, context[:, 0], context[:, 1], np.full(len(place), ids[i]), place, before, after), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["anchor", "context", "id", "place", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], ["anchor", "context", "check", "id", "place", "before", "after"])
 
-    return docs.select("id", "text").mapInArrow(run, "anchor long, context long, id long, place long, before long, after long")
+    return docs.select("id", "text").mapInArrow(run, "anchor long, context long, check long, id long, place long, before long, after long")
 
 
 def _name(anchor: np.ndarray, context: np.ndarray, i: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +361,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, words: bool) -> D
             ids, texts = _symbols(b, done, words)
             names, bodies = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]], []
             for i, place, anchor, context, before, after in anchors(texts, length, GRAM_WORDS if words else GRAM):
-                both = _name(anchor, context, np.full(len(place), ids[i]), place)
+                both = _name(anchor, context[:, 0], np.full(len(place), ids[i]), place)
                 at = np.flatnonzero(hits(shared.value, both[0]))
                 for held, name in zip(names, both, strict=True):
                     held.append(name[at])
@@ -401,11 +405,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataF
     found, release = scratch_table(_anchor_rows(docs, length, words))
     # Pre-aggregated where they are found, so an anchor or a context of a third of all texts is a row a task.
     where = F.xxhash64("id", "place")
-    contexts = found.groupBy("anchor", "context").agg(*(F.first(c).alias(c) for c in ("id", "place", "before", "after")), (F.min(where) != F.max(where)).alias("twice"))
+    contexts = found.groupBy("anchor", "context", "check").agg(*(F.first(c).alias(c) for c in ("id", "place", "before", "after")), (F.min(where) != F.max(where)).alias("twice"))
     several = contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     live = cut(contexts.join(several, "anchor", "left").where("twice or n is not null"))
     # Equal contexts at two places: all of their strings are repeats, wherever they stand.
-    equal = found.join(live.where("twice").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    equal = found.join(live.where("twice").select("anchor", "context", "check"), ["anchor", "context", "check"], "left_semi")
     equal = equal.select("id", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop"))
     wanted = _contexts(docs, cut(_names(live.where("n is not null").select("anchor", "context", "id", "place", "before", "twice", "n"))), length, words)
     # An anchor with very many contexts is sorted pair of pieces by pair of pieces.
@@ -426,7 +430,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataF
 def _named(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``_id``, the name of the text, which no other text has; and ``id, copies, n`` (bytes) of the names."""
     body = F.coalesce(F.col(text), F.lit(""))
-    one, two = F.xxhash64(body, F.octet_length(body)), F.xxhash64(F.lit("again"), body)
+    one, two = F.xxhash64(body, F.octet_length(body)), F.conv(F.substring(F.sha2(body.cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
     def counted(rows: DataFrame) -> DataFrame:
         return cut(rows.select(F.col("_id").alias("id"), two.alias("two"), F.octet_length(body).alias("n")).groupBy("id").agg(F.count("*").alias("copies"), F.first("n").alias("n"), (F.min("two") != F.max("two")).alias("clash")))

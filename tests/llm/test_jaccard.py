@@ -115,3 +115,21 @@ def test_a_block_with_one_sided_candidates_is_opened():
     pairs, more = jaccard.block_pairs(OneSided(), None)
     assert more or {(0, 1), (1, 2)} <= {tuple(sorted(p)) for p in pairs}
     assert (1, 2) in jaccard.block_pairs(OneSided(), np.array([0, 0, 2]))[0]
+
+
+def thue_morse(n, x, y):
+    return "".join((x, y)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_patterns_of_words_do_not_link(spark):
+    """Words over blocks of 1 to 16 letters, on which polynomials modulo a power of two meet for any odd base."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(1, 17):
+        x, y = ("".join(rng.choice("abcdefgh") for _ in range(k)) for _ in range(2))
+        texts += [thue_morse(1024, x, y), thue_morse(1024, y, x), thue_morse(2048, x, y), thue_morse(2048, y, x)]
+    # the same over words instead of letters
+    texts += [" ".join(thue_morse(1024, "a", "b")), " ".join(thue_morse(1024, "c", "d"))]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert all(r.component_id == r.id for r in jaccard.jaccard_components(df, "id", "text").collect())

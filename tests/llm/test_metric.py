@@ -90,3 +90,12 @@ def test_components_of_chains_stars_and_loops(spark):
     for a, b in edges:
         up[max(root(a), root(b))] = min(root(a), root(b))
     assert got == {x: root(x) for x in up}
+
+
+def test_names_that_clash_are_replaced(spark, monkeypatch):
+    rows = rows_of(5, 60, 0.02)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted(map(str, (tuple(r) for r in metric.range_join(df, "vec_id", "embedding", "label", 0.98).collect())))
+    real = metric.F.xxhash64
+    monkeypatch.setattr(metric.F, "xxhash64", lambda *c: metric.F.lit(7).cast("long") if isinstance(c[0], str) and c[0] == "_label" else real(*c))
+    assert sorted(map(str, (tuple(r) for r in metric.range_join(df, "vec_id", "embedding", "label", 0.98).collect()))) == want

@@ -137,3 +137,19 @@ def test_words_of_unparted_scripts_and_long_runs(spark):
     texts = ["甲" + letters + "乙", "丙丁" + letters, f"one {blob} two", f"three {blob} four"]
     got = {r.id: r.text for r in suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), in_place=True, words=51).collect()}
     assert got == {0: "甲乙", 1: "丙丁", 2: "one two", 3: "three four"}
+
+
+def test_patterns_of_bytes_are_no_repeats(spark):
+    """Thue-Morse words over blocks of 1 to 16 letters before a common end: polynomials modulo a power of two take them for equal."""
+    rng = random.Random(9)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    pairs = [(letters(k, "abcdefgh"), letters(k, "abcdefgh")) for k in range(1, 17)]
+    pairs.append(("vovtydfg", "kzipzmbh"))  # their sums agree in the low 29 bits
+    texts = []
+    for x, y in pairs:
+        turns = [bin(i).count("1") & 1 for i in range(max(32, -(-256 // len(x))))]
+        tail = letters(200, "klmnopqrst")
+        texts += ["".join((x, y)[t] for t in turns)[:256] + tail, "".join((y, x)[t] for t in turns)[:256] + tail]
+    got = {r.id: r for r in suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    assert [(len(texts[i]), len(texts[i]) - len(got[i].kept), len(got[i].spans), hashlib.sha256(bytes(got[i].kept)).hexdigest()) for i in range(len(texts))] == brute(texts, 400)
+    assert len(got[32].kept) == len(got[33].kept) == 456
