@@ -159,6 +159,29 @@ def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    out = whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op12_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import document_fingerprints
+
+    return document_fingerprints(documents(spark, sf_dir), "doc_id", "text")
+
+
+@query
+def op13_elkan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress
+
+    out = compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", "label")
+    return out.select("vec_id", "code", *(F.col(c).try_cast("long").alias(c) for c in ("error", "label_error")), "codebooks_sha256")
+
+
 # SQL twins where SQL can express the whole result (op3 needs CRC-32, the others hashes of ids, samples or models).
 ORACLE_SQL["op7_metric_range_join"] = """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

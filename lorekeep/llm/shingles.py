@@ -44,6 +44,8 @@ class WordHashes(dict):
     """64-bit BLAKE2b hashes of words (bytes or text); short words are remembered, up to a bound."""
 
     MOST, LENGTH = 1 << 19, 64
+    #: Has a longer word than LENGTH been seen?
+    long = False
 
     def __missing__(self, word: bytes | str) -> int:
         raw = word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass")
@@ -52,6 +54,8 @@ class WordHashes(dict):
             if len(self) >= self.MOST:
                 self.clear()
             self[word] = value
+        else:
+            self.long = True
         return value
 
     def of(self, words: list[bytes] | list[str]) -> np.ndarray:

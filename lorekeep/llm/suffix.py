@@ -46,7 +46,7 @@ PIECE = 4096
 MOST_SYMBOLS = 300_000
 #: Words of an anchor; bytes of a word's hash. Runs without white space are words, but in scripts that do not part words
 #: every letter is one, and a run of more than LONG letters stands for a word every WIDTH letters.
-GRAM_WORDS, WIDTH, LONG = 4, 8, 64
+GRAM_WORDS, WIDTH, LONG = 4, 8, WordHashes.LENGTH
 #: The code points of white space, and ranges of the scripts that do not part words.
 SPACES = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 UNPARTED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
@@ -76,20 +76,17 @@ def _codes(text: str) -> np.ndarray:
 
 def word_symbols(texts: list[str]) -> list[np.ndarray]:
     """The hashes of the words of each text."""
-    out: list[np.ndarray] = []
-    known, at = WordHashes(), 0
-    while at < len(texts):
-        size, held = 0, at
-        while held < len(texts) and (held == at or size + len(texts[held]) < 1 << 20):
-            size += len(texts[held]) + 1
-            held += 1
-        joined = "\n".join(texts[at:held])
-        start, stop = word_marks(_codes(joined))
-        word = known.of([joined[a:z] for a, z in zip(start.tolist(), stop.tolist(), strict=True)])
-        ends = np.cumsum([len(t) + 1 for t in texts[at:held]])
-        bounds = [0, *np.searchsorted(start, ends).tolist()]
-        out += [word[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
-        at = held
+    known, out = WordHashes(), []
+    for text in texts:
+        known.long = False
+        codes = None if text.isascii() else _codes(text)
+        if codes is None or int(codes.max()) < UNPARTED[0][0]:
+            out.append(known.of(text.split()))  # parted by SPACES
+            if not known.long:
+                continue
+            out.pop()
+        start, stop = word_marks(_codes(text) if codes is None else codes)
+        out.append(known.of([text[a:z] for a, z in zip(start.tolist(), stop.tolist(), strict=True)]))
     return out
 
 
@@ -161,20 +158,20 @@ def suffix_array(s: Sequence[int]) -> list[int]:
     return out
 
 
-def anchors(texts: list[np.ndarray], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of texts (as symbols) of ``length`` and more: (index, places, anchor hashes, pairs of context hashes, symbols before, symbols from the place on)."""
+def anchors(texts: list[np.ndarray], length: int, gram: int, named: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts (as symbols) of ``length`` and more: (index, places, anchor hashes, pairs of context hashes (``named``), symbols before, symbols from the place on)."""
     at, size, held = 0, 0, []
     for i, t in enumerate(texts):
         if held and size + len(t) > 2 << 20:
-            yield from _anchors(at, held, length, gram)
+            yield from _anchors(at, held, length, gram, named)
             at, size, held = i, 0, []
         held.append(t)
         size += len(t)
     if held:
-        yield from _anchors(at, held, length, gram)
+        yield from _anchors(at, held, length, gram, named)
 
 
-def _anchors(first: int, texts: list[np.ndarray], length: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _anchors(first: int, texts: list[np.ndarray], length: int, gram: int, named: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     raw = np.concatenate(texts)
     n = len(raw)
     if n < length:
@@ -196,11 +193,12 @@ def _anchors(first: int, texts: list[np.ndarray], length: int, gram: int) -> Ite
         turns = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         # the strings that hold p as their anchor start from lo on, and the last of them ends at hi
         p, lo, hi = own[turns], begin + turns, begin + np.append(turns[1:], len(own)) - 1 + length
-        # what decides over equality is a hash that no pattern of texts makes meet
-        view, width = memoryview(raw[begin:end].tobytes()), raw.itemsize
-        told = b"".join(blake2b(view[a:z], digest_size=16).digest() for a, z in zip(((lo - begin) * width).tolist(), ((hi - begin) * width).tolist(), strict=True))
-        context = np.frombuffer(told, np.uint64).reshape(-1, 2)
-        yield first + i, p - begin, grams[p].astype(np.int64), context.astype(np.int64), p - lo, hi - p
+        context = np.zeros((0, 2), np.int64)
+        if named:  # what decides over equality is a hash that no pattern of texts makes meet
+            view, width = memoryview(raw[begin:end].tobytes()), raw.itemsize
+            told = b"".join([blake2b(view[a:z], digest_size=16).digest() for a, z in zip(((lo - begin) * width).tolist(), ((hi - begin) * width).tolist(), strict=True)])
+            context = np.frombuffer(told, np.int64).reshape(-1, 2)
+        yield first + i, p - begin, grams[p].astype(np.int64), context, p - lo, hi - p
 
 
 def _shared(parts: list[bytes]) -> tuple[list[int], list[int]]:
@@ -333,10 +331,11 @@ def _anchor_rows(docs: DataFrame, length: int, words: bool) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "anchor long, context long, check long, id long, place long, before long, after long")
 
 
-def _name(anchor: np.ndarray, context: np.ndarray, i: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of an anchor's context and the place where it stands."""
-    anchor, context, i, place = (x.astype(np.uint64) for x in (anchor, context, i, place))
-    return (mix(anchor) ^ context ^ mix(i + place)).astype(np.int64), mix(mix(mix(mix(i) + place) + anchor) + context).astype(np.int64)
+def _name(i: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of a place in a text."""
+    i, place = (x.astype(np.uint64) for x in (i, place))
+    one = mix(mix(i) + place)
+    return one.astype(np.int64), mix(one ^ i).astype(np.int64)
 
 
 def _names(rows: DataFrame) -> DataFrame:
@@ -345,7 +344,7 @@ def _names(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = _name(*(b.column(c).to_numpy() for c in ("anchor", "context", "id", "place")))
+            names = _name(*(b.column(c).to_numpy() for c in ("id", "place")))
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, names)], [*b.schema.names, "name", "name2"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("name", LongType()), StructField("name2", LongType())]))
@@ -360,8 +359,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int, words: bool) -> D
         for b in batches:
             ids, texts = _symbols(b, done, words)
             names, bodies = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]], []
-            for i, place, anchor, context, before, after in anchors(texts, length, GRAM_WORDS if words else GRAM):
-                both = _name(anchor, context[:, 0], np.full(len(place), ids[i]), place)
+            for i, place, _, _, before, after in anchors(texts, length, GRAM_WORDS if words else GRAM, False):
+                both = _name(np.full(len(place), ids[i]), place)
                 at = np.flatnonzero(hits(shared.value, both[0]))
                 for held, name in zip(names, both, strict=True):
                     held.append(name[at])
