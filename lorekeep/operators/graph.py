@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chains import chains
 from .ordered import shared_folder
 
 # Events that never make a session, and those that do by their day.
@@ -75,13 +76,7 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def longest_chains(edges: DataFrame, roots: DataFrame, depth: int = 6) -> DataFrame:
     """Per root the length of the longest simple path of at most ``depth`` edges."""
-    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_dst")).distinct()
-    now = roots.select(F.col("node").alias("root"), "node", F.array("node").alias("path"), F.lit(0).alias("depth"))
-    found = now
-    for _ in range(depth):
-        now = now.join(links, "node").where(~F.array_contains("path", F.col("_dst"))).select("root", F.col("_dst").alias("node"), F.concat("path", F.array("_dst")).alias("path"), (F.col("depth") + 1).alias("depth"))
-        found = found.unionByName(now)
-    return found.groupBy("root").agg(F.max("depth").alias("depth"))
+    return chains(edges, roots, depth).select("root", "depth")
 
 
 def first_parents(commits: DataFrame, head: str, limit: int = 500) -> DataFrame:
