@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
+from secrets import randbits
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bit_filter, cut, hits, shuffle_width, small_batches
 from .graph import components
-from .shingles import mix, shingle_sets
+from .shingles import KEY, mix, shingle_sets
 
 #: Percent of similarity from which two sets link.
 PERCENT = 75
@@ -173,13 +174,13 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(change), len(change))
 
 
-def describe(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray, frozenset[int]]:
+def describe(docs: DataFrame, key: str, text: str, secret: int = KEY) -> tuple[DataFrame, np.ndarray, frozenset[int]]:
     """Per row: key, ``n``, ``id`` and ``point`` of its set (null if empty); the corpus' most frequent shingles, ascending; hashes that sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist())
+            sets = shingle_sets(b.column(1).to_pylist(), key=secret)
             both = [set_ids(s) if len(s) else (None, None) for s in sets]
             ids = [i for i, _ in both]
             n = len(sets)
@@ -260,7 +261,7 @@ def together(k: np.ndarray, n: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, n
     return a[first], b[first], np.add.reduceat(w, first)
 
 
-def blocks(docs: DataFrame, text: str, frequent: np.ndarray, clashing: frozenset[int] = frozenset()) -> DataFrame:
+def blocks(docs: DataFrame, text: str, frequent: np.ndarray, clashing: frozenset[int] = frozenset(), secret: int = KEY) -> DataFrame:
     """``block, id``: sets that may be similar, by the members that they share at the head of the order.
 
     A member that few sets share gives pairs, which count: a pair that shares no member of many
@@ -274,7 +275,7 @@ def blocks(docs: DataFrame, text: str, frequent: np.ndarray, clashing: frozenset
         done: set[int] = set()
         ks, ns, ids, size = [], [], [], 0
         for b in batches:
-            for s in shingle_sets(b.column(0).to_pylist()):
+            for s in shingle_sets(b.column(0).to_pylist(), key=secret):
                 if not len(s) or (name := set_id(set_ids(s), clashing)) in done:
                     continue
                 done.add(name)
@@ -324,7 +325,7 @@ def blocks(docs: DataFrame, text: str, frequent: np.ndarray, clashing: frozenset
     return few.unionByName(met.where("w = 0").select(F.col("a").alias("block"), F.col("b").alias("id"))).distinct()
 
 
-def live_sets(docs: DataFrame, text: str, ids: DataFrame, clashing: frozenset[int] = frozenset()) -> DataFrame:
+def live_sets(docs: DataFrame, text: str, ids: DataFrame, clashing: frozenset[int] = frozenset(), secret: int = KEY) -> DataFrame:
     """``id, members`` of the sets named in ``ids``: one text pass and a join on the survivors of a bit filter."""
 
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ids, "id"))
@@ -333,7 +334,7 @@ def live_sets(docs: DataFrame, text: str, ids: DataFrame, clashing: frozenset[in
         done: set[int] = set()
         for b in batches:
             rows = []
-            for s in shingle_sets(b.column(0).to_pylist()):
+            for s in shingle_sets(b.column(0).to_pylist(), key=secret):
                 if not len(s) or (name := set_id(set_ids(s), clashing)) in done:
                     continue
                 done.add(name)
@@ -403,8 +404,9 @@ def jaccard_components(docs: DataFrame, key: str, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
     docs, named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), key
     key, text = "_key", "_text"
-    rows, frequent, clashing = describe(docs, key, text)
-    parts = cut(blocks(docs, text, frequent, clashing))
+    secret = randbits(63)  # words are hashed under a key that no text can be made for
+    rows, frequent, clashing = describe(docs, key, text, secret)
+    parts = cut(blocks(docs, text, frequent, clashing, secret))
     # A large block is compared piece against piece; each row goes to the pairs that its piece is in.
     pieces = parts.groupBy("block").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
     spread = parts.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -414,7 +416,7 @@ def jaccard_components(docs: DataFrame, key: str, text: str) -> DataFrame:
     pairs = lambda found: found.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     tried = cut(pairs(first))
     # Whatever may match anything in a block is in one of the first pairs, so these sets serve both rounds.
-    sets = cut(live_sets(docs, text, tried.select(F.explode(F.array("u", "v")).alias("id")).distinct(), clashing))
+    sets = cut(live_sets(docs, text, tried.select(F.explode(F.array("u", "v")).alias("id")).distinct(), clashing, secret))
     links = cut(verified(tried, sets))
     roots = cut(components(links))
     # Blocks with members of several components, and more pairs than were tried.

@@ -29,6 +29,7 @@ from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 from itertools import combinations
+from secrets import randbits
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bit_filter, cut, hits, scratch_table, shuffle_width, small_batches
-from .shingles import WordHashes, mix, powers, prefix_hash
+from .shingles import KEY, mix, powers, prefix_hash, word_hashes
 
 #: Bytes of a repeat; bytes of an anchor.
 LENGTH, GRAM = 400, 32
@@ -46,7 +47,7 @@ PIECE = 4096
 MOST_SYMBOLS = 300_000
 #: Words of an anchor; bytes of a word's hash. Runs without white space are words, but in scripts that do not part words
 #: every letter is one, and a run of more than LONG letters stands for a word every WIDTH letters.
-GRAM_WORDS, WIDTH, LONG = 4, 8, WordHashes.LENGTH
+GRAM_WORDS, WIDTH, LONG = 4, 8, 64
 #: The code points of white space, and ranges of the scripts that do not part words.
 SPACES = (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 UNPARTED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
@@ -54,8 +55,8 @@ _SPACE = np.isin(np.arange(0x3002), SPACES)
 
 
 def word_marks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a text given as code points."""
-    kind = np.where(_SPACE[np.minimum(codes, 0x3001)], 0, 1).astype(np.int8)
+    """Starts and ends of the words of a text given as code points (as bytes if all are below 256)."""
+    kind = np.where(_SPACE[codes if codes.dtype == np.uint8 else np.minimum(codes, 0x3001)], 0, 1).astype(np.int8)
     if len(codes) and int(codes.max()) >= UNPARTED[0][0]:
         for lo, hi in UNPARTED:
             kind[(codes >= lo) & (codes <= hi) & (kind == 1)] = 2
@@ -74,19 +75,27 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def word_symbols(texts: list[str]) -> list[np.ndarray]:
+def word_symbols(texts: list[str], key: int = KEY) -> list[np.ndarray]:
     """The hashes of the words of each text."""
-    known, out = WordHashes(), []
-    for text in texts:
-        known.long = False
-        codes = None if text.isascii() else _codes(text)
-        if codes is None or int(codes.max()) < UNPARTED[0][0]:
-            out.append(known.of(text.split()))  # parted by SPACES
-            if not known.long:
-                continue
-            out.pop()
-        start, stop = word_marks(_codes(text) if codes is None else codes)
-        out.append(known.of([text[a:z] for a, z in zip(start.tolist(), stop.tolist(), strict=True)]))
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        size, held = 0, at
+        while held < len(texts) and (held == at or size + len(texts[held]) < 1 << 20):
+            size += len(texts[held]) + 1
+            held += 1
+        joined = "\n".join(texts[at:held])
+        raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        codes = raw if joined.isascii() else _codes(joined)
+        start, stop = word_marks(codes)
+        ends = np.cumsum([len(t) + 1 for t in texts[at:held]])
+        bounds = [0, *np.searchsorted(start, ends).tolist()]
+        if codes is not raw:  # places of letters as places of bytes
+            place = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+            start, stop = place[start], place[stop]
+        word = word_hashes(raw, start, stop, key)
+        out += [word[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
+        at = held
     return out
 
 
@@ -306,22 +315,22 @@ def _by_parts(before: list[int], texts: list[bytes], decided: list[bool], length
     return spans
 
 
-def _symbols(batch: pa.RecordBatch, done: set[int], words: bool) -> tuple[list[int], list[np.ndarray]]:
+def _symbols(batch: pa.RecordBatch, done: set[int], words: bool, key: int) -> tuple[list[int], list[np.ndarray]]:
     """Ids and texts of a batch as bytes or words; texts that this task has seen are empty."""
     ids, texts = batch.column("id").to_pylist(), []
     for i, t in zip(ids, batch.column("text").to_pylist(), strict=True):
         texts.append("" if i in done or not t else t)
         done.add(i)
-    return ids, word_symbols(texts) if words else [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
+    return ids, word_symbols(texts, key) if words else [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t in texts]
 
 
-def _anchor_rows(docs: DataFrame, length: int, words: bool) -> DataFrame:
+def _anchor_rows(docs: DataFrame, length: int, words: bool, key: int) -> DataFrame:
     """``anchor, context, check, id, place, before, after`` of every distinct text of a task; an equal context is one of equal ``context`` and ``check``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            ids, texts = _symbols(b, done, words)
+            ids, texts = _symbols(b, done, words, key)
             columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(7)]
             for i, place, anchor, context, before, after in anchors(texts, length, GRAM_WORDS if words else GRAM):
                 for c, v in zip(columns, (anchor, context[:, 0], context[:, 1], np.full(len(place), ids[i]), place, before, after), strict=True):
@@ -350,14 +359,14 @@ def _names(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("name", LongType()), StructField("name2", LongType())]))
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int, words: bool) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, length: int, words: bool, key: int) -> DataFrame:
     """``wanted`` with ``body``, its contexts' bytes: one text pass, a bit filter and a join by name."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, "name"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
-            ids, texts = _symbols(b, done, words)
+            ids, texts = _symbols(b, done, words, key)
             names, bodies = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]], []
             for i, place, _, _, before, after in anchors(texts, length, GRAM_WORDS if words else GRAM, False):
                 both = _name(np.full(len(place), ids[i]), place)
@@ -401,7 +410,8 @@ def _sorted_spans(rows: DataFrame, length: int, width: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
     """``id, spans`` (array of start, stop; maximal and ascending) of every text that loses bytes (or words, with ``words``); ``docs`` has ``id, text``."""
-    found, release = scratch_table(_anchor_rows(docs, length, words))
+    key = randbits(63)  # words are hashed under a key that no text can be made for
+    found, release = scratch_table(_anchor_rows(docs, length, words, key))
     # Pre-aggregated where they are found, so an anchor or a context of a third of all texts is a row a task.
     where = F.xxhash64("id", "place")
     contexts = found.groupBy("anchor", "context", "check").agg(*(F.first(c).alias(c) for c in ("id", "place", "before", "after")), (F.min(where) != F.max(where)).alias("twice"))
@@ -410,7 +420,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, words: bool = False) -> DataF
     # Equal contexts at two places: all of their strings are repeats, wherever they stand.
     equal = found.join(live.where("twice").select("anchor", "context", "check"), ["anchor", "context", "check"], "left_semi")
     equal = equal.select("id", (F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("stop"))
-    wanted = _contexts(docs, cut(_names(live.where("n is not null").select("anchor", "context", "id", "place", "before", "twice", "n"))), length, words)
+    wanted = _contexts(docs, cut(_names(live.where("n is not null").select("anchor", "context", "id", "place", "before", "twice", "n"))), length, words, key)
     # An anchor with very many contexts is sorted pair of pieces by pair of pieces.
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
     wanted = wanted.withColumn("own", F.pmod(F.xxhash64("context"), pieces).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
