@@ -90,8 +90,8 @@ def grounding(evidence: DataFrame, transcripts: DataFrame, window: int = 30, str
             held.setdefault(r.needle, []).append(r.item_id)
         return _grounded_here(texts, held, evidence.schema["item_id"], transcripts.schema["doc_id"])
     gram = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - window + 1, F.lit(1))), lambda i: F.xxhash64(F.substring("t", i, F.lit(window))))
-    keys = needles.where(F.length("needle") == window).select("item_id", F.xxhash64("needle").alias("h")).distinct()
-    hits = texts.select("doc_id", F.explode(F.array_distinct(gram)).alias("h")).join(keys, "h").select("item_id", "doc_id")
+    keys = needles.where(F.length("needle") == window).select("item_id", "needle", F.xxhash64("needle").alias("h")).distinct()
+    hits = texts.select("doc_id", F.explode(F.array_distinct(gram)).alias("h")).join(keys, "h").join(texts, "doc_id").where(F.contains("t", F.col("needle"))).select("item_id", "doc_id")
     # Shorter ones have 6 letters at least: they meet on the first 6, and are then looked for as a whole.
     short = needles.where(F.length("needle") < window).select("item_id", "needle", F.xxhash64(F.substring("needle", 1, 6)).alias("h"))
     sixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 5, F.lit(1))), lambda i: F.xxhash64(F.substring("t", i, F.lit(6))))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import age_label, safe_id
 from ..operators import graph, lifecycle, status
+from ..operators.ordered import next_marked
 from .knowledge import _CLEAN, GATE_SQL, gate_cases
 from .tables import DAY_MS, MEMORIES_SQL, NOW_MS, TIMELINE_SQL, TODOS_SQL, memories, table, timeline, todos
 
@@ -127,8 +128,7 @@ def change_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT id, k, occurred_ms, event_type, row_number() OVER (PARTITION BY k ORDER BY occurred_ms, id) AS r FROM ({TIMELINE_SQL}) x WHERE event_type IN ('todo', 'session_summary'))
 SELECT a.id AS opened, min(b.r) - a.r AS steps FROM t a JOIN t b ON a.k = b.k AND b.r > a.r AND a.event_type = 'todo' AND b.event_type = 'session_summary' GROUP BY a.id, a.r""")
 def todo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each opened item the steps to the first later closing of its key: a window instead of a pair join."""
-    w = Window.partitionBy("k").orderBy("occurred_ms", "id")
-    rows = timeline(spark, sf_dir).where("event_type in ('todo', 'session_summary')").withColumn("r", F.row_number().over(w).cast("long"))
-    following = F.min(F.when(F.col("event_type") == "session_summary", F.col("r"))).over(Window.partitionBy("k").orderBy("r").rowsBetween(1, Window.unboundedFollowing))
-    return rows.withColumn("_next", following).where("event_type = 'todo' and _next is not null").select(F.col("id").alias("opened"), (F.col("_next") - F.col("r")).alias("steps"))
+    """For each opened item the steps to the first later closing of its key, by ranges: no key's rows meet in one task."""
+    rows = timeline(spark, sf_dir).where("event_type in ('todo', 'session_summary')")
+    told = next_marked(rows, "k", [F.col("occurred_ms"), F.col("id")], F.col("event_type") == "session_summary", "steps")
+    return told.where("event_type = 'todo' and steps is not null and k is not null").select(F.col("id").alias("opened"), "steps")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens, fnv1a, strip_markdown
 from ..operators import graph, lifecycle, status, transcript
-from ..operators.ordered import shared_folder
+from ..operators.ordered import previous, shared_folder
 from ..sources import bundle, files, stack, stores
 from .tables import MEMORIES_SQL, TIMELINE_SQL, TODOS_SQL, memories, table, timeline, todos
 
@@ -249,7 +249,7 @@ UNION ALL SELECT project, 'database', 'PostgreSQL' FROM m WHERE b = 'Brand#4' UN
 UNION ALL SELECT DISTINCT project, 'framework-backend', 'Gin' FROM m)
 SELECT field, value, count(DISTINCT project) AS projects, row_number() OVER (PARTITION BY field ORDER BY count(DISTINCT project) DESC, value) AS rank FROM v GROUP BY field, value""")
 def stack_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stack.by_popularity(stack.stack(manifests(spark, sf_dir)))
+    return stack.by_projects(stack.stack(manifests(spark, sf_dir)))
 
 
 @query("""
@@ -319,7 +319,7 @@ _SUPERSEDED = f"SELECT id, CASE WHEN source <> 'src3' THEN source END AS session
 def supersede_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions are sources; a record supersedes the one before it of its type and status."""
     rows = memories(spark, sf_dir).select("id", "type", "status", F.when(F.col("source") != "src3", F.col("source")).alias("session"))
-    return graph.supersede_edges(rows.withColumn("supersedes", F.lag("id").over(Window.partitionBy("type", "status").orderBy("id"))))
+    return graph.supersede_edges(previous(rows, ["type", "status"], [F.col("id")], "id", "supersedes"))
 
 
 _RANKED = "ORDER BY CASE priority WHEN 'urgent' THEN 0 WHEN 'high' THEN 1 WHEN 'low' THEN 3 ELSE 2 END, created_ms DESC, CAST(id AS VARCHAR)"

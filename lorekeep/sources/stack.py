@@ -197,7 +197,7 @@ def infrastructure(entries: DataFrame) -> DataFrame:
     return first.select("project", "_t.field", "_t.value").distinct()
 
 
-def by_popularity(rows: DataFrame) -> DataFrame:
+def by_projects(rows: DataFrame) -> DataFrame:
     """``field, value, projects, rank``: technologies of a field by the count of projects that have them, then by name."""
     from pyspark.sql import Window
 

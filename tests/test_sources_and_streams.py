@@ -66,7 +66,7 @@ def test_source_tree(spark, tmp_path):
     assert {tuple(r)[1:] for r in found.collect()} == {("framework-fullstack", "Next.js"), ("framework-backend", "Express"), ("framework-frontend", "React"), ("framework-backend", "FastAPI")}
     more = spark.createDataFrame([("q", "go.mod", "module x\nrequire github.com/labstack/echo v4\nrequire gorm.io/gorm v1"), ("q", "pyproject.toml", '[project]\ndependencies = ["torch>=2", "numpy"]\n[tool.x]\npandas = "2"'), ("r", "package.json", "{broken")], "project string, name string, text string")
     assert {tuple(r) for r in stack.stack(more).collect()} == {("q", "framework-backend", "Echo"), ("q", "orm", "GORM"), ("q", "ai", "PyTorch"), ("q", "ai", "NumPy"), ("q", "ai", "pandas")}
-    assert {(r.value, r["rank"]) for r in stack.by_popularity(found.unionByName(stack.stack(more)).unionByName(found.withColumn("project", F.lit("z")))).where("field = 'framework-backend'").collect()} == {("Express", 1), ("FastAPI", 2), ("Echo", 3)}
+    assert {(r.value, r["rank"]) for r in stack.by_projects(found.unionByName(stack.stack(more)).unionByName(found.withColumn("project", F.lit("z")))).where("field = 'framework-backend'").collect()} == {("Express", 1), ("FastAPI", 2), ("Echo", 3)}
     uses = code.select(F.lit("p").alias("project"), "path", F.explode("imports").alias("import"))
     assert {tuple(r) for r in stack.unknown_imports(uses, manifests).collect()} == {("p", "os", 1), ("p", "app", 1)}
     paths = spark.createDataFrame([("src/main.ts", "modified"), ("src/x.ts", "modified"), ("src/x.ts", "added"), ("README.md", "added"), ("package.json", "modified"), ("tests/a.ts", "added"), ("dist/index.js", "added")], "path string, change string")
