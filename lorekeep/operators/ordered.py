@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+from contextlib import suppress
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which goes when this process ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+    def remove(jvm=spark.sparkContext._jvm, conf=spark.sparkContext._jsc.hadoopConfiguration()) -> None:
+        with suppress(Exception):  # the gateway may be closed by then
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(conf).delete(where, True)
+
+    atexit.register(remove)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage."""
     shared_folder(df.sparkSession)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens, fnv1a, strip_markdown
 from ..operators import graph, lifecycle, status, transcript
-from ..operators.ordered import previous, shared_folder
+from ..operators.ordered import previous, scratch_folder
 from ..sources import bundle, files, stack, stores
 from .tables import MEMORIES_SQL, TIMELINE_SQL, TODOS_SQL, memories, table, timeline, todos
 
@@ -30,18 +29,18 @@ def query(oracle: str | None = None) -> Callable:
 
 def folder(spark: SparkSession) -> str:
     """A new folder below the shared one."""
-    return f"{shared_folder(spark)}/store-{uuid4().hex}"
+    return scratch_folder(spark, "store")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Memory records as a store holds them; types in capitals, importance out of bounds and repeated tags are for the reader to mend."""
     return memories(spark, sf_dir).select(
-        F.col("id").cast("string").alias("id"), F.upper("type").alias("type"), "title", F.substring("content", 1, 300).alias("content"), (F.col("importance") * 3 - 1).alias("importance"), "confidence", "status",
+        F.col("id").cast("string").alias("id"), F.upper("type").alias("type"), "title", "content", (F.col("importance") * 3 - 1).alias("importance"), "confidence", "status",
         F.array("source", "source").alias("tags"), F.col("created_ms").alias("createdAt"), F.when(F.col("source") == "src0", "en").otherwise("other").alias("project"),
     )
 
 
-_RECORDS = f"SELECT CAST(id AS VARCHAR) AS id, type, substr(title, 1, 200) AS title, substr(content, 1, 300) AS content, greatest(0, least(1, coalesce(importance * 3 - 1, 0.5))) AS importance, coalesce(confidence, 0.7) AS confidence, status, source, created_ms, CASE WHEN source = 'src0' THEN 'en' ELSE 'other' END AS project FROM ({MEMORIES_SQL}) m"
+_RECORDS = f"SELECT CAST(id AS VARCHAR) AS id, type, substr(title, 1, 200) AS title, coalesce(content, '') AS content, greatest(0, least(1, coalesce(importance * 3 - 1, 0.5))) AS importance, coalesce(confidence, 0.7) AS confidence, status, source, created_ms, CASE WHEN source = 'src0' THEN 'en' ELSE 'other' END AS project FROM ({MEMORIES_SQL}) m"
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,10 +305,10 @@ def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.change_counts(sides(spark, sf_dir), "p_brand")
 
 
-@query("SELECT l_partkey AS path, l_linenumber, p_partkey IS NOT NULL AS tracked FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) p ON p_partkey = l_partkey WHERE l_quantity > 48")
+@query("SELECT l_partkey AS path, l_linenumber, p_partkey IS NOT NULL AS tracked FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) p ON p_partkey = l_partkey")
 def changes_tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("path"))
-    return graph.tracked(table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("path"), "l_linenumber"), tree)
+    return graph.tracked(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path"), "l_linenumber"), tree)
 
 
 _SUPERSEDED = f"SELECT id, CASE WHEN source <> 'src3' THEN source END AS session, lag(id) OVER (PARTITION BY type, status ORDER BY id) AS supersedes FROM ({MEMORIES_SQL}) m"

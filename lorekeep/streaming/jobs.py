@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from time import time_ns
 from typing import Any
-from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ordered import shared_folder
+from ..operators.ordered import scratch_folder
 
 
 def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -31,7 +30,7 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     A batch that is run again replaces its folder. Of a stream in complete mode the last batch counts.
     """
     spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    path = scratch_folder(spark, "stream")
     batches: list[int] = []
 
     def write(rows: DataFrame, batch: int) -> None:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.ordered import scratch_folder
+
 #: What the engine needs for timers and state of many kinds.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 Numbers = tuple[int, ...]
@@ -188,11 +190,7 @@ def rate_limited(events: DataFrame, key: str, most: int = 5, window_ms: int = 1_
 
 def finished_and_closed(spark: SparkSession, stream: Callable[[str], DataFrame], path: str, closing: DataFrame) -> DataFrame:
     """Run ``stream`` over all files of ``path``, then go on from the same checkpoint with ``closing`` rows, whose times pass the watermark over all the others."""
-    from uuid import uuid4
-
-    from ..operators.ordered import shared_folder
-
-    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     closing.write.parquet(f"{folder}/closing")
     schema = None
     for source in (path, f"{folder}/closing"):
