@@ -131,3 +131,16 @@ def test_groups_stay_bounded_where_the_bound_is_weak(spark, monkeypatch):
 
 def test_empty(spark, no_docs):
     assert packing.pack_documents(no_docs, "doc_id", "text", P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), 64).count() == 0
+
+
+def test_encode_decode_replaces_its_columns_and_takes_no_rows(spark):
+    import public_tokenizers
+
+    from lorekeep.llm.bpe import encode_decode
+    from lorekeep.llm.queries import tokenizer
+
+    given = (tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    df = spark.createDataFrame([("a b", 7, b"x", 1), (None, 8, None, 2)], "ids string, decoded int, _id binary, n int")
+    got = encode_decode(df.withColumn("text", df.ids), "text", *given).collect()
+    assert [(bytes(r.decoded), r.n) for r in got] == [(b"a b", 1), (b"", 2)] and set(got[0].asDict()) == {"_id", "n", "text", "ids", "decoded"}
+    assert encode_decode(df.where("n > 5").withColumn("text", df.ids), "text", *given).collect() == []

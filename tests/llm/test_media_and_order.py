@@ -82,3 +82,12 @@ def test_training_query(spark, hard_docs, tables):
     assert sorted((str(r.doc_id), r.part, r.n_tokens, r.record_crc32) for r in rows) == want
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert all((r.shard, r.byte_offset) == (r.slot // queries.SHARD, r.slot % queries.SHARD * 1024) for r in rows)
+
+
+def test_media_replaces_its_columns_and_takes_no_rows(spark):
+    from lorekeep.llm.media import media_columns
+
+    df = spark.createDataFrame([("abc", 1, 2, "m"), (None, 3, 4, "n")], "text string, media int, codes int, other string")
+    got = media_columns(df, "text").collect()
+    assert [(bytes(r.payload), r.other) for r in got] == [(b"abc".ljust(192), "m"), (b" " * 192, "n")] and set(got[0].asDict()) == {"text", "other", "media", "payload", "times", "codes"}
+    assert media_columns(df.where("other = 'x'"), "text").collect() == []
