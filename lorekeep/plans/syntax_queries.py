@@ -33,6 +33,8 @@ _WORDS = ('  w_%s_%s(x) { return "} {" + `t${x} {`; }', "    c_%s_%s = Column(St
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, language, text`` of a file a document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    # files are read by few tasks, and telling their syntax costs far more than reading them
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     docs = docs.withColumn("w", F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), F.lit(0))).withColumn("i", F.col("doc_id").cast("string"))
     path, language, text = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for turn, (name, ending, mark, lines) in enumerate(_FILES):

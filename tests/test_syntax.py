@@ -229,3 +229,12 @@ def test_routes_models_and_symbols(spark):
     assert told["e.py"].exports == ["Item", "Plain", "made"] and told["a.js"].imports == ["./a.js", "./b", "./side"] and [f.name for f in told["f.c"].functions] == ["name", "main", "free_one", "get"]
     stats = syntax.graph_stats(df.where("language is not null"), rows).first()
     assert (stats.files, stats.languages, stats.routes, stats.models) == (7, 6, 5, 5)
+
+
+def _parsers(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_routes_read_the_files_once(spark):
+    files = spark.createDataFrame([("a.java", "Java", JAVA), ("a.go", "Go", GO)], "path string, language string, text string")
+    assert _parsers(syntax.routes(syntax.syntax(files))) == 1
