@@ -238,3 +238,8 @@ def _parsers(df):
 def test_routes_read_the_files_once(spark):
     files = spark.createDataFrame([("a.java", "Java", JAVA), ("a.go", "Go", GO)], "path string, language string, text string")
     assert _parsers(syntax.routes(syntax.syntax(files))) == 1
+
+
+def test_stats_read_the_files_once(spark):
+    files = spark.createDataFrame([("a.java", "Java", JAVA), ("a.go", "Go", GO)], "path string, language string, text string")
+    assert _parsers(syntax.graph_stats(files, syntax.syntax(files))) == 1
