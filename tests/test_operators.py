@@ -259,3 +259,15 @@ def test_best_prior_by_brute_force(spark, monkeypatch):
             want[i] = (best[1], -best[0])
     df = spark.createDataFrame(rows, "id long, type string, title string, status string")
     assert {r.id: (r.prior, pytest.approx(r.similarity)) for r in lifecycle.best_prior(df, df, "id").collect()} == want
+
+
+def test_candidates_of_many_stripes(spark, monkeypatch):
+    """Sets of common members only: every similar pair once, and a row is repeated a stripe, not by what its set holds."""
+    rng = random.Random(9)
+    base = [rng.sample("abcdefghijkl", 9) for _ in range(6)]
+    sets = [(i, rng.choice("xy"), sorted(set(rng.choice(base)) ^ set(rng.sample("abcdefghijkl", rng.randint(0, 2))))) for i in range(300)]
+    monkeypatch.setattr(lifecycle, "STRIPE", 20)
+    monkeypatch.setattr(lifecycle, "HOT", 7)
+    got = [tuple(sorted(r)) for r in lifecycle._candidates(spark.createDataFrame(sets, "id long, type string, g array<string>"), 0.72).collect()]
+    want = {(a, b) for a, t, g in sets for b, u, h in sets if a < b and t == u and len(set(g) & set(h)) >= 0.72 * len(set(g) | set(h))}
+    assert len(got) == len(set(got)) and want and want <= set(got)
