@@ -243,3 +243,18 @@ def test_routes_read_the_files_once(spark):
 def test_stats_read_the_files_once(spark):
     files = spark.createDataFrame([("a.java", "Java", JAVA), ("a.go", "Go", GO)], "path string, language string, text string")
     assert _parsers(syntax.graph_stats(files, syntax.syntax(files))) == 1
+
+
+def test_spaces_and_indented_directives():
+    """A long white tail is passed at once, and a directive may stand behind blanks."""
+    text = "  #include <a.h>\n\n \t# include \"b.h\"\nint f(void) { return 1; }" + " " * 400_000
+    assert [(r[0], r[1], r[2]) for r in syntax.rows_of(text, "C")] == [("import", "a.h", 1), ("import", "b.h", 3), ("function", "f", 4)]
+
+
+def test_files_are_spread_over_tasks(spark, tmp_path):
+    """One file of one row group is read by one task, and told by many."""
+    from lorekeep.plans import syntax_queries
+
+    spark.range(500).selectExpr("id as doc_id", "'some words' as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = syntax.syntax(syntax_queries.sources(spark, str(tmp_path)))
+    assert rows.rdd.getNumPartitions() > 1
