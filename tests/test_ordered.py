@@ -34,3 +34,10 @@ def test_grounding_compares_on_both_paths(spark, monkeypatch):
     assert sorted(map(tuple, transcript.grounding(items, docs).collect())) == want
     monkeypatch.setattr(transcript.F, "xxhash64", lambda *c: transcript.F.length(c[0]) * 0 + 7)
     assert sorted(map(tuple, transcript.grounding(items, docs).collect())) == want
+
+
+def test_next_marked_sums_up_each_range_once(spark):
+    """A frame up to the end is summed up anew for each row, which grows with the square of a range's rows."""
+    told = ordered.next_marked(spark.range(50).selectExpr("id as i", "'hot' as k", "id % 7 = 0 as m"), "k", [F.col("i")], F.col("m"), "p")
+    assert "unboundedfollowing" not in told._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.i: r.p for r in told.collect()} == {i: (7 - i % 7 if i // 7 * 7 + 7 < 50 else None) for i in range(50)}
