@@ -69,3 +69,15 @@ def test_first_seen(spark):
         own[1].extend(x for x in [t] if x and x not in own[1])
     assert got == {s: (list(f), list(t)) for s, (f, t) in want.items()}
     assert graph.longest_chains(spark.createDataFrame([(1, 2)], "src long, dst long"), spark.createDataFrame([(1,)], "node long")).collect()[0].depth == 1
+
+
+def test_top_chains_search_few_roots(spark, monkeypatch):
+    """The best of a graph with circles, equal to those of all roots; only roots of the longest walks are searched."""
+    rng = random.Random(3)
+    edges = [(i, j) for i in range(120) for j in ((i + 1) % 6 if i < 6 else rng.randrange(i),)] + [(i, i) for i in range(9)] + [(70, 71), (71, 70)]
+    graph, roots = spark.createDataFrame(edges, "src long, dst long"), spark.range(120).withColumnRenamed("id", "node")
+    whole, asked = chains.chains, []
+    want = [tuple(r) for r in whole(graph, roots, 7).where("depth > 0").orderBy(F.desc("depth"), "root").limit(2).collect()]
+    monkeypatch.setattr(chains, "chains", lambda e, r, d=7: asked.append(r.count()) or whole(e, r, d))
+    assert [tuple(r) for r in chains.top_chains(graph, roots, 2).collect()] == want
+    assert asked[0] == 32
