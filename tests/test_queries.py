@@ -53,3 +53,10 @@ def test_entry_works_without_the_training_data_subpackage(spark):
     )
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(__import__("pathlib").Path(__file__).resolve().parent.parent))
     assert done.returncode == 0, done.stderr
+
+
+def test_markdown_letters_are_told_once(spark, sf_dir):
+    from lorekeep.plans import repositories
+
+    plan = repositories.markdown_text(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z ]+") == 1
