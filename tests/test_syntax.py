@@ -258,3 +258,38 @@ def test_files_are_spread_over_tasks(spark, tmp_path):
     spark.range(500).selectExpr("id as doc_id", "'some words' as text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     rows = syntax.syntax(syntax_queries.sources(spark, str(tmp_path)))
     assert rows.rdd.getNumPartitions() > 1
+
+
+#: Blocks of statements that are told whole, with others between them that are told by their tokens.
+BLOCKS = {
+    "JavaScript": "class A {\n%s\n  static async c(d) { x = 1 }\n  if(x) { y }\n  f(a) { g(a) }\n  h(a) { return import.meta }\n}\nconst o = { k() { return 1 }, l(a) {} }\n",
+    "Python": "class A(B):\n    @dec(1)\n    def f(self):\n        pass\n%s\n    y: T = f.g(a, b)\n    z = 'q'\n    if a: b = c(d)\n    x = not(y)\n    def g(self):\n        return x(1)\n        k = l(m) \\\n  + 2\n        o (p)\nw = q(r)\n",
+    "Go": "type T struct {\n%s\n  B, C int\n  K map[string]int\n  type x int\n  J,\n  L string \"a\"\n}\nfunc f() {\n a\n type Q int\n}\n",
+    "Java": "class A {\n%s\n  @interfaceX(\"a\") int c;\n  import a.b;\n  @A(\"\"\"x;\"\"\") int y;\n  abstract void n();\n  int z = f(1);\n  @A(\"b\") void m(int a);\n  enum E { R, S; int x; }\n}\n",
+    "Rust": "struct A<'a> {\n%s\n}\nuse a::{b, c::{d}};\nstruct B { a: &'static str, c: [u8; 3] }\nimpl X { type T = u8; fn g(&self) { let a = 'b'; c } }\n",
+    "C": "struct S {\n%s\n int e[3];\n int (*g)(int);\n};\nint f(int a) { int x; x = a; return x; }\nvoid g(void) { for (a; b; c) { d; } }\n",
+}
+LINES = {"JavaScript": '  w_%d(x) { return "} {" + `t${x} {`; }', "Python": "    c_%d = Column(String)", "Go": '  F_%d string `gorm:"column:x{"`', "Java": '  @Column(name = "{") private String c_%d;', "Rust": "  pub f_%d: &'a str,", "C": "  int f_%d;"}
+
+
+def blocks(n):
+    return {g: text.replace("%s", "\n".join(LINES[g] % k for k in range(n))) for g, text in BLOCKS.items()}
+
+
+@pytest.mark.parametrize("language", BLOCKS)
+def test_plain_statements_are_told_whole(language, monkeypatch):
+    """As many tokens are read for many fields, methods and calls as for one, and the rows are those of the tokens."""
+    read, own = [], syntax.tokens
+    monkeypatch.setattr(syntax, "tokens", lambda *a: (read.append(1) or t for t in own(*a)))
+    counts = []
+    for n in (1, 400):
+        read.clear()
+        rows = syntax.rows_of(blocks(n)[language], language)
+        counts.append(len(read))
+    assert counts[1] <= counts[0] + 5
+    never = syntax.re.compile(r"(?!)")
+    for name in ("_PLAIN_LINE", "_METHOD", "_METHODS"):
+        monkeypatch.setattr(syntax, name, never)
+    monkeypatch.setattr(syntax, "_PLAIN", dict.fromkeys(syntax._PLAIN, never))
+    read.clear()
+    assert syntax.rows_of(blocks(400)[language], language) == rows and len(read) > 400
