@@ -109,7 +109,7 @@ def syntax_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def syntax_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports, exports and the count of functions of every file."""
-    rows = syntax.file_symbols(syntax.syntax(sources(spark, sf_dir)))
+    rows = syntax.file_symbols(syntax.syntax(sources(spark, sf_dir), ("import", "export", "class", "function"), False))
     return rows.select("path", F.array_join("imports", ",").alias("imports"), F.array_join("exports", ",").alias("exports"), F.size("functions").alias("functions"))
 
 

@@ -293,3 +293,16 @@ def test_plain_statements_are_told_whole(language, monkeypatch):
     monkeypatch.setattr(syntax, "_PLAIN", dict.fromkeys(syntax._PLAIN, never))
     read.clear()
     assert syntax.rows_of(blocks(400)[language], language) == rows and len(read) > 400
+
+
+def test_some_kinds(spark):
+    """Rows of some kinds are those of all kinds; only what is asked for leaves the lexer."""
+    texts = [*blocks(3).items(), ("JavaScript", JS), ("Java", JAVA), ("Rust", RUST), ("Go", GO), ("C", C)]
+    files = spark.createDataFrame([(str(i), g, t) for i, (g, t) in enumerate(texts)], "path string, language string, text string")
+    whole = syntax.syntax(files).cache()
+    for kinds in (("call",), ("class",), ("import", "export", "class", "function")):
+        want = whole.where(whole.kind.isin(*kinds))
+        some = syntax.syntax(files, kinds)
+        assert some.count() == want.count() > 0 and some.exceptAll(want).count() == 0
+    told = lambda rows: sorted(syntax.file_symbols(rows).collect(), key=lambda r: int(r.path))
+    assert told(syntax.syntax(files, kinds, False)) == told(whole) and len(told(whole)) == len(texts)
