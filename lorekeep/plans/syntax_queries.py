@@ -127,7 +127,7 @@ def syntax_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 ).replace("FROM d WHERE t = 2", "FROM d WHERE t = 2 AND k > 0"))
 def syntax_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models with line and fields; a structure without fields has no tag that would tell it from others."""
-    return syntax.schemas(syntax.syntax(sources(spark, sf_dir)))
+    return syntax.schemas(syntax.syntax(sources(spark, sf_dir), ("class",)))
 
 
 @query(f"WITH {_D} SELECT count(*) AS files, count(DISTINCT t) AS languages, count(*) + count_if(t = 2) AS edges, count_if(t < 4) AS routes, count_if(t IN (1, 3, 4) OR (t = 2 AND k > 0)) AS models FROM d")

@@ -306,3 +306,11 @@ def test_some_kinds(spark):
         assert some.count() == want.count() > 0 and some.exceptAll(want).count() == 0
     told = lambda rows: sorted(syntax.file_symbols(rows).collect(), key=lambda r: int(r.path))
     assert told(syntax.syntax(files, kinds, False)) == told(whole) and len(told(whole)) == len(texts)
+
+
+def test_models_need_no_calls(spark):
+    """Without calls a class of Python has the same fields, and its model is the same."""
+    files = spark.createDataFrame([(g, g, t.replace("    @dec(1)", "    __tablename__ = 't'\n    @dec(1)")) for g, t in blocks(5).items()], "path string, language string, text string")
+    want = sorted(map(tuple, syntax.schemas(syntax.syntax(files)).collect()))
+    assert sorted(map(tuple, syntax.schemas(syntax.syntax(files, ("class",))).collect())) == want and ("A", "sqlalchemy", "Python", 1, 9) in want
+    assert {r[0] for r in syntax.rows_of(blocks(5)["Python"], "Python", ("class",))} == {"class"}
