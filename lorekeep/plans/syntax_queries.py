@@ -87,7 +87,7 @@ _WORD_FUNCTIONS = _sql("path name parent line end_line", *_FUNCTIONS).replace(f"
 @query(_WORD_FUNCTIONS)
 def syntax_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions and methods with the scopes that they stand in and their lines."""
-    return syntax.syntax(sources(spark, sf_dir)).where("kind = 'function'").select("path", "name", "parent", "line", "end_line")
+    return syntax.syntax(sources(spark, sf_dir), ("function",), False).select("path", "name", "parent", "line", "end_line")
 
 
 @query(_sql(

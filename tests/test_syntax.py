@@ -314,3 +314,11 @@ def test_models_need_no_calls(spark):
     want = sorted(map(tuple, syntax.schemas(syntax.syntax(files)).collect()))
     assert sorted(map(tuple, syntax.schemas(syntax.syntax(files, ("class",))).collect())) == want and ("A", "sqlalchemy", "Python", 1, 9) in want
     assert {r[0] for r in syntax.rows_of(blocks(5)["Python"], "Python", ("class",))} == {"class"}
+
+
+def test_functions_without_bodies(spark):
+    """Functions are told alone, and no class brings its text along."""
+    files = spark.createDataFrame([(g, g, t) for g, t in blocks(5).items()], "path string, language string, text string")
+    rows = syntax.syntax(files, ("class", "function"), False)
+    assert rows.where("body is not null").count() == 0 and rows.where("kind = 'class'").count() > 5
+    assert sorted((r.path, r.name, r.line, r.end_line) for r in syntax.syntax(files, ("function",), False).collect()) == sorted((g, r[1], r[2], r[3]) for g, t in blocks(5).items() for r in syntax.rows_of(t, g) if r[0] == "function")
