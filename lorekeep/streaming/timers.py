@@ -8,11 +8,11 @@ over times in order (:func:`close_step`, :func:`rebuild_step`); with processing
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -94,8 +94,22 @@ def walk(state: Numbers, rows: list[tuple[int, int]], until: int | None, step: S
     return state, out
 
 
+def packed(rows: list[tuple[int, int]]) -> tuple[bytes, bytes]:
+    """Rows (time, kind) as one value."""
+    return array("q", [t for t, _ in rows]).tobytes(), bytes(k for _, k in rows)
+
+
+def unpacked(times: bytes, kinds: bytes) -> list[tuple[int, int]]:
+    at = array("q")
+    at.frombytes(bytes(times))
+    return list(zip(at, bytes(kinds), strict=True))
+
+
 class Timed(StatefulProcessor):
-    """A key's rows in order of time, and its alarms, by a start, a step and a rule of what is due."""
+    """A key's rows in order of time, and its alarms, by a start, a step and a rule of what is due.
+
+    Each touch of the state is a message to the engine, so the numbers and the timer are one value, and the rows of a batch that wait are another.
+    """
 
     #: Kinds of rows are 0 and 1; an alarm is another one.
     ALARM = 2
@@ -105,18 +119,17 @@ class Timed(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.numbers = handle.getValueState("numbers", "numbers array<long>", self.ttl_ms)
-        self.waiting = handle.getListState("waiting", "ms long, kind int", self.ttl_ms)
-        self.timer = handle.getValueState("timer", "at long", self.ttl_ms)
+        self.own = handle.getValueState("own", "numbers array<long>, timer long", self.ttl_ms)
+        self.waiting = handle.getListState("waiting", "times binary, kinds binary", self.ttl_ms)
+        self.told = Row(self.key, "ms", "reason", "n")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         now = self._now(timerValues)
-        fresh = [(int(t) if self.event_time else now, int(k)) for f in rows for t, k in zip(f["ms"], f["kind"], strict=True)]
-        yield from self._advance(key, fresh, now)
+        fresh = [(r[2] if self.event_time else now, r[3]) for r in rows]
+        yield from self._advance(key, fresh, now, False)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.timer.clear()
-        yield from self._advance(key, [], max(self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs()))
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self._advance(key, [], max(self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs()), True)
 
     def close(self) -> None:
         pass
@@ -124,40 +137,41 @@ class Timed(StatefulProcessor):
     def _now(self, values: Any) -> int:
         return values.getCurrentWatermarkInMs() if self.event_time else values.getCurrentProcessingTimeInMs()
 
-    def _advance(self, key: Any, fresh: list[tuple[int, int]], now: int) -> Iterator[pd.DataFrame]:
+    def _advance(self, key: Any, fresh: list[tuple[int, int]], now: int, fired: bool) -> Iterator[Row]:
         passed = [r for r in fresh if r[0] <= now]
         held = [r for r in fresh if r[0] > now]
-        timer = self.timer.get()[0] if self.timer.exists() else None
-        # Rows that wait are read again only where some of them, or an alarm, may have come due.
-        if timer is None or timer <= now or passed:
-            old = [(int(r[0]), int(r[1])) for r in self.waiting.get()] if self.waiting.exists() else []
+        own = self.own.get()
+        state, timer = (tuple(own[0]), own[1]) if own else (self.start, None)
+        # Rows that wait are read again only where some of them, or an alarm, may have come due; without a timer none wait.
+        if timer is None or fired or timer <= now or passed:
+            chunks = list(self.waiting.get()) if timer is not None else []
+            old = [r for c in chunks for r in unpacked(*c)]
             passed += [r for r in old if r[0] <= now]
             held += [r for r in old if r[0] > now]
-            state = tuple(self.numbers.get()[0]) if self.numbers.exists() else self.start
             state, told = walk(state, passed, now, self.step, self.due, self.ALARM)
-            self.numbers.update((list(state),))
             if held:
-                self.waiting.put(held)
-            elif old:
+                self.waiting.put([packed(held)])
+            elif chunks:
                 self.waiting.clear()
             times = [r[0] for r in held] + ([self.due(state)] if self.due(state) >= 0 else [])
-            self._set(timer, min(times) if times else None, now)
+            self.own.update((list(state), self._set(None if fired else timer, min(times) if times else None, now)))
         else:
             told = []
-            self.waiting.appendList(held)
+            self.waiting.appendValue(packed(held))
             if held and min(held)[0] < timer:
-                self._set(timer, min(held)[0], now)
-        if told:
-            yield pd.DataFrame({self.key: [key[0]] * len(told), "ms": [t for t, _, _ in told], "reason": [r for _, r, _ in told], "n": [n for _, _, n in told]})
+                self.own.update((list(state), self._set(timer, min(held)[0], now)))
+        for at, reason, n in told:
+            yield self.told(key[0], at, reason, n)
 
-    def _set(self, old: int | None, new: int | None, now: int) -> None:
-        if old is not None:
-            self.handle.deleteTimer(old)
-            self.timer.clear()
-        if new is not None:
-            new = max(new, now + 1)
-            self.handle.registerTimer(new)
-            self.timer.update((new,))
+    def _set(self, old: int | None, new: int | None, now: int) -> int | None:
+        """The timer that holds from now on."""
+        new = max(new, now + 1) if new is not None else None
+        if new != old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if new is not None:
+                self.handle.registerTimer(new)
+        return new
 
 
 def _timed(rows: DataFrame, key: str, rules: tuple, late: str | None, ttl_ms: int | None) -> DataFrame:
@@ -166,7 +180,7 @@ def _timed(rows: DataFrame, key: str, rules: tuple, late: str | None, ttl_ms: in
     shape = f"{key} {dict(rows.dtypes)[key]}, ms long, reason string, n long"
     told = (rows.withWatermark("ts", late) if late else rows).select(key, "ts", F.unix_millis("ts").alias("ms"), "kind")
     processor = Timed(*rules, key, late is not None, None if late else ttl_ms)
-    return told.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=shape, outputMode="Append", timeMode="EventTime" if late else "ProcessingTime")
+    return told.groupBy(key).transformWithState(statefulProcessor=processor, outputStructType=shape, outputMode="Append", timeMode="EventTime" if late else "ProcessingTime")
 
 
 def session_closes(events: DataFrame, key: str, disposed: str, idle_ms: int = 300_000, least: int = 4, late: str | None = "10 minutes", ttl_ms: int | None = 14 * 86_400_000) -> DataFrame:

@@ -153,3 +153,74 @@ def test_registered(spark, sf_dir):
     assert got == sorted((u, *c) for u in users for c in closes([(m, e == "error") for v, m, e in events if v == u], 12 * 3_600_000, 4))
     got = sorted(map(tuple, streams.stream_rebuilds(spark, sf_dir).collect()))
     assert got == sorted((u, *b) for u in users for b in builds([m for v, m, _ in events if v == u], 3_600_000, 6 * 3_600_000))
+
+
+class Touched:
+    """A handle whose states and timers live in memory; every touch is a message."""
+
+    def __init__(self):
+        self.messages, self.timers, self.states = 0, set(), []
+
+    def state(self, *_):
+        self.states.append(one := _Kept(self))
+        return one
+
+    getValueState = getListState = state  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.messages += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.messages += 1
+        self.timers.remove(at)
+
+
+class _Kept:
+    def __init__(self, handle):
+        self.handle, self.values, self.one = handle, [], None
+
+    def __getattr__(self, name):
+        def touch(*a):
+            self.handle.messages += 1
+            if name == "get":
+                return self.one if not self.values else iter(self.values)
+            if name == "update":
+                self.one = a[0]
+            elif name == "put":
+                self.values = list(a[0])
+            elif name == "appendValue":
+                self.values.append(a[0])
+            elif name == "clear":
+                self.values = []
+
+        return touch
+
+
+def test_few_messages_a_key():
+    """A batch of a key is one value of the state, whatever its rows, and each batch takes as many messages as the one before."""
+    from types import SimpleNamespace
+
+    rng = random.Random(3)
+    handle, job = Touched(), timers.Timed(*timers.limit_step(2, 1000), "u", True, None)
+    job.init(handle)
+    before = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    rows, counts = [], []
+    for _ in range(5):
+        batch = [(7, None, rng.randrange(1, 100_000), 0) for _ in range(500)]
+        rows += [r[2] for r in batch]
+        handle.messages = 0
+        assert list(job.handleInputRows((7,), iter(batch), before)) == []
+        counts.append(handle.messages)
+    assert max(counts) <= 5 and handle.timers == {min(rows)} and sum(len(s.values) for s in handle.states) == 5
+    after = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**6)
+    handle.messages = 0
+    told = list(job.handleExpiredTimer((7,), after, SimpleNamespace(getExpiryTimeInMs=lambda: min(rows))))
+    want, start, used = [], None, 0
+    for t in sorted(rows):
+        if start is None or t - start >= 1000:
+            start, used = t, 0
+        if used < 2:
+            used += 1
+            want.append(t)
+    assert [r.ms for r in told] == want and handle.messages <= 5 and not any(s.values for s in handle.states)
