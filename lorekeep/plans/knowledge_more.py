@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import age_label, safe_id
 from ..operators import graph, lifecycle, status
-from ..operators.ordered import next_marked
+from ..operators.ordered import cut, next_marked
 from .knowledge import _CLEAN, GATE_SQL, gate_cases
 from .tables import DAY_MS, MEMORIES_SQL, NOW_MS, TIMELINE_SQL, TODOS_SQL, memories, table, timeline, todos
 
@@ -50,7 +50,7 @@ r AS (SELECT x.id, y.id AS prior, similarity FROM n x JOIN p ON p.a = x.c AND si
 SELECT id, prior, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, prior) AS k FROM r) x WHERE k = 1""")
 def supersede_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every record the other core record that it may supersede."""
-    rows = memories(spark, sf_dir)
+    rows = cut(memories(spark, sf_dir).select("id", "type", "title", "status"))  # texts are read once
     return lifecycle.best_prior(rows, rows, "id").withColumn("similarity", F.round("similarity", 6))
 
 

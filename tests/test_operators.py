@@ -271,3 +271,52 @@ def test_candidates_of_many_stripes(spark, monkeypatch):
     got = [tuple(sorted(r)) for r in lifecycle._candidates(spark.createDataFrame(sets, "id long, type string, g array<string>"), 0.72).collect()]
     want = {(a, b) for a, t, g in sets for b, u, h in sets if a < b and t == u and len(set(g) & set(h)) >= 0.72 * len(set(g) | set(h))}
     assert len(got) == len(set(got)) and want and want <= set(got)
+
+
+def test_best_prior_of_many_alike(spark, monkeypatch):
+    """Titles that are all alike: a set has one row of two stripes that meet; members without a place or bit of their own count too."""
+    for name, value in (("STRIPE", 10), ("HOT", 7), ("BITS", 64), ("PLACES", (8, 16))):
+        monkeypatch.setattr(lifecycle, name, value)
+    rng, met, whole = random.Random(4), [], lifecycle._in_stripes
+    monkeypatch.setattr(lifecycle, "_in_stripes", lambda *a: met.append(whole(*a).cache()) or met[-1])
+    long_ = "".join(chr(0x4E00 + i * 7) for i in range(60)) + " and some plain words"
+    rows = [(i, "a" if i % 9 else None, "".join(c if rng.random() > 0.02 else rng.choice("xyz乙") for c in long_), rng.choice(["active", "archived", None])) for i in range(90)] + [(90, "a", None, None), (91, "a", "!", None), (92, "a", "b", "archived")]
+    grams = lambda t: frozenset(t[i : i + 2] for i in range(len(t) - 1)) or frozenset([t])
+    sets = [grams((t or "").strip("!")) for _, _, t, _ in rows]
+    want = {}
+    for i, k, _, _ in rows:
+        near = [(-len(sets[i] & sets[j]) / len(sets[i] | sets[j]), j) for j, m, _, s in rows if j != i and m == k and s != "archived"]
+        best = min((x for x in near if -x[0] >= 0.72), default=None)
+        if best:
+            want[i] = (best[1], -best[0])
+    df = spark.createDataFrame(rows, "id long, type string, title string, status string")
+    assert {r.id: (r.prior, r.similarity) for r in lifecycle.best_prior(df, df, "id").collect()} == want and len(want) > 80
+    assert 0 < met[0].count() <= len(rows) * 9  # nine stripes at most; similar pairs are thousands
+    strings = df.select(F.col("id").cast("string").alias("id"), "type", "title", "status")
+    assert {r.id: r.prior for r in lifecycle.best_prior(strings.where("id < '3'"), strings.where("id > '3'"), "id").collect()}.keys() <= {str(i) for i in want}
+
+
+def test_titles_are_told_before_texts_are_shuffled(spark, sf_dir):
+    """What asks for titles only moves no text: the title is below the join with the labels."""
+    from lorekeep.plans import tables
+
+    plan = tables.memories(spark, sf_dir).select("id", "title", "status")._jdf.queryExecution().optimizedPlan().toString()
+    join, told = plan.index("Join"), plan.index("regexp_extract")
+    assert join < told
+
+
+def test_first_sentence_needs_no_more_than_its_letters(spark):
+    import re
+
+    def whole(t, limit):
+        t = re.sub(r"[ \t\n\x0b\f\r]+", " ", t or "").strip(" ")
+        found = re.match(r"(.*?[.!?。！？])(?:[ \t\n\x0b\f\r]|\Z)", t)
+        return (found.group(1) if found else t)[:limit]
+
+    rng = random.Random(6)
+    texts = [None, "", "   ", " \n\t a. b", "x" * 300, "x" * 199 + ". y", "x" * 200 + ". y", "x" * 198 + ".y z", "a " * 150, "a  \n " * 99 + "b. c", "ab.c d? e", "𝒳" * 205, "  a b. c", " " * 5000 + "end. more", "no end" + " " * 5000, "早。 晚", "早。晚"]
+    texts += ["".join(rng.choice("ab.? \n。") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for limit in (200, 20, 3):
+        got = {r.i: r.x for r in df.select("i", text.first_sentence("t", limit).alias("x")).collect()}
+        assert got == {i: whole(t, limit) for i, t in enumerate(texts)}
