@@ -320,3 +320,9 @@ def test_first_sentence_needs_no_more_than_its_letters(spark):
     for limit in (200, 20, 3):
         got = {r.i: r.x for r in df.select("i", text.first_sentence("t", limit).alias("x")).collect()}
         assert got == {i: whole(t, limit) for i, t in enumerate(texts)}
+
+
+def test_markdown_of_any_length(spark):
+    """Long targets, rules and quotes, and marks around a long text."""
+    texts = {"[a](" + "x" * 50_000 + ") b": "a b", "[a](" + "(y)" * 20_000 + ") b": "a b", "*" * 50_000 + "\na": "a", "- " * 50_000 + "\na": "a", "> " * 50_000 + "a": "a", "# T\n> - **" + "word " * 50_000 + "end**": "T " + "word " * 50_000 + "end"}
+    assert [one(spark, text.strip_markdown("t"), t=t) for t in texts] == list(texts.values())

@@ -60,3 +60,19 @@ def test_markdown_letters_are_told_once(spark, sf_dir):
 
     plan = repositories.markdown_text(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[^A-Za-z ]+") == 1
+
+
+def test_markdown_of_whole_texts(spark, tmp_path):
+    """All letters of all documents come back, short, long, empty and null ones."""
+    import re
+
+    from lorekeep.plans import repositories
+
+    texts = [None, "", "12 !", "a", "Short text.", "x" * 59 + " " + "y" * 70, "Long *text* of [words](u), #1\n" * 3000, "Ünïcode 中文 and more " * 20, "  spaced \t out  "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.plain for r in repositories.markdown_text(spark, str(tmp_path)).collect()}
+    letters = [re.sub(" +", " ", re.sub("[^A-Za-z ]+", "", t or "")).strip(" ") for t in texts]
+    assert got == {i: f"Title {w} end" if w else "Title end" for i, w in enumerate(letters)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == dict(con.execute(repositories.ORACLE_SQL["markdown_text"]).fetchall())
