@@ -61,13 +61,46 @@ def chains(edges: DataFrame, roots: DataFrame, depth: int = 7) -> DataFrame:
     return best.groupBy("root").agg(F.max(F.struct("depth", "path")).alias("b")).select("root", "b.depth", "b.path")  # a depth has one row a root
 
 
-def top_chains(edges: DataFrame, roots: DataFrame, most: int = 5, depth: int = 7) -> DataFrame:
-    """The ``most`` longest of the roots' chains that have an edge.
+def _whole_chains(links: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """``root, depth, path`` of the ``most`` longest chains, of any length; ``links`` are distinct and lead to other nodes.
 
-    A root has no chain longer than its longest walk, which a round of semi-joins a length tells for all roots. Chains are searched for the roots of the
+    A round an edge tells who has a walk of that length. Nodes that drop out lead to no circle, so their longest walks are simple and are read off:
+    of the nodes that a step may lead to, the least from which a walk of the edges that are left goes on. The others, once none drops out any more,
+    lead to a circle; their chains are searched for exactly, in whatever space that needs (longest simple paths of graphs with circles are hard).
+    """
+    walks, n = [cut(links.select(F.col("src").alias("node")).distinct())], None
+    while (last := n) != (n := walks[-1].count()) and n:
+        walks.append(cut(links.join(walks[-1], links["dst"] == walks[-1]["node"], "left_semi").select(F.col("src").alias("node")).distinct()))
+    endless = walks.pop()  # those before hold the nodes of a walk of 1, 2, 3 ... edges
+    starts = roots.select("node").where("node is not null").distinct()
+    settled, best = cut(starts.join(endless, "node", "left_anti")), {}
+    for d in range(len(walks), 0, -1):  # ``most`` rows a length at most are here
+        best = {r.node: d for r in walks[d - 1].join(settled, "node", "left_semi").orderBy("node").limit(most + len(best)).collect()} | best
+        if len(best) >= most:
+            break
+    best = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:most]
+    shape = links.select(F.col("src").alias("root"), F.lit(0).alias("depth"), F.array("src").alias("path")).schema
+    now = links.sparkSession.createDataFrame([(node, d, [node]) for node, d in best], shape)
+    for d in range(best[0][1] if best else 0, 0, -1):  # ``d`` edges are left
+        go = links.join(F.broadcast(now.where(F.col("depth") - F.size("path") + 1 == d)), F.col("src") == F.element_at("path", -1)).select("root", "depth", "path", "dst")
+        go = go.join(walks[d - 2].withColumnRenamed("node", "dst"), "dst", "left_semi") if d > 1 else go
+        told = go.groupBy("root", "depth", "path").agg(F.min("dst").alias("dst")).select("root", "depth", F.concat("path", F.array("dst")).alias("path"))
+        now = cut(told.unionByName(now.where(F.col("depth") - F.size("path") + 1 < d)))
+    circling = starts.join(endless, "node", "left_semi") if n else None
+    if circling is not None and not circling.isEmpty():
+        now = now.unionByName(chains(links, circling, n + len(walks)).where("depth > 0"))
+    return now.orderBy(F.desc("depth"), "root").limit(most)
+
+
+def top_chains(edges: DataFrame, roots: DataFrame, most: int = 5, depth: int | None = 7) -> DataFrame:
+    """The ``most`` longest of the roots' chains that have an edge; without a ``depth`` of any length (see :func:`_whole_chains`).
+
+    With one, a root has no chain longer than its longest walk, which a round of semi-joins a length tells for all roots. Chains are searched for the roots of the
     longest walks first, eight times as many a round, until no other root can have a better one.
     """
     links = cut(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    if depth is None:
+        return _whole_chains(links, roots, most)
     bound = roots.select("node").where("node is not null").distinct().withColumn("bound", F.lit(0))
     reach = links.select(F.col("src").alias("node")).distinct()
     for d in range(1, depth + 1):

@@ -132,14 +132,14 @@ def architecture_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE n AS (SELECT doc_id AS i FROM documents), e AS (SELECT DISTINCT i AS src, d AS dst FROM (SELECT i, i // 2 AS d FROM n UNION ALL SELECT i, i // 3 FROM n) x WHERE i > 0 AND d IN (SELECT i FROM n)),
-p AS (SELECT i AS root, i AS node, [i] AS path FROM n UNION ALL SELECT p.root, e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.node WHERE len(p.path) < 8 AND NOT list_contains(p.path, e.dst)),
+p AS (SELECT i AS root, i AS node, [i] AS path FROM n UNION ALL SELECT p.root, e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.node WHERE NOT list_contains(p.path, e.dst)),
 r AS (SELECT root, len(path) - 1 AS depth, path, row_number() OVER (PARTITION BY root ORDER BY len(path) DESC, path) AS k FROM p)
 SELECT root, depth, array_to_string(path, '>') AS path FROM r WHERE k = 1 AND depth > 0 ORDER BY depth DESC, root LIMIT 5""")
 def top_import_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five longest chains of imports, as paths: every document imports those of half and of a third of its number."""
+    """The five longest chains of imports, of any length, as paths: every document imports those of half and of a third of its number."""
     n = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
     edges = n.where("node > 0").select(F.col("node").alias("src"), F.explode(F.array(F.expr("node div 2"), F.expr("node div 3"))).alias("dst")).join(n.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    return chains.top_chains(edges, n).select("root", F.col("depth").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return chains.top_chains(edges, n, depth=None).select("root", F.col("depth").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(f"""WITH s AS (SELECT *, CAST(user_id AS VARCHAR) || ':' || CAST(occurred_ms // 86400000 AS VARCHAR) AS session FROM ({TIMELINE_SQL}) t WHERE user_id IS NOT NULL),

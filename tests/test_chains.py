@@ -81,3 +81,29 @@ def test_top_chains_search_few_roots(spark, monkeypatch):
     monkeypatch.setattr(chains, "chains", lambda e, r, d=7: asked.append(r.count()) or whole(e, r, d))
     assert [tuple(r) for r in chains.top_chains(graph, roots, 2).collect()] == want
     assert asked[0] == 32
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_top_chains_of_any_length(spark, seed):
+    """Chains longer than any bound, in graphs without circles and with some, against exhaustive search."""
+    rng = random.Random(seed)
+    nodes = 14
+    pairs = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(24)]
+    edges = [*sorted({(max(p), min(p)) for p in pairs} | {(i + 1, i) for i in range(9)} | {(40, 41)}), (None, 3), (3, None)]
+    if seed % 2:
+        edges += [(0, 30), (30, 31), (31, 32), (32, 30), (31, 1)]
+    known = [e for e in edges if None not in e]
+    every = sorted({x for e in known for x in e} | {99})
+    want = sorted(((r, *longest(known, r, 60)) for r in every), key=lambda x: (-x[1], x[0]))
+    df, roots = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(x,) for x in [*every, None]], "node long")
+    assert [(r.root, r.depth, r.path) for r in chains.top_chains(df, roots, 4, None).collect()] == [w for w in want if w[1]][:4] and want[0][1] > 8
+    some = roots.where("node % 3 = 0")
+    assert [(r.root, r.depth, r.path) for r in chains.top_chains(df, some, 4, None).collect()] == [w for w in want if w[1] and w[0] % 3 == 0][:4]
+    assert chains.top_chains(df.where("false"), roots, 4, None).collect() == []
+
+
+def test_top_chains_search_on_until_no_root_is_better(spark):
+    """Roots of endless walks and short chains come first; the longest chains are those of the last roots, which further rounds reach."""
+    edges = [x for i in range(0, 2000, 2) for x in ((i, i + 1), (i + 1, i))] + [(3000 + i, 3001 + i) for i in range(7)]
+    got = chains.top_chains(spark.createDataFrame(edges, "src long, dst long"), spark.range(4000).withColumnRenamed("id", "node"), 3).collect()
+    assert [(r.root, r.depth) for r in got] == [(3000, 7), (3001, 6), (3002, 5)]
